@@ -184,7 +184,7 @@ def pending(listings: DataFrame, last_run: Column | int | None = None) -> DataFr
 
 
 def diff_pair(
-    previous: DataFrame, pending_before: DataFrame, current: DataFrame, run_seq: int, strict: bool = False
+    previous: DataFrame, pending_before: DataFrame, current: DataFrame, run_seq: Column | int, strict: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """One step: (changes, pending) of `current` against the run before and its pending rows.
 
@@ -205,7 +205,7 @@ def diff_pair(
         "listing_key", F.struct(*names).alias("new"), F.col("cmp").alias("new_cmp")
     )
     both = old.join(new, "listing_key", "full_outer")
-    run = F.lit(run_seq).cast("bigint")
+    run = (run_seq if isinstance(run_seq, Column) else F.lit(run_seq)).cast("bigint")
     kind = (
         F.when(F.col("old").isNull(), NEW)
         .when(F.col("new").isNull() & F.col("_pending"), REMOVED)

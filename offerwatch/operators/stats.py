@@ -68,10 +68,11 @@ def price_stats(df: DataFrame, by: list[str], value: str, levels: list[list[str]
         .where((F.col("_below") <= F.col("_hi")) & (F.col("_below") + F.col("_here") > F.col("_lo")))
         .drop("_here")
     )
-    matched = [counted[c].eqNullSafe(middle[c]) for c in [*group, "_b"]]
-    near = counted.join(middle, matched).select(
-        *[counted[c] for c in group], counted["_b"], "_v", "_c", "_below", "n", "_total", "_lo", "_hi"
-    )
+    fine, mid = counted.alias("fine"), middle.alias("mid")
+    same = F.lit(True)
+    for c in [*group, "_b"]:
+        same = same & F.col(f"fine.{c}").eqNullSafe(F.col(f"mid.{c}"))
+    near = fine.join(mid, same).select("fine.*", "_below", "n", "_total", "_lo", "_hi")
     ranks = Window.partitionBy(*group, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = near.withColumn("_rank", F.col("_below") + F.sum("_c").over(ranks))
     out = ranked.groupBy(*group).agg(

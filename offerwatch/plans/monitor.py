@@ -24,6 +24,13 @@ WATCH_STATE = T.StructType(
     + [T.StructField("payload", schemas.WATCHED_PAYLOAD)]
 )
 
+WATCHED_READS = T.StructType(
+    schemas.struct(
+        "run_id string, run_seq bigint, listing_key string, url string, fetched_at timestamp, outcome string, error string"
+    ).fields
+    + [T.StructField("payload", schemas.WATCHED_PAYLOAD)]
+)
+
 WATCHED_CHANGES = schemas.struct(
     "run_seq bigint, listing_key string, old_total_czk bigint, new_total_czk bigint"
 )

@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from offerwatch import schemas
 from offerwatch.operators import diff, watch
-from offerwatch.plans.monitor import WATCH_STATE
+from offerwatch.plans.monitor import WATCH_STATE, WATCHED_READS
 from offerwatch.plans.store import Store
 
 
@@ -53,7 +54,8 @@ def stream_watch_states(
     store: Store,
     checkpoint: str,
     out_table: str = "watched_states",
-    reads_schema=None,
+    reads_schema: T.StructType = WATCHED_READS,
+    state_schema: T.StructType = WATCH_STATE,
     runs_per_batch: int | None = None,
 ) -> StreamingQuery:
     """Carry watched states forward run by run; the state is the previous run's partition."""
@@ -61,7 +63,6 @@ def stream_watch_states(
     if runs_per_batch:
         reader = reader.option("maxFilesPerTrigger", runs_per_batch)
     manifest = reader.parquet(store.path("runs"))
-    state_schema = WATCH_STATE
 
     def process(batch: DataFrame, _batch_id: int) -> None:
         span = _new_span(batch)
