@@ -11,6 +11,7 @@ from offerwatch.functions.costs import half_even
 from offerwatch.operators import enrich
 from offerwatch.plans import monitor
 from offerwatch.sources import card_portal, main_portal, node_portal
+from offerwatch.sources.pages import in_region
 
 PER_PAGE = 20
 LABEL = C.DEFAULTS.locality_label
@@ -90,7 +91,12 @@ def _main_pages(spark, sf_dir) -> DataFrame:
         F.lit('{"pagination":{"total":10,"offset":0,"limit":20},"results":['),
         F.array_join(F.transform("_results", lambda r: r["json"]), ","), F.lit("]}"),
     )
-    search = _landed(pages, C.MAIN_SOURCE, "search", tx=F.col("tx"), page_no=F.col("_page") + 1, body=_query_page(C.SEARCH_QUERY, data))
+    region = F.when(F.col("_page") % 11 == 10, "Brno").otherwise(F.url_encode(F.lit(C.DEFAULTS.region)))
+    search = _landed(
+        pages, C.MAIN_SOURCE, "search", tx=F.col("tx"), page_no=F.col("_page") + 1,
+        url=F.concat(F.lit("https://main.example/search?region="), region, F.lit("&page=1")),
+        body=_query_page(C.SEARCH_QUERY, data),
+    )
 
     n = F.floor("p_retailprice").cast("string")
     cost_field = (
@@ -115,7 +121,7 @@ def _main_pages(spark, sf_dir) -> DataFrame:
 
 
 def offers_from_json(spark, sf_dir):
-    pages = _main_pages(spark, sf_dir)
+    pages = in_region(_main_pages(spark, sf_dir), C.DEFAULTS.region)
     listings = monitor.main_listings(main_portal.search_pages(pages), main_portal.details(pages))
     return listings.select(
         "listing_key", "title", "disposition", "transaction_type", "price_czk", "floor_area_sqm", "price_czk_per_sqm",
@@ -134,7 +140,7 @@ WITH b AS (
          p_partkey % 19 > 2 AS was_read, CAST(floor(p_retailprice) AS BIGINT) AS n,
          CASE p_partkey % 5 WHEN 0 THEN '{STREET}' WHEN 1 THEN NULL WHEN 2 THEN NULL ELSE n_name END AS street
   FROM part p LEFT JOIN supplier ON s_suppkey = p_partkey % 10 LEFT JOIN nation ON n_nationkey = s_nationkey
-  WHERE p_partkey % 3 <> 2 AND p_partkey % 19 <> 0),
+  WHERE p_partkey % 3 <> 2 AND p_partkey % 19 <> 0 AND (p_partkey // {PER_PAGE}) % 11 <> 10),
 c AS (
   SELECT *,
          CASE WHEN was_read AND k % 4 <> 3 THEN n END AS fees,

@@ -53,8 +53,8 @@ EXCLUDE_KEYWORDS = ("kauce", "provize", "jednorázov", "deposit", "refundable")
 ELECTRICITY_KEYWORDS = ("energie", "elektřin")
 
 # Text patterns (Java syntax; (?U) gives \s, \b and \d their Unicode meaning).
-CLAUSE_BREAK = r"(?iuU)\+|;|\n|\bplus\b|,\s+|(?<=[a-zá-ž])\.\s+(?=[A-ZÁ-Ž])"
-AMOUNT = r"(?iu)(\d{1,3}(?:[ .,]\d{3})+|\d{3,6})\s*(?:k[čc]|czk)?"
+CLAUSE_BREAK = r"[+;\n]|,(?U:\s)+|(?iuU:\bplus\b)|\.(?iu:(?<=[a-zá-ž]\.))(?U:\s)+(?iu:(?=[A-ZÁ-Ž]))"
+AMOUNT = r"(\d{1,3}(?:[ .,]\d{3})+|\d{3,6})"
 AMOUNT_SEPARATORS = r"[ .,]"
 TITLE_AREA = r"(?U)(\d+(?:[.,]\d+)?)\s*m"
 URL_ID = r"/(\d+)/?$"

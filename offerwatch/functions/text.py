@@ -21,11 +21,20 @@ def mentions(lowered: Column, words: tuple[str, ...]) -> Column:
     return lowered.rlike("|".join(words))
 
 
+def first_match(text: Column, pattern: str, group: int = 1) -> Column:
+    """The first match's group, null when there is none.
+
+    Null rather than '' matters for speed: casting '' fails, and a failed cast
+    per row costs far more than the match itself.
+    """
+    return F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.lit(0))
+
+
 def first_amount(clause: Column) -> Column:
     """First amount in a clause as a positive bigint, else null."""
-    digits = F.regexp_replace(F.regexp_extract(clause, C.AMOUNT, 1), C.AMOUNT_SEPARATORS, "")
+    digits = F.regexp_replace(first_match(clause, C.AMOUNT), C.AMOUNT_SEPARATORS, "")
     value = digits.try_cast("bigint")
-    return F.when(value > 0, value)
+    return F.nullif(value, F.lit(0))
 
 
 def _amounts(text: Column, is_fee) -> Column:
@@ -69,11 +78,11 @@ def decimal_text(text: Column) -> Column:
 
 
 def title_area(title: Column, pattern: str = C.TITLE_AREA) -> Column:
-    return decimal_text(F.regexp_extract(title, pattern, 1))
+    return decimal_text(first_match(title, pattern))
 
 
 def digits_only(text: Column) -> Column:
-    return F.regexp_replace(text, r"[^\d]", "").try_cast("bigint")
+    return non_empty(F.regexp_replace(text, r"[^\d]", "")).try_cast("bigint")
 
 
 def truncate(text: Column, limit: int) -> Column:
@@ -99,7 +108,7 @@ def url_quote(text: Column) -> Column:
 
 def listing_id_from_url(url: Column) -> Column:
     """Numeric id at the end of a listing URL, else null."""
-    return non_empty(F.regexp_extract(trim_space(url), C.URL_ID, 1))
+    return first_match(trim_space(url), C.URL_ID)
 
 
 def last_path_segment(url: Column) -> Column:

@@ -15,6 +15,7 @@ from offerwatch.operators.dedup import keep_last_in_first_place
 from offerwatch.plans import marts
 from offerwatch.plans.store import Store
 from offerwatch.sources import card_portal, main_portal, node_portal
+from offerwatch.sources.pages import in_region
 
 WATCH_STATE = T.StructType(
     schemas.struct(
@@ -31,6 +32,12 @@ WATCHED_READS = T.StructType(
     + [T.StructField("payload", schemas.WATCHED_PAYLOAD)]
 )
 
+HISTORY = T.StructType(
+    [T.StructField("run_seq", T.LongType()), T.StructField("event_run_seq", T.LongType())]
+    + [f for f in schemas.CHANGES.fields if f.name != "run_seq"]
+    + [T.StructField("kind_order", T.IntegerType())]
+)
+
 WATCHED_CHANGES = schemas.struct(
     "run_seq bigint, listing_key string, old_total_czk bigint, new_total_czk bigint"
 )
@@ -61,6 +68,7 @@ def union_sources(*sources: DataFrame) -> DataFrame:
 
 def listings_from_pages(pages: DataFrame, cfg: C.MonitorConfig = C.DEFAULTS) -> DataFrame:
     """Listings of all runs among the pages."""
+    pages = in_region(pages, cfg.region)
     return union_sources(
         main_listings(main_portal.search_pages(pages), main_portal.details(pages, cfg), cfg),
         enrich.add_details(node_portal.adverts(pages, cfg), node_portal.advert_details(pages, cfg), cfg),
@@ -82,6 +90,7 @@ def run(
     """
     run_seq = (store.last_run() or 0) + 1
     landed = pages.where(F.col("run_id") == run_id).withColumn("run_seq", F.lit(run_seq).cast("bigint"))
+    landed = in_region(landed, cfg.region)
 
     searched = main_portal.search_pages(landed)
     store.write_run("search_pages", searched, run_seq)
@@ -144,9 +153,11 @@ def write_marts(store, current, changes, states, watched_changes, reads, run_seq
     store.write_run("mart_watched", watched, run_seq)
     items = marts.watched_then_listed(watched, listed.drop("cost_lines"))
     store.write_run("mart_map", marts.mart_map(items), run_seq)
-    past = store.committed("changes", schemas.CHANGES).where(F.col("run_seq") < run_seq)
-    past_watched = store.committed("watched_changes", WATCHED_CHANGES).where(F.col("run_seq") < run_seq)
-    newest = marts.newest_events(
-        marts.history_events(past.unionByName(changes), past_watched.unionByName(watched_changes)), cfg.history_cap
-    )
-    store.write_run("mart_history", marts.with_history_lines(newest).withColumnRenamed("run_seq", "event_run_seq"), run_seq)
+    # the capped history of the run before and this run's events hold the newest events there are
+    past = store.of_run("history", HISTORY, run_seq - 1).drop("run_seq").withColumnRenamed("event_run_seq", "run_seq")
+    now = marts.history_events(changes, watched_changes)
+    newest = marts.newest_events(past.unionByName(now, allowMissingColumns=True), cfg.history_cap)
+    store.write_run("history", schemas.conform(newest.withColumnRenamed("run_seq", "event_run_seq"), HISTORY, {}), run_seq)
+    newest = store.of_run("history", HISTORY, run_seq).withColumn("run_seq", F.col("event_run_seq"))
+    shown = marts.live_or_archived(marts.with_history_lines(newest), current)
+    store.write_run("mart_history", shown, run_seq)

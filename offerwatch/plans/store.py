@@ -32,7 +32,8 @@ class Store:
     def read_or_empty(self, table: str, schema: T.StructType) -> DataFrame:
         """The whole table as it lies there; one that was never written is empty."""
         try:
-            return self.spark.read.schema(schema).parquet(self.path(table))
+            # a partition column comes back last; item structs rely on the schema's order
+            return self.spark.read.schema(schema).parquet(self.path(table)).select(*schema.names)
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -45,9 +46,14 @@ class Store:
         df.drop("run_seq").write.mode("overwrite").parquet(f"{self.path(table)}/run_seq={run_seq}")
 
     def write_runs(self, table: str, df: DataFrame) -> None:
-        """Write the partitions of all runs in `df`, replacing those and no others."""
+        """Write the partitions of all runs in `df`, replacing those and no others.
+
+        Rebalancing first gathers a run's rows into few files and still splits a
+        run that is much larger than the rest.
+        """
         (
-            df.write.mode("overwrite")
+            df.hint("rebalance", F.col("run_seq"))
+            .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("run_seq")
             .parquet(self.path(table))
@@ -69,7 +75,7 @@ class Store:
         return self.runs().agg(F.max("run_seq")).first()[0]
 
     def committed(self, table: str, schema: T.StructType) -> DataFrame:
-        """Rows of committed runs. The manifest side is tiny, so the join prunes partitions."""
+        """Rows of committed runs."""
         return self.read_or_empty(table, schema).join(self.runs().select("run_seq"), "run_seq", "left_semi").select(
             *schema.names
         )

@@ -20,6 +20,7 @@ def local_session(cores: str | int = 8, app: str = "offerwatch", partitions: int
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )

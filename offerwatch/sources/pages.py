@@ -46,3 +46,9 @@ def fetch_outcome(status: Column, has_data: Column) -> Column:
 def pages_of(pages: DataFrame, source: str, kind: str) -> DataFrame:
     """One portal's pages of one kind; both columns prune partitions of the landed table."""
     return pages.where((F.col("source") == source) & (F.col("kind") == kind))
+
+
+def in_region(pages: DataFrame, region: str) -> DataFrame:
+    """Drop search pages asked for another region; a URL that names none is kept."""
+    asked = F.try_url_decode(F.regexp_extract(F.coalesce("url", F.lit("")), r"[?&]region=([^&#]*)", 1))
+    return pages.where((F.col("kind") != "search") | asked.isin("", region))

@@ -14,7 +14,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from offerwatch import schemas
+from offerwatch.config import DEFAULTS, MonitorConfig
 from offerwatch.operators import diff, watch
+from offerwatch.plans import monitor
 from offerwatch.plans.monitor import WATCH_STATE, WATCHED_READS
 from offerwatch.plans.store import Store
 
@@ -24,6 +26,36 @@ def _new_span(batch: DataFrame) -> tuple[int, int] | None:
     return None if low is None else (low, high)
 
 
+def stream_runs(
+    store: Store,
+    pages: DataFrame,
+    landed_path: str,
+    checkpoint: str,
+    cfg: MonitorConfig = DEFAULTS,
+    on_incomplete=None,
+) -> StreamingQuery:
+    """The periodic job: process every run that has landed since the last time.
+
+    `landed_path` holds one row (run_id, run_seq, generated_at) per finished
+    landing, the trigger of a run. A run that is already committed is skipped, so
+    a replayed batch does no harm; an incomplete one is reported and leaves nothing.
+    """
+    landed = store.spark.readStream.schema(schemas.RUNS).parquet(landed_path)
+
+    def process(batch: DataFrame, _batch_id: int) -> None:
+        done = store.runs().select("run_id")
+        fresh = batch.join(done, "run_id", "left_anti").orderBy("generated_at", "run_id")
+        for row in fresh.select("run_id", "generated_at").collect():
+            try:
+                monitor.run(store, pages, row["run_id"], row["generated_at"], cfg)
+            except monitor.IncompleteRun:
+                if on_incomplete:
+                    on_incomplete(row["run_id"])
+
+    writer = landed.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
+
+
 def stream_changes(
     store: Store,
     checkpoint: str,
