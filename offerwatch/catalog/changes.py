@@ -232,7 +232,7 @@ FROM obs WHERE run_seq = 2"""
 def snapshot_diff_stream(spark, sf_dir):
     """The diff computed run by run as the manifest grows; same result as the batch form."""
     store = _stored_runs(spark, sf_dir, "stream")
-    query = streaming.stream_changes(store, store.path("_checkpoint"), runs_per_batch=40)
+    query = streaming.stream_changes(store, store.path("_checkpoint"), runs_per_batch=60)
     query.awaitTermination()
     schema = schemas.struct(
         "run_seq bigint, kind string, listing_key string, old_price_czk bigint, new_price_czk bigint, "

@@ -18,7 +18,11 @@ def split_clauses(text: Column) -> Column:
 
 
 def mentions(lowered: Column, words: tuple[str, ...]) -> Column:
-    return lowered.rlike("|".join(words))
+    """Any of the words, as plain substrings."""
+    hit = lowered.contains(words[0])
+    for word in words[1:]:
+        hit = hit | lowered.contains(word)
+    return hit
 
 
 def first_match(text: Column, pattern: str, group: int = 1) -> Column:
@@ -38,21 +42,24 @@ def first_amount(clause: Column) -> Column:
 
 
 def _amounts(text: Column, is_fee) -> Column:
-    """struct(fee, electricity): for each, the first amount of a clause that may carry it."""
+    """struct(fee, electricity): for each, the first amount of a clause that may carry it.
+
+    Lower-casing first changes no clause, because breaks ignore case, and saves
+    doing it for every keyword of every clause.
+    """
     nothing = F.lit(None).cast("bigint")
 
     def read(found, clause):
-        low = F.lower(clause)
-        usable = ~mentions(low, C.EXCLUDE_KEYWORDS)
-        power = mentions(low, C.ELECTRICITY_KEYWORDS)
+        power = mentions(clause, C.ELECTRICITY_KEYWORDS)
         amount = first_amount(clause)
-        return F.struct(
-            F.coalesce(found["fee"], F.when(usable & is_fee(low, power), amount)).alias("fee"),
-            F.coalesce(found["electricity"], F.when(usable & power, amount)).alias("electricity"),
+        kept = F.struct(
+            F.coalesce(found["fee"], F.when(is_fee(clause, power), amount)).alias("fee"),
+            F.coalesce(found["electricity"], F.when(power, amount)).alias("electricity"),
         )
+        return F.when(mentions(clause, C.EXCLUDE_KEYWORDS), found).otherwise(kept)
 
     start = F.struct(nothing.alias("fee"), nothing.alias("electricity"))
-    return F.aggregate(split_clauses(text), start, read)
+    return F.aggregate(split_clauses(F.lower(text)), start, read)
 
 
 def amounts_in_cost_field(text: Column) -> Column:

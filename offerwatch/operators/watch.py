@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from offerwatch.functions import text as X
 from offerwatch.functions.costs import comparison_value
+from offerwatch.operators.diff import with_neighbours
 
-# Runs per block of the prefix scan; see carry_forward.
+# Runs per block of carry_forward's scan.
 RUNS_PER_BLOCK = 512
 
 
@@ -60,34 +61,6 @@ def apply_edits(watchlist: DataFrame, edits: DataFrame) -> DataFrame:
 # --------------------------------------------------------------- carry-forward
 
 
-def running_last(df: DataFrame, keys: list[str], seq: str, values: dict[str, Column], block: int) -> DataFrame:
-    """Add, per name, the struct(seq, value) of the last row up to this one where value is not null.
-
-    A prefix scan in two levels. Rows are windowed within blocks of `block` runs,
-    each block passes one summary row on, and a window over the summaries brings
-    in what earlier blocks ended with. No task ever holds a key's whole history.
-    """
-    home = F.floor(F.col(seq) / block)
-    marked = df.withColumn("_block", home)
-    marks = {n: F.when(v.isNotNull(), F.struct(F.col(seq).alias("seq"), v.alias("value"))) for n, v in values.items()}
-    within = Window.partitionBy(*keys, "_block").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    local = marked.select(
-        "*", *[F.last(m, ignorenulls=True).over(within).alias(f"_in_{n}") for n, m in marks.items()]
-    )
-    ends = marked.groupBy(*keys, "_block").agg(
-        *[F.max_by(m, F.when(m.isNotNull(), F.col(seq))).alias(f"_end_{n}") for n, m in marks.items()]
-    )
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(
-        *keys,
-        "_block",
-        *[F.last(f"_end_{n}", ignorenulls=True).over(before).alias(f"_pre_{n}") for n in values],
-    )
-    return local.join(carried, [*keys, "_block"]).select(
-        *df.columns, *[F.coalesce(f"_in_{n}", f"_pre_{n}").alias(n) for n in values]
-    )
-
-
 def carry_forward(reads: DataFrame, block: int = RUNS_PER_BLOCK) -> DataFrame:
     """State of every watched listing after every run.
 
@@ -96,32 +69,53 @@ def carry_forward(reads: DataFrame, block: int = RUNS_PER_BLOCK) -> DataFrame:
     the last known state and notes the error; a 404 turns it inactive and keeps
     the details and when it was last seen active. Leaving the watch list for a
     run drops the state.
+
+    Everything a state holds is the last of something: the last start of a watch
+    period, the last ok read, the last readable one. These are prefix scans, made
+    in two levels so that no task holds a listing's whole history: rows are
+    windowed within blocks of runs, each block sends one summary row on, and a
+    window over the summaries brings in what earlier blocks ended with.
     """
-    keys = ["listing_key"]
-    last_run = F.lag("run_seq").over(
-        Window.partitionBy(*keys, "_group").orderBy("run_seq")
-    )
-    # one run of overlap is enough to see whether the run before is there
+    home = F.floor(F.col("run_seq") / block)
+    # one run of overlap shows the first row of a block whether the run before is there
     spread = reads.withColumn(
-        "_group",
-        F.explode(F.array_distinct(F.array(F.floor(F.col("run_seq") / block), F.floor((F.col("run_seq") + 1) / block)))),
+        "_block", F.explode(F.array_distinct(F.array(home, F.floor((F.col("run_seq") + 1) / block))))
     )
-    gaps = (
-        spread.withColumn("_starts", F.coalesce(F.col("run_seq") - last_run != 1, F.lit(True)))
-        .where(F.col("_group") == F.floor(F.col("run_seq") / block))
-        .drop("_group")
+    by_block = Window.partitionBy("listing_key", "_block").orderBy("run_seq")
+    at_home = F.col("_block") == home
+    spread = spread.withColumn(
+        "_starts", F.coalesce(F.col("run_seq") - F.lag("run_seq").over(by_block) != 1, F.lit(True))
     )
-    ok, readable = F.col("outcome") == "ok", F.col("outcome") != "unreadable"
-    seen = running_last(
-        gaps,
-        keys,
-        "run_seq",
-        {
-            "_start": F.when(F.col("_starts"), F.struct("outcome", "fetched_at", "error")),
-            "_ok": F.when(ok, F.struct("fetched_at", "payload")),
-            "_read": F.when(readable, F.struct("outcome", "fetched_at", "error")),
-        },
-        block,
+    read = F.struct("outcome", "fetched_at", "error")
+    values = {
+        "_start": F.when(F.col("_starts"), read),
+        "_ok": F.when(F.col("outcome") == "ok", F.struct("fetched_at", "payload")),
+        "_read": F.when(F.col("outcome") != "unreadable", read),
+    }
+    marked = spread.select(
+        "*",
+        *[
+            F.when(at_home & v.isNotNull(), F.struct(F.col("run_seq").alias("seq"), v.alias("value"))).alias(f"{n}_here")
+            for n, v in values.items()
+        ],
+    )
+    upto = by_block.rowsBetween(Window.unboundedPreceding, 0)
+    local = marked.select(
+        "run_seq", "listing_key", "outcome", "fetched_at", "error", "_block",
+        *[F.last(f"{n}_here", ignorenulls=True).over(upto).alias(f"{n}_in") for n in values],
+    ).where(at_home)
+    ends = local.groupBy("listing_key", "_block").agg(
+        F.max_by(F.struct(*[f"{n}_in" for n in values]), "run_seq").alias("_end")
+    )
+    earlier = Window.partitionBy("listing_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(
+        "listing_key",
+        "_block",
+        *[F.last(F.col(f"_end.{n}_in"), ignorenulls=True).over(earlier).alias(f"{n}_before") for n in values],
+    )
+    seen = local.join(carried, ["listing_key", "_block"]).select(
+        "run_seq", "listing_key", "outcome", "fetched_at", "error",
+        *[F.coalesce(f"{n}_in", f"{n}_before").alias(n) for n in values],
     )
 
     # what was seen before the current watch period does not count
@@ -187,18 +181,15 @@ def watched_changes(states: DataFrame) -> DataFrame:
     not have, so they compare as null.
     """
     now = states.select(
-        "run_seq", "listing_key", "active",
-        F.col("payload.total_czk").alias("new_total_czk"),
+        "run_seq",
+        "listing_key",
+        "active",
+        F.col("payload.total_czk").alias("total_czk"),
         comparison_value(
             F.col("payload.total_czk"), F.col("payload.electricity_estimated"), F.lit(None).cast("bigint")
-        ).alias("_cmp"),
+        ).alias("cmp"),
     )
-    before = now.select(
-        (F.col("run_seq") + 1).alias("run_seq"), "listing_key",
-        F.col("new_total_czk").alias("old_total_czk"), F.col("_cmp").alias("_old_cmp"),
-    )
-    both = now.where("active").join(before, ["run_seq", "listing_key"])
-    return both.where(~F.col("_cmp").eqNullSafe(F.col("_old_cmp"))).select(
-        "run_seq", "listing_key", "old_total_czk", "new_total_czk"
-    )
-
+    seen = with_neighbours(now, ["listing_key"], ["total_czk", "cmp"])
+    return seen.where(
+        F.col("active") & (F.col("prev_seq") == F.col("run_seq") - 1) & ~F.col("cmp").eqNullSafe(F.col("prev_cmp"))
+    ).select("run_seq", "listing_key", F.col("prev_total_czk").alias("old_total_czk"), F.col("total_czk").alias("new_total_czk"))

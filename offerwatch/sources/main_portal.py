@@ -9,7 +9,7 @@ from offerwatch import config as C
 from offerwatch.functions import costs, html
 from offerwatch.functions import text as X
 from offerwatch.operators.dedup import keep_last
-from offerwatch.sources.pages import embedded_state, fetch_outcome, pages_of, query_data
+from offerwatch.sources.pages import embedded_state, fetch_outcome, has_data, pages_of, query_data
 
 _LOCALITY = "struct<street string, cityPart string, city string, latitude double, longitude double>"
 
@@ -52,7 +52,7 @@ def search_pages(pages: DataFrame) -> DataFrame:
         "run_seq",
         "tx",
         "page_no",
-        fetch_outcome(F.col("status"), F.col("_data").isNotNull()).alias("outcome"),
+        fetch_outcome(F.col("status"), has_data(F.col("_data"))).alias("outcome"),
         F.col("_search.pagination.total").alias("total"),
         F.col("_search.pagination.offset").alias("page_offset"),
         F.col("_search.pagination.limit").alias("page_limit"),
@@ -101,7 +101,7 @@ def search_listings(searched: DataFrame, cfg: C.MonitorConfig = C.DEFAULTS) -> D
 def _detail_struct(pages: DataFrame) -> DataFrame:
     read = pages.withColumn("_data", query_data(embedded_state(F.col("body")), C.DETAIL_QUERY))
     return read.withColumn("d", F.try_variant_get("_data", "$", DETAIL_DATA)).withColumn(
-        "outcome", fetch_outcome(F.col("status"), F.col("_data").isNotNull())
+        "outcome", fetch_outcome(F.col("status"), has_data(F.col("_data")))
     )
 
 

@@ -16,15 +16,21 @@ def embedded_state(body: Column) -> Column:
 
 
 def query_data(state: Column, key: str) -> Column:
-    """Data of the first successful query whose key starts with `key`, as a variant."""
+    """Data of the first successful query whose key starts with `key`, as a variant.
+
+    Null when there is no such query; the query's data may itself be a JSON null.
+    """
     queries = F.try_variant_get(state, "$.props.pageProps.dehydratedState.queries", "array<variant>")
     wanted = F.filter(
         queries,
         lambda q: (F.try_variant_get(q, "$.queryKey[0]", "string") == key)
         & (F.try_variant_get(q, "$.state.status", "string") == "success"),
     )
-    data = F.try_variant_get(F.get(wanted, F.lit(0)), "$.state.data", "variant")
-    return F.when(~F.is_variant_null(data), data)
+    return F.try_variant_get(F.get(wanted, F.lit(0)), "$.state.data", "variant")
+
+
+def has_data(data: Column) -> Column:
+    return data.isNotNull() & ~F.is_variant_null(data)
 
 
 def fetch_outcome(status: Column, has_data: Column) -> Column:
