@@ -186,12 +186,12 @@ SELECT run_seq, listing_key,
        is_changed,
        {money_sql("price_czk", "chr(160)")} || CASE WHEN k % 10 = 0 THEN '*' ELSE '' END AS shown_total,
        CASE WHEN k % 2 = 0 THEN 'rent' ELSE 'sale' END AS type_label,
-       CASE WHEN k % 3 <> 0 THEN 'not stated' WHEN k % 2 = 0 THEN 'yes' ELSE 'no' END AS garage_label,
+       CASE WHEN k % 3 <> 0 THEN 'neuvedeno' WHEN k % 2 = 0 THEN 'Ano' ELSE 'Ne' END AS garage_label,
        CASE WHEN k % 4 = 0 THEN (k % 9) || '/' || CASE WHEN k % 8 = 0 THEN '9' ELSE '?' END ELSE '—' END AS floor_label,
        CASE k % 3 WHEN 0 THEN 'SR' WHEN 1 THEN 'BR' ELSE 'iD' END AS source_badge,
-       CASE WHEN k % 2 = 0 THEN 'rent=' || price_czk || ';fees=' || CASE WHEN k % 5 = 0 THEN '-' ELSE CAST(k % 7 * 100 AS VARCHAR) END
-                 || ';electricity=-;total=' || price_czk
-            ELSE 'price=' || price_czk END AS cost_text
+       CASE WHEN k % 2 = 0 THEN 'Nájem (net)=' || price_czk || ';Poplatky / služby=' || CASE WHEN k % 5 = 0 THEN '-' ELSE CAST(k % 7 * 100 AS VARCHAR) END
+                 || ';Elektřina=-;Celkem (s elektřinou)=' || price_czk
+            ELSE 'Cena=' || price_czk END AS cost_text
 FROM marked"""
 
 

@@ -88,6 +88,28 @@ NODE_DETAIL_URL = "https://www.bezrealitky.cz/nemovitosti-byty-domy/"
 THUMB_SUFFIX = "?fl=res,400,400,1|shr,,20|webp,60"
 FULL_SUFFIX = "?fl=res,800,800,1|shr,,20|jpg,80"
 
+# Wording of the serving tables.
+COST_LABELS = {
+    "rent": "Nájem (net)",
+    "fees": "Poplatky / služby",
+    "electricity": "Elektřina",
+    "total": "Celkem (s elektřinou)",
+    "price": "Cena",
+    "one_time": "Administrativní poplatek (jednorázově)",
+}
+FEES_UNSTATED = "neuvedeno listingem"
+FEES_FROM_TEXT = "z popisu"
+ESTIMATED = "odhad"
+YES, NO, UNSTATED = "Ano", "Ne", "neuvedeno"
+NOTE_PRICE = "Price changed: "
+NOTE_NEW = "New listing since last check"
+NOTE_LAST_KNOWN = "No longer listed — showing last known details from "
+
+# What is recorded about a watched page that could not be read.
+ERROR_STATUS = "HTTP "
+ERROR_NO_STATE = "no __NEXT_DATA__ in page (HTTP {})"
+ERROR_NO_QUERY = "estate query missing from page"
+
 # Fetch statuses that say nothing about the listing itself.
 RETRY_STATUSES = (429, 500, 502, 503, 504)
 

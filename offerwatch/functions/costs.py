@@ -85,9 +85,9 @@ def shown_total(total: Column, price: Column, tx: Column, fees_missing: Column,
     return F.concat(X.money(F.coalesce(total, price), group), star)
 
 
-def _line(label: Column | str, amount: Column, note: Column | None = None) -> Column:
+def _line(label: str, amount: Column, note: Column | None = None) -> Column:
     return F.struct(
-        (F.lit(label) if isinstance(label, str) else label).alias("label"),
+        F.lit(C.COST_LABELS[label]).alias("label"),
         amount.cast("bigint").alias("amount"),
         (F.lit(None) if note is None else note).cast("string").alias("note"),
     )
@@ -98,16 +98,15 @@ def cost_lines() -> Column:
     rent = F.coalesce(F.col("transaction_type") == C.RENT, F.lit(False))
     missing = F.coalesce(F.col("fees_missing"), F.lit(False))
     estimated = F.coalesce(F.col("electricity_estimated"), F.lit(False))
-    fee_note = F.when(missing, "not stated").when(F.col("fees_source") == "text", "from description")
-    power_note = F.when(estimated, "estimate").otherwise("as stated")
+    fee_note = F.when(missing, C.FEES_UNSTATED).when(F.col("fees_source") == "text", C.FEES_FROM_TEXT)
     one_time = F.when(
-        F.coalesce(F.col("admin_fee_czk"), F.lit(0)) != 0, _line("one-time fee", F.col("admin_fee_czk"))
+        F.coalesce(F.col("admin_fee_czk"), F.lit(0)) != 0, _line("one_time", F.col("admin_fee_czk"))
     )
     rental = F.array(
         _line("rent", F.col("price_czk")),
         _line("fees", F.when(~missing, F.col("fees_czk")), fee_note),
-        _line("electricity", F.col("electricity_czk"), power_note),
-        _line("total", F.col("total_czk"), F.when(missing, "without fees")),
+        _line("electricity", F.col("electricity_czk"), F.when(estimated, C.ESTIMATED)),
+        _line("total", F.col("total_czk")),
         one_time,
     )
     sale = F.array(_line("price", F.col("price_czk")), one_time)

@@ -24,12 +24,12 @@ SORT_KEYS = (
 
 def change_notes(changes: DataFrame, watched_changes: DataFrame | None = None) -> DataFrame:
     """One note per listing of a run's changes: a watched change before a price change before new."""
-    moved = F.concat(F.lit("Price changed: "), X.money(F.col("old_total_czk")), F.lit(" → "), X.money(F.col("new_total_czk")))
+    moved = F.concat(F.lit(C.NOTE_PRICE), X.money(F.col("old_total_czk")), F.lit(" → "), X.money(F.col("new_total_czk")))
     notes = changes.where(F.col("kind").isin(PRICE_CHANGE, NEW)).select(
         "run_seq",
         "listing_key",
         F.when(F.col("kind") == PRICE_CHANGE, 1).otherwise(2).alias("_priority"),
-        F.when(F.col("kind") == PRICE_CHANGE, moved).otherwise("New listing since last check").alias("change_note"),
+        F.when(F.col("kind") == PRICE_CHANGE, moved).otherwise(C.NOTE_NEW).alias("change_note"),
     )
     if watched_changes is not None:
         notes = notes.unionByName(
@@ -127,7 +127,7 @@ def display_columns(df: DataFrame) -> DataFrame:
     floor = F.concat(F.col("floor_number").cast("string"), F.lit("/"), F.coalesce(F.col("floors_total").cast("string"), F.lit("?")))
 
     def yes_no(name):
-        return F.when(F.col(name), "yes").when(~F.col(name), "no").otherwise("not stated")
+        return F.when(F.col(name), C.YES).when(~F.col(name), C.NO).otherwise(C.UNSTATED)
 
     return df.select(
         "*",
@@ -152,7 +152,7 @@ def watched_items(states: DataFrame, watchlist: DataFrame, notes: DataFrame, cfg
     last_known = F.when(
         ~F.col("active") & F.col("last_active_at").isNotNull(),
         F.concat(
-            F.lit("No longer listed — showing last known details from "),
+            F.lit(C.NOTE_LAST_KNOWN),
             F.date_format("last_active_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"),
         ),
     )

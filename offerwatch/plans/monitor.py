@@ -113,12 +113,12 @@ def run(
         card_portal.card_listings(card_portal.cards(landed), cfg),
     )
     store.write_run("listings", listings, run_seq)
-    recent = store.read_or_empty("listings", schemas.LISTING)
+    recent = store.of_runs("listings", schemas.LISTING, run_seq - diff.ABSENCES, run_seq)
     current = store.of_run("listings", schemas.LISTING, run_seq)
 
     states = watch.carry_step(store.of_run("watched", WATCH_STATE, run_seq - 1), reads)
     store.write_run("watched", states, run_seq)
-    two_runs = store.read_or_empty("watched", WATCH_STATE).where(F.col("run_seq").between(run_seq - 1, run_seq))
+    two_runs = store.of_runs("watched", WATCH_STATE, run_seq - 1, run_seq)
     store.write_run("watched_changes", watch.watched_changes(two_runs), run_seq)
     watched_changes = store.of_run("watched_changes", WATCHED_CHANGES, run_seq)
 
@@ -133,11 +133,21 @@ def run(
     changes = schemas.conform(events.withColumn("is_watched", F.lit(False)), schemas.CHANGES, {})
     store.write_run("changes", changes, run_seq)
     changes = store.of_run("changes", schemas.CHANGES, run_seq)
-    store.write_run("pending", diff.pending(recent.where(F.col("run_seq").between(run_seq - 1, run_seq)), run_seq), run_seq)
+    waiting = diff.pending(recent, run_seq)
+    store.write_run("pending", waiting, run_seq)
 
     per_type = stats.price_stats(current, ["run_seq", "transaction_type"], "price_czk_per_sqm")
     run_stats = stats.wide_stats(per_type.withColumn("run_seq", F.lit(run_seq)), [])
     store.write_run("run_stats", run_stats, run_seq)
+    per_kind = stats.events_per_kind(
+        changes.select("run_seq", "kind").unionByName(
+            waiting.select(F.lit(run_seq).cast("bigint").alias("run_seq"), F.lit("pending").alias("kind"))
+        )
+    ).select("run_seq", F.lit("events").alias("what"), F.col("kind").alias("name"), F.col("events").alias("n"))
+    per_source = stats.rows_per_source(current, ["run_seq", "source"]).select(
+        "run_seq", F.lit("listings").alias("what"), F.col("source").alias("name"), F.col("listings").alias("n")
+    )
+    store.write_run("mart_counts", per_kind.unionByName(per_source), run_seq)
 
     write_marts(store, current, changes, states, watched_changes, reads, run_seq, cfg)
     store.commit(run_seq, generated_at)

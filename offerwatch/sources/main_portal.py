@@ -99,7 +99,8 @@ def search_listings(searched: DataFrame, cfg: C.MonitorConfig = C.DEFAULTS) -> D
 
 
 def _detail_struct(pages: DataFrame) -> DataFrame:
-    read = pages.withColumn("_data", query_data(embedded_state(F.col("body")), C.DETAIL_QUERY))
+    read = pages.withColumn("_state", embedded_state(F.col("body")))
+    read = read.withColumn("_data", query_data(F.col("_state"), C.DETAIL_QUERY))
     return read.withColumn("d", F.try_variant_get("_data", "$", DETAIL_DATA)).withColumn(
         "outcome", fetch_outcome(F.col("status"), has_data(F.col("_data")))
     )
@@ -156,12 +157,16 @@ def watched_reads(pages: DataFrame, cfg: C.MonitorConfig = C.DEFAULTS) -> DataFr
     For a watched listing a transient failure is one more way of being unreadable.
     """
     read = _detail_struct(pages_of(pages, C.MAIN_SOURCE, "watched"))
-    read = read.withColumn(
-        "error",
-        F.when(F.col("outcome") == "gone", F.lit("HTTP 404"))
-        .when(F.col("outcome") == "transient", F.concat(F.lit("no answer: "), F.coalesce(F.concat(F.lit("HTTP "), F.col("status").cast("string")), F.lit("connection"))))
-        .when(F.col("outcome") == "unreadable", F.concat(F.lit("no listing data in page (HTTP "), F.col("status").cast("string"), F.lit(")"))),
-    ).withColumn("outcome", F.when(F.col("outcome") == "transient", "unreadable").otherwise(F.col("outcome")))
+    status = F.coalesce(F.concat(F.lit(C.ERROR_STATUS), F.col("status").cast("string")), F.lit("no answer"))
+    no_state = F.format_string(C.ERROR_NO_STATE.replace("{}", "%d"), "status")
+    error = (
+        F.when(F.col("outcome").isin("gone", "fatal"), status)
+        .when(F.col("outcome") == "transient", F.concat_ws(": ", "url", status))
+        .when(F.col("outcome") == "unreadable", F.when(F.col("_state").isNull(), no_state).otherwise(C.ERROR_NO_QUERY))
+    )
+    read = read.withColumn("error", error).withColumn(
+        "outcome", F.when(F.col("outcome") == "transient", "unreadable").otherwise(F.col("outcome"))
+    )
     read = read.select(
         "run_id", "run_seq", "listing_key", "url", "fetched_at", "outcome", "error", "d",
         F.col("d.params.costOfLiving").alias("_cost"), F.col("d.description").alias("_text"),

@@ -74,8 +74,9 @@ def stream_changes(
         span = _new_span(batch)
         if span is None:
             return
-        listings = store.read_or_empty("listings", schemas.LISTING)
-        events = diff.diff_new_runs(listings, *span, strict=strict)
+        first, last = span
+        listings = store.of_runs("listings", schemas.LISTING, first - diff.ABSENCES, last)
+        events = diff.diff_new_runs(listings, first, last, strict=strict)
         store.write_runs(out_table, diff.stamp_times(events, store.runs()))
 
     writer = manifest.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)

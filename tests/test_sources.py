@@ -88,10 +88,11 @@ def test_watched_reads(spark):
     df = frame(
         spark,
         P.detail(1, kind="watched", url="u1"), P.detail(2, kind="watched", status=404), P.detail(3, kind="watched", status=503),
-        P.detail(4, kind="watched", body="x"), P.detail(5, kind="watched", categoryTypeCb={"value": 1}, description=None),
+        P.detail(4, kind="watched", body="x"), P.detail(6, kind="watched", body=P.queries("other", {})), P.detail(5, kind="watched", categoryTypeCb={"value": 1}, description=None),
     )
     got = by_key(main_portal.watched_reads(df))
-    assert {k: r.outcome for k, r in got.items()} == {"1": "ok", "2": "gone", "3": "unreadable", "4": "unreadable", "5": "ok"}
+    assert {k: r.outcome for k, r in got.items()} == {"1": "ok", "2": "gone", "3": "unreadable", "4": "unreadable", "5": "ok", "6": "unreadable"}
+    assert got["4"].error == "no __NEXT_DATA__ in page (HTTP 200)" and got["6"].error == "estate query missing from page"
     p = got["1"].payload
     assert (p.rent_czk, p.total_czk, p.price_czk_per_sqm, p.photo_count, p.district) == (20000, 24900, 498, 0, "Praha 9")
     assert got["2"].payload is None and got["2"].error == "HTTP 404"

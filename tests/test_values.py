@@ -130,10 +130,12 @@ def test_cost_lines(spark):
         "electricity_czk bigint, electricity_estimated boolean, total_czk bigint, admin_fee_czk bigint",
     )
     got = [[tuple(line) for line in r.lines] for r in df.select(costs.cost_lines().alias("lines")).collect()]
+    rent, fees, power, total = "Nájem (net)", "Poplatky / služby", "Elektřina", "Celkem (s elektřinou)"
+    once = "Administrativní poplatek (jednorázově)"
     assert got == [
-        [("rent", 100, None), ("fees", None, "not stated"), ("electricity", 1500, "estimate"), ("total", 1600, "without fees")],
-        [("rent", 100, None), ("fees", 50, "from description"), ("electricity", 70, "as stated"), ("total", 220, None), ("one-time fee", 900, None)],
-        [("price", 500, None), ("one-time fee", 3, None)],
+        [(rent, 100, None), (fees, None, "neuvedeno listingem"), (power, 1500, "odhad"), (total, 1600, None)],
+        [(rent, 100, None), (fees, 50, "z popisu"), (power, 70, None), (total, 220, None), (once, 900, None)],
+        [("Cena", 500, None), (once, 3, None)],
     ]
 
 
