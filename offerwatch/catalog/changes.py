@@ -6,10 +6,12 @@ from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
 
+from offerwatch import config as C
 from offerwatch import schemas
 from offerwatch.catalog.tables import CHANGES_SQL, OBS_SQL, load, money_sql, observations
+from offerwatch.functions.costs import half_even
 from offerwatch.operators import diff, stats
-from offerwatch.operators.dedup import keep_last_in_first_place
+from offerwatch.operators.dedup import keep_last, keep_last_in_first_place
 from offerwatch.plans import marts
 from offerwatch.plans.store import Store
 from offerwatch.session import work_dir
@@ -140,10 +142,10 @@ FROM changes c LEFT JOIN (SELECT o.* FROM obs o, bounds WHERE run_seq = n) l ON
 
 def lookup_priority(spark, sf_dir):
     customers = load(spark, sf_dir, "customer").select(
-        F.col("c_custkey").cast("string").alias("listing_key"), F.col("c_name").alias("title"), "c_custkey"
+        F.col("c_custkey").cast("string").alias("listing_key"), F.col("c_name").alias("title"), "c_mktsegment"
     )
-    watched = customers.where(F.col("c_custkey") % 10 == 0).withColumn("title", F.concat(F.lit("watched "), "title"))
-    items = marts.watched_then_listed(watched.drop("c_custkey"), customers.drop("c_custkey"))
+    watched = customers.where(F.col("c_mktsegment") == "HOUSEHOLD").withColumn("title", F.concat(F.lit("watched "), "title"))
+    items = marts.watched_then_listed(watched.drop("c_mktsegment"), customers.drop("c_mktsegment"))
     return marts.preferred_items(items).select("listing_key", "title", "priority")
 
 
@@ -154,7 +156,7 @@ def listing_mart(spark, sf_dir):
         obs.select(
             "run_seq", "listing_key", "title", "price_czk", "total_czk", "electricity_estimated",
             F.when(key % 2 == 0, "pronajem").otherwise("prodej").alias("transaction_type"),
-            F.element_at(F.array(F.lit("sreality"), F.lit("bezrealitky"), F.lit("idnes")), (key % 3 + 1).cast("int")).alias("source"),
+            F.element_at(F.array(*[F.lit(c) for c in C.SOURCE_BADGES]), (key % 3 + 1).cast("int")).alias("source"),
             (key % 5 == 0).alias("fees_missing"),
             F.when(key % 5 != 0, key % 7 * 100).alias("fees_czk"),
             F.when(key % 4 == 0, key % 9).alias("floor_number"),
@@ -210,9 +212,13 @@ def _stored_runs(spark, sf_dir, name):
 
 
 def store_roundtrip(spark, sf_dir):
-    """Two committed runs and one that is not: the latest visible run is the second."""
+    """The month in three runs of ten days, the third not committed: the latest visible is the second."""
     store = Store(spark, work_dir(spark, "roundtrip"))
-    obs = schemas.conform(observations(spark, sf_dir))
+    events = load(spark, sf_dir, "events").select(
+        (F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(2)) + 1).cast("bigint").alias("run_seq"),
+        F.col("user_id").cast("string").alias("listing_key"), half_even(F.col("value")).alias("price_czk"), "ts", "event_id",
+    )
+    obs = schemas.conform(keep_last(events, ["run_seq", "listing_key"], ["ts", "event_id"]))
     start = datetime(2024, 1, 1, tzinfo=timezone.utc)
     for run_seq in (1, 2, 3):
         store.write_run("listings", obs.where(F.col("run_seq") == run_seq), run_seq)
@@ -223,10 +229,13 @@ def store_roundtrip(spark, sf_dir):
     return latest.join(store.runs().select("run_seq", "run_id"), "run_seq").join(visible, "run_seq")
 
 
-STORE_ROUNDTRIP = f"""
-WITH {OBS_SQL}
+STORE_ROUNDTRIP = """
+WITH runs AS (
+  SELECT least((day(ts) - 1) // 10, 2) + 1 AS run_seq, CAST(user_id AS VARCHAR) AS listing_key,
+         arg_max(CAST(round_even(value, 0) AS BIGINT), {'ts': ts, 'id': event_id}) AS price_czk
+  FROM events GROUP BY 1, 2)
 SELECT run_seq, listing_key, price_czk, '20240101T160000Z' AS run_id, count(*) OVER () AS visible
-FROM obs WHERE run_seq = 2"""
+FROM runs WHERE run_seq = 2"""
 
 
 def snapshot_diff_stream(spark, sf_dir):
@@ -306,8 +315,8 @@ ORACLES = {
     "live_or_archived": LIVE_OR_ARCHIVED,
     "lookup_priority": """
         SELECT CAST(c_custkey AS VARCHAR) AS listing_key,
-               CASE WHEN c_custkey % 10 = 0 THEN 'watched ' || c_name ELSE c_name END AS title,
-               CASE WHEN c_custkey % 10 = 0 THEN 0 ELSE 1 END AS priority
+               CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 'watched ' || c_name ELSE c_name END AS title,
+               CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 0 ELSE 1 END AS priority
         FROM customer""",
     "listing_mart": LISTING_MART,
     "store_roundtrip": STORE_ROUNDTRIP,

@@ -51,13 +51,9 @@ def _landed(df: DataFrame, source: str, kind: str, **columns: Column) -> DataFra
 
 
 def _parts(spark, sf_dir) -> DataFrame:
-    """Parts with the supplier of their last digit and its nation: title, place, agent."""
-    part = load(spark, sf_dir, "part").withColumn("_s", F.col("p_partkey") % 10)
-    supplier = load(spark, sf_dir, "supplier").where(F.col("s_suppkey") < 10)
-    nation = load(spark, sf_dir, "nation")
-    return part.join(supplier, part["_s"] == supplier["s_suppkey"], "left").join(
-        nation, supplier["s_nationkey"] == nation["n_nationkey"], "left"
-    )
+    """Parts with a nation as their part of town."""
+    part, nation = load(spark, sf_dir, "part"), load(spark, sf_dir, "nation")
+    return part.join(nation, part["p_size"] % 25 == nation["n_nationkey"], "left")
 
 
 def _main_pages(spark, sf_dir) -> DataFrame:
@@ -105,7 +101,7 @@ def _main_pages(spark, sf_dir) -> DataFrame:
     prose = F.when(k % 4 == 2, F.concat(F.lit("Hezký byt. Poplatky "), n, F.lit(" Kč měsíčně."))).when(k % 4 == 3, F.repeat(F.lit("ž"), 1300))
     detail = F.struct(
         prose.alias("description"),
-        F.struct(F.when(k % 3 == 0, F.col("s_name")).otherwise("").alias("name")).alias("seller"),
+        F.struct(F.when(k % 3 == 0, F.col("p_brand")).otherwise("").alias("name")).alias("seller"),
         F.struct(F.lit("office").alias("name")).alias("premise"),
         F.struct(F.lit(49.5).alias("latitude"), F.lit(13.5).alias("longitude")).alias("locality"),
         F.struct(
@@ -134,12 +130,12 @@ def offers_from_json(spark, sf_dir):
 
 OFFERS_FROM_JSON = f"""
 WITH b AS (
-  SELECT p.*, p_partkey AS k, n_name, s_name, (p_partkey // {PER_PAGE}) % 2 = 0 AS rent,
+  SELECT p.*, p_partkey AS k, n_name, (p_partkey // {PER_PAGE}) % 2 = 0 AS rent,
          CASE WHEN p_partkey % 17 <> 0 THEN CAST(round_even(p_retailprice * 20, 0) AS BIGINT) END AS price,
          p_size + CASE WHEN p_partkey % 2 = 1 THEN 0.5 ELSE 0 END AS area,
          p_partkey % 19 > 2 AS was_read, CAST(floor(p_retailprice) AS BIGINT) AS n,
          CASE p_partkey % 5 WHEN 0 THEN '{STREET}' WHEN 1 THEN NULL WHEN 2 THEN NULL ELSE n_name END AS street
-  FROM part p LEFT JOIN supplier ON s_suppkey = p_partkey % 10 LEFT JOIN nation ON n_nationkey = s_nationkey
+  FROM part p LEFT JOIN nation ON n_nationkey = p_size % 25
   WHERE p_partkey % 3 <> 2 AND p_partkey % 19 <> 0 AND (p_partkey // {PER_PAGE}) % 11 <> 10),
 c AS (
   SELECT *,
@@ -166,7 +162,7 @@ SELECT CAST(k AS VARCHAR) AS listing_key,
        lat0 IS NULL OR lon0 IS NULL AS approx_location, CAST(n_images AS BIGINT) AS n_images,
        CASE WHEN was_read AND k % 6 = 1 THEN 'https://new/' ELSE 'https://img/' || k || '-1' END || '{C.THUMB_SUFFIX}' AS thumb,
        CASE WHEN was_read THEN CASE k % 4 WHEN 2 THEN length('Hezký byt. Poplatky  Kč měsíčně.') + length(CAST(n AS VARCHAR)) WHEN 3 THEN 1200 END END AS description_chars,
-       CASE WHEN was_read THEN CASE WHEN k % 3 = 0 THEN coalesce(s_name, 'office') ELSE 'office' END END AS seller_name,
+       CASE WHEN was_read THEN CASE WHEN k % 3 = 0 THEN p_brand ELSE 'office' END END AS seller_name,
        CASE WHEN was_read THEN k % 9 END AS floor_number, fees AS fees_czk, fees IS NULL AS fees_missing, src AS fees_source,
        CAST(power AS BIGINT) AS electricity_czk, was_read AND rent AND k % 4 <> 1 AS electricity_estimated, CAST(total AS BIGINT) AS total_czk,
        CASE WHEN was_read AND k % 3 = 0 THEN k % 2 = 0 END AS garage,
@@ -224,9 +220,9 @@ def _node_pages(spark, sf_dir) -> DataFrame:
         F.lit(',"description":"'), F.when(k % 3 != 1, F.concat(F.lit("text "), k.cast("string"))).otherwise(""), F.lit('"}]}}'),
     )
     details = _landed(
-        customers.where(k % 5 != 0), C.NODE_SOURCE, "detail",
+        customers, C.NODE_SOURCE, "detail",
         listing_key=F.concat(F.lit(C.NODE_KEY_PREFIX), k.cast("string")),
-        status=F.when(k % 12 == 6, 500).otherwise(200), body=_embedded(detail_state),
+        status=F.when((k % 5 == 0) | (k % 12 == 6), 500).otherwise(200), body=_embedded(detail_state),
     )
     return search.unionByName(details)
 
@@ -254,7 +250,7 @@ WITH b AS (
   WHERE c_custkey % 3 <> 2 AND c_custkey % 10 <> 1 AND c_custkey % 7 NOT IN (0, 1) AND c_custkey % 8 <> 0
     AND abs(c_custkey % 40 - 20) / 1000.0 * 111.1949 <= 2),
 f AS (SELECT *, CASE WHEN has_detail AND k % 6 <> 5 THEN k % 9 * 1000 END AS fee, rent AND price IS NOT NULL AS billed FROM b)
-SELECT 'bez-' || k AS listing_key, 'bezrealitky' AS source,
+SELECT '{C.NODE_KEY_PREFIX}' || k AS listing_key, '{C.NODE_SOURCE}' AS source,
        CASE WHEN rent THEN 'Pronájem' ELSE 'Prodej' END || ' bytu ' || disp || ' ' || coalesce(CAST(area AS VARCHAR), '') || ' m²' AS title,
        disp AS disposition, CASE WHEN rent THEN 'pronajem' ELSE 'prodej' END AS transaction_type, price AS price_czk,
        CAST(area AS DOUBLE) AS floor_area_sqm,
@@ -338,7 +334,7 @@ WITH b AS (
          CASE WHEN p_partkey % 7 <> 0 THEN lower(hex(p_partkey)) ELSE 'n' || p_partkey END AS tail
   FROM part WHERE p_partkey % 3 <> 2 AND p_partkey % 4 IN (0, 1) AND p_partkey % 10 <> 9),
 t AS (SELECT *, rent AND price IS NOT NULL AS billed, price + CASE WHEN rent THEN 1500 ELSE 0 END AS total FROM b)
-SELECT 'idnes-' || tail AS listing_key, 'idnes' AS source,
+SELECT '{C.CARD_KEY_PREFIX}' || tail AS listing_key, '{C.CARD_SOURCE}' AS source,
        CASE WHEN rent THEN 'Pronájem' ELSE 'Prodej' END || ' bytu ' || disp || ' ' || CASE WHEN area IS NOT NULL THEN CAST(p_size AS VARCHAR) ELSE '' END || ' m²' AS title,
        disp AS disposition, CASE WHEN rent THEN 'pronajem' ELSE 'prodej' END AS transaction_type, price AS price_czk, CAST(area AS DOUBLE) AS floor_area_sqm,
        CAST(round_even(total / CAST(area AS DOUBLE), 0) AS BIGINT) AS price_czk_per_sqm,

@@ -292,12 +292,12 @@ ORACLES = {
         WITH {FILLED_SQL}
         SELECT listing_key, round(lat, 6) AS lat, round(lon, 6) AS lon FROM filled WHERE c_custkey % 10 <> 9
         ORDER BY c_custkey % 50 <> 7, c_custkey LIMIT 1""",
-    "multi_source_union": """
-        SELECT CAST(c_custkey AS VARCHAR) AS listing_key, 'sreality' AS source, c_name AS title,
+    "multi_source_union": f"""
+        SELECT CAST(c_custkey AS VARCHAR) AS listing_key, '{C.MAIN_SOURCE}' AS source, c_name AS title,
                CAST(round_even(c_acctbal, 0) AS BIGINT) AS price_czk, NULL::BOOLEAN AS fees_missing, true AS active, CAST(0 AS BIGINT) AS n_images
         FROM customer
         UNION ALL
-        SELECT 'idnes-' || s_suppkey, 'idnes', s_name, CAST(round_even(s_acctbal, 0) AS BIGINT), true, s_nationkey < 12, 0
+        SELECT '{C.CARD_KEY_PREFIX}' || s_suppkey, '{C.CARD_SOURCE}', s_name, CAST(round_even(s_acctbal, 0) AS BIGINT), true, s_nationkey < 12, 0
         FROM supplier""",
     "completeness_gate": COMPLETENESS_GATE,
     "detail_enrich": DETAIL_ENRICH,

@@ -15,12 +15,12 @@ from offerwatch.streaming import runs as streaming
 
 
 def watch_add_remove(spark, sf_dir):
-    """Page URLs are added in page order; customers are removed by their ids in between."""
-    listed = load(spark, sf_dir, "customer").where(F.col("c_custkey") % 3 == 0).select(
+    """Customers are listed, page URLs added in page order, customers of little means removed by their ids in between."""
+    listed = load(spark, sf_dir, "customer").select(
         F.col("c_custkey").cast("string").alias("listing_key"), F.col("c_name").alias("url")
     )
     adds = load(spark, sf_dir, "pages").select(F.lit("add").alias("op"), F.col("url").alias("arg"), F.col("page_id").alias("ts"))
-    removes = load(spark, sf_dir, "customer").where(F.col("c_custkey") % 6 == 0).select(
+    removes = load(spark, sf_dir, "customer").where(F.col("c_acctbal") < 1000).select(
         F.lit("remove").alias("op"), F.col("c_custkey").cast("string").alias("arg"), F.lit(50).cast("bigint").alias("ts")
     )
     usable, rejects = watch.read_edits(adds.unionByName(removes))
@@ -33,9 +33,8 @@ def watch_add_remove(spark, sf_dir):
 WATCH_ADD_REMOVE = """
 WITH adds AS (
   SELECT url, page_id AS ts, CAST(CAST(nullif(regexp_extract(trim(url), '/(\\d+)/?$', 1), '') AS BIGINT) AS VARCHAR) AS key FROM pages),
-removed AS (SELECT CAST(c_custkey AS VARCHAR) AS key FROM customer WHERE c_custkey % 6 = 0),
-old AS (SELECT CAST(c_custkey AS VARCHAR) AS key, c_name AS url FROM customer
-        WHERE c_custkey % 3 = 0 AND c_custkey % 6 <> 0),
+removed AS (SELECT CAST(c_custkey AS VARCHAR) AS key FROM customer WHERE c_acctbal < 1000),
+old AS (SELECT CAST(c_custkey AS VARCHAR) AS key, c_name AS url FROM customer WHERE c_acctbal >= 1000),
 fresh AS (SELECT key, arg_min(url, ts) AS url FROM adds
           WHERE key IS NOT NULL AND (ts > 50 OR key NOT IN (SELECT key FROM removed)) GROUP BY key)
 SELECT key AS listing_key, url, 'listed' AS outcome FROM old

@@ -3,6 +3,8 @@
 import json
 from datetime import datetime, timezone
 
+from offerwatch import config as C
+
 AT = datetime(2024, 5, 1, 8, 0, 0, tzinfo=timezone.utc)
 
 
@@ -30,7 +32,7 @@ def result(id, name="Byt 2+kk 55 m²", price=20000, code=4, label="2+kk", street
 
 def search(results, tx="pronajem", total=None, offset=0, limit=20, page_no=1, **kw):
     data = {"pagination": {"total": len(results) if total is None else total, "offset": offset, "limit": limit}, "results": results}
-    return page("sreality", "search", queries("estatesSearch", data), tx=tx, page_no=page_no, **kw)
+    return page(C.MAIN_SOURCE, "search", queries("estatesSearch", data), tx=tx, page_no=page_no, **kw)
 
 
 def detail_data(**over):
@@ -53,7 +55,7 @@ def detail(key, kind="detail", status=200, body=None, **over):
     kw = {k: over.pop(k) for k in ("run_id", "run_seq", "at", "url") if k in over}
     if body is None:
         body = queries("estate", detail_data(**over)) if status == 200 else ""
-    return page("sreality", kind, body, key=str(key), status=status, **kw)
+    return page(C.MAIN_SOURCE, kind, body, key=str(key), status=status, **kw)
 
 
 def advert(id, **over):
@@ -76,7 +78,7 @@ def image(id, thumb=None, main=None):
 
 
 def node_page(state, kind="search", tx="pronajem", page_no=1, key=None, **kw):
-    return page("bezrealitky", kind, embed(state), tx=tx, page_no=page_no, key=key, **kw)
+    return page(C.NODE_SOURCE, kind, embed(state), tx=tx, page_no=page_no, key=key, **kw)
 
 
 def card(slug="praha-9/vysocany/62af01", title="pronájem bytu 2+kk 54,5 m²", price="23 400 Kč", info="Praha 9 - Vysočany", image="https://1gr.cz/x.jpg", host="https://reality.idnes.cz/detail/pronajem"):
@@ -89,4 +91,4 @@ def card(slug="praha-9/vysocany/62af01", title="pronájem bytu 2+kk 54,5 m²", p
 
 def card_page(cards, tx="pronajem", closed=True, **kw):
     body = "<main>" + "".join(cards) + ("</main>" if closed else "")
-    return page("idnes", "search", body, tx=tx, **kw)
+    return page(C.CARD_SOURCE, "search", body, tx=tx, **kw)

@@ -1,6 +1,7 @@
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from offerwatch import config as C
 from offerwatch import schemas
 from offerwatch.operators import watch
 from offerwatch.plans import marts, monitor
@@ -118,7 +119,7 @@ def test_marts(stored, spark):
     assert stats.rent_count == 4 and stats.sale_count == 1
     counts = {(r.what, r["name"]): r.n for r in mart("mart_counts", 2).collect()}
     assert counts == {("events", "new"): 1, ("events", "price_change"): 1, ("events", "pending"): 1,
-                      ("listings", "sreality"): 3, ("listings", "bezrealitky"): 1, ("listings", "idnes"): 1}
+                      ("listings", C.MAIN_SOURCE): 3, ("listings", C.NODE_SOURCE): 1, ("listings", C.CARD_SOURCE): 1}
     layers = {(r.listing_key, r.layer) for r in mart("mart_map", 1).select("listing_key", "layer").collect()}
     assert ("1", "rent") in layers and ("9", "sale") in layers and ("1", "watched") in layers
 

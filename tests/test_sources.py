@@ -1,3 +1,4 @@
+from offerwatch import config as C
 from offerwatch import schemas
 from offerwatch.functions import html
 from offerwatch.operators import completeness, enrich
@@ -49,7 +50,7 @@ def test_search_rows(spark):
     assert set(got) == {"1", "2", "4", "5"}
     assert got["1"].floor_area_sqm == got["2"].floor_area_sqm == 55.0
     assert got["1"].price_czk_per_sqm == 364 and got["2"].price_czk_per_sqm == 363
-    assert got["1"].url == "https://www.sreality.cz/detail/pronajem/byt/2%2Bkk/x/1"
+    assert got["1"].url == C.MAIN_DETAIL_URL + "pronajem/byt/2%2Bkk/x/1"
     assert got["1"].thumb == "https://img/a.jpg?fl=res,400,400,1|shr,,20|webp,60"
     assert got["1"].locality == "Dlouhá, Vysočany, Praha" and not got["1"].is_focus_street
     assert got["4"].price_czk is None and got["4"].total_czk is None and got["4"].locality == "Vysočany, Praha"
@@ -204,9 +205,9 @@ def test_completeness(spark):
     assert not gate(P.search(three, total=22), P.search(three, total=22, offset=0, page_no=2), sale)
     assert not gate(P.search([], total=0), sale)                                       # zero rows
     assert not gate(P.search(three, total=22), P.search([], total=22, offset=20, page_no=2), sale)
-    missing_total = P.page("sreality", "search", P.queries("estatesSearch", {"results": three}), tx="pronajem")
+    missing_total = P.page(C.MAIN_SOURCE, "search", P.queries("estatesSearch", {"results": three}), tx="pronajem")
     assert gate(missing_total, sale)
-    assert not gate(P.page("sreality", "search", "", tx="pronajem", status=403), sale)
+    assert not gate(P.page(C.MAIN_SOURCE, "search", "", tx="pronajem", status=403), sale)
 
 
 def test_plain_text_keeps_entities(spark):
