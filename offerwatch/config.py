@@ -23,10 +23,14 @@ CARD_KEY_PREFIX = "idnes-"
 SOURCE_BADGES = {"sreality": "SR", "bezrealitky": "BR", "idnes": "iD"}
 SOURCE_NAMES = {"sreality": "Sreality", "bezrealitky": "Bezrealitky", "idnes": "iDNES"}
 
-# Transaction types, in search order, and the wording used in titles.
+# Order of the sources in a run.
+SOURCE_ORDER = (MAIN_SOURCE, NODE_SOURCE, CARD_SOURCE)
+
+# Transaction types, in the order each source is searched, and the wording used in titles.
 RENT = "pronajem"
 SALE = "prodej"
 TX_TYPES = (RENT, SALE)
+SEARCH_ORDER = {MAIN_SOURCE: (RENT, SALE), NODE_SOURCE: (SALE, RENT), CARD_SOURCE: (SALE, RENT)}
 RENT_TITLE = "Pronájem"
 SALE_TITLE = "Prodej"
 RENT_TYPE_CODE = 2

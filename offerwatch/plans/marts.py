@@ -54,9 +54,13 @@ def with_changed_flag(listings: DataFrame, changes: DataFrame) -> DataFrame:
 
 def history_events(changes: DataFrame, watched_changes: DataFrame | None = None) -> DataFrame:
     """All events as one table. Watched events come first in a run and carry no item;
-    (run_seq, kind_order, listing_key) orders the events totally."""
+    (run_seq, kind_order, ordinal, listing_key) orders the events totally."""
     order = F.create_map(*[F.lit(x) for pair in KIND_ORDER.items() for x in pair])
-    events = changes.withColumn("is_watched", F.lit(False)).withColumn("kind_order", order[F.col("kind")])
+    fields = changes.schema["item"].dataType.names if "item" in changes.columns else []
+    ordinal = F.col("item.ordinal") if "ordinal" in fields else F.lit(None).cast("bigint")
+    events = changes.select(
+        "*", F.lit(False).alias("is_watched"), order[F.col("kind")].alias("kind_order"), ordinal.alias("ordinal")
+    )
     if watched_changes is not None:
         events = events.unionByName(
             watched_changes.select(
@@ -71,7 +75,7 @@ def history_events(changes: DataFrame, watched_changes: DataFrame | None = None)
 
 def newest_events(events: DataFrame, cap: int = C.DEFAULTS.history_cap) -> DataFrame:
     """Newest first, at most `cap`: a top-k, so no full sort."""
-    return events.orderBy(F.desc("run_seq"), "kind_order", "listing_key").limit(cap)
+    return events.orderBy(F.desc("run_seq"), "kind_order", "ordinal", "listing_key").limit(cap)
 
 
 def history_line(kind: Column, key: Column, title: Column, shown: Column, old: Column, new: Column) -> Column:

@@ -35,7 +35,7 @@ WATCHED_READS = T.StructType(
 HISTORY = T.StructType(
     [T.StructField("run_seq", T.LongType()), T.StructField("event_run_seq", T.LongType())]
     + [f for f in schemas.CHANGES.fields if f.name != "run_seq"]
-    + [T.StructField("kind_order", T.IntegerType())]
+    + [T.StructField("kind_order", T.IntegerType()), T.StructField("ordinal", T.LongType())]
 )
 
 WATCHED_CHANGES = schemas.struct(
@@ -165,7 +165,7 @@ def write_marts(store, current, changes, states, watched_changes, reads, run_seq
     store.write_run("mart_map", marts.mart_map(items), run_seq)
     # the capped history of the run before and this run's events hold the newest events there are
     past = store.of_run("history", HISTORY, run_seq - 1).drop("run_seq").withColumnRenamed("event_run_seq", "run_seq")
-    now = marts.history_events(changes, watched_changes)
+    now = marts.history_events(changes.drop("is_watched"), watched_changes)
     newest = marts.newest_events(past.unionByName(now, allowMissingColumns=True), cfg.history_cap)
     store.write_run("history", schemas.conform(newest.withColumnRenamed("run_seq", "event_run_seq"), HISTORY, {}), run_seq)
     newest = store.of_run("history", HISTORY, run_seq).withColumn("run_seq", F.col("event_run_seq"))

@@ -10,8 +10,7 @@ from offerwatch.functions import costs, html
 from offerwatch.functions import text as X
 from offerwatch.operators.dedup import keep_last_in_first_place
 from offerwatch.schemas import conform
-from offerwatch.sources.main_portal import result_ordinal
-from offerwatch.sources.pages import pages_of
+from offerwatch.sources.pages import pages_of, result_ordinal
 
 
 def cards(pages: DataFrame) -> DataFrame:
@@ -50,7 +49,7 @@ def card_listings(carded: DataFrame, cfg: C.MonitorConfig = C.DEFAULTS) -> DataF
         area.alias("floor_area_sqm"),
         F.coalesce(X.non_empty(F.col("_info")), F.lit(cfg.locality_label)).alias("locality"),
         html.first_hosted_image(F.col("card")).alias("thumb"),
-        result_ordinal(F.col("tx"), F.col("page_no"), F.col("_pos")).alias("ordinal"),
+        result_ordinal(C.CARD_SOURCE, F.col("tx"), F.col("page_no"), F.col("_pos")).alias("ordinal"),
     )
     whole = F.when(F.col("floor_area_sqm") != 0, F.col("floor_area_sqm").cast("bigint").cast("string"))
     cost = costs.finalize(

@@ -9,7 +9,7 @@ from offerwatch import config as C
 from offerwatch.functions import costs, html
 from offerwatch.functions import text as X
 from offerwatch.operators.dedup import keep_last
-from offerwatch.sources.pages import embedded_state, fetch_outcome, has_data, pages_of, query_data
+from offerwatch.sources.pages import embedded_state, fetch_outcome, has_data, pages_of, query_data, result_ordinal
 
 _LOCALITY = "struct<street string, cityPart string, city string, latitude double, longitude double>"
 
@@ -30,16 +30,6 @@ DETAIL_DATA = (
     "garage variant, parkingLots variant, parking variant, refundableDeposit bigint>>"
 )
 
-# Room for a page's rows in an ordinal, and for the pages of a transaction type.
-_ROWS_PER_PAGE = 1_000_000
-_PAGES_PER_TX = 1_000_000
-
-
-def result_ordinal(tx: Column, page_no: Column, position: Column) -> Column:
-    """Place of a result in the search: by type, then page, then position."""
-    type_no = F.coalesce(F.array_position(F.array(*[F.lit(t) for t in C.TX_TYPES]), tx), F.lit(0))
-    return (type_no.cast("bigint") * _PAGES_PER_TX + page_no) * _ROWS_PER_PAGE + position
-
 
 def search_pages(pages: DataFrame) -> DataFrame:
     """One row per search page: outcome, pagination and the typed results."""
@@ -94,7 +84,7 @@ def search_listings(searched: DataFrame, cfg: C.MonitorConfig = C.DEFAULTS) -> D
         html.gallery(F.col("r.images"), cfg.max_images).alias("images"),
         html.thumbnail(F.col("r.images"), cfg.max_images).alias("thumb"),
         price.alias("total_czk"),
-        result_ordinal(F.col("tx"), F.col("page_no"), F.col("_pos")).alias("ordinal"),
+        result_ordinal(C.MAIN_SOURCE, F.col("tx"), F.col("page_no"), F.col("_pos")).alias("ordinal"),
     )
 
 

@@ -11,8 +11,7 @@ from offerwatch.functions import text as X
 from offerwatch.functions.geo import within_radius
 from offerwatch.operators.dedup import keep_last, keep_last_in_first_place
 from offerwatch.schemas import conform
-from offerwatch.sources.main_portal import result_ordinal
-from offerwatch.sources.pages import embedded_state, pages_of
+from offerwatch.sources.pages import embedded_state, pages_of, result_ordinal
 
 _NODES = "array<struct<path array<int>, node variant>>"
 
@@ -153,7 +152,7 @@ def adverts(pages: DataFrame, cfg: C.MonitorConfig = C.DEFAULTS) -> DataFrame:
         F.coalesce(costs.tristate(field("$.archived", "variant")), F.lit(False)).alias("_archived"),
         X.non_empty(field("$.uri", "string")).alias("_uri"),
         F.try_element_at("_urls", F.regexp_replace(field("$.mainImage.__ref", "string"), "(?s)^[^:]*:", "")).alias("_image"),
-        result_ordinal(F.col("tx"), F.col("page_no"), F.col("_pos")).alias("ordinal"),
+        result_ordinal(C.NODE_SOURCE, F.col("tx"), F.col("page_no"), F.col("_pos")).alias("ordinal"),
     ).where(
         F.col("disposition").isin(*cfg.dispositions)
         & within_radius(F.col("lat"), F.col("lon"), cfg.centre, cfg.radius_km)

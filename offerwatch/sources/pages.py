@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from offerwatch import config as C
 
+# Room for a page's rows in an ordinal, and for the pages of a transaction type.
+_ROWS_PER_PAGE = 1_000_000
+_PAGES_PER_TX = 1_000_000
+
 OK, GONE, TRANSIENT, UNREADABLE, FATAL = "ok", "gone", "transient", "unreadable", "fatal"
 
 
@@ -58,3 +62,10 @@ def in_region(pages: DataFrame, region: str) -> DataFrame:
     """Drop search pages asked for another region; a URL that names none is kept."""
     asked = F.try_url_decode(F.regexp_extract(F.coalesce("url", F.lit("")), r"[?&]region=([^&#]*)", 1))
     return pages.where((F.col("kind") != "search") | asked.isin("", region))
+
+
+def result_ordinal(source: str, tx: Column, page_no: Column, position: Column) -> Column:
+    """Place of a result in its run: by source, transaction type, page and position."""
+    types = F.array(*[F.lit(t) for t in C.SEARCH_ORDER[source]])
+    search = F.coalesce(F.array_position(types, tx), F.lit(0)).cast("bigint") + 10 * C.SOURCE_ORDER.index(source)
+    return (search * _PAGES_PER_TX + page_no) * _ROWS_PER_PAGE + position

@@ -213,3 +213,16 @@ def test_completeness(spark):
 def test_plain_text_keeps_entities(spark):
     df = spark.createDataFrame([("<b>a</b> \n<i>b&amp;c</i> ",)], "h string")
     assert df.select(html.plain_text(F.col("h")).alias("t")).first().t == "a b&amp;c"
+
+
+def test_results_are_placed_by_source_type_and_page(spark):
+    df = frame(
+        spark,
+        P.search([P.result(1)], tx="prodej"), P.search([P.result(2)], tx="pronajem"),
+        P.card_page([P.card(slug="a/b/aa", price="1 000")], tx="pronajem"), P.card_page([P.card(slug="a/b/aa", price="2 000")], tx="prodej"),
+        P.node_page({"x": P.advert(1)}, tx="prodej"), P.detail(1), P.detail(2),
+    )
+    got = monitor.listings_from_pages(df).orderBy("ordinal").collect()
+    assert [r.listing_key for r in got] == ["2", "1", "bez-1", "idnes-aa"]
+    assert got[-1].price_czk == 1000                              # sales are searched first there, so rent came last
+    assert [r.source for r in got] == list(C.SOURCE_ORDER)[:1] * 2 + list(C.SOURCE_ORDER)[1:]
