@@ -150,7 +150,7 @@ def run(
     store.write_run("mart_counts", per_kind.unionByName(per_source), run_seq)
 
     write_marts(store, current, changes, states, watched_changes, reads, run_seq, cfg)
-    store.commit(run_seq, generated_at)
+    store.commit(run_seq, generated_at, run_id)
     return run_seq
 
 

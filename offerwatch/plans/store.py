@@ -18,7 +18,8 @@ from offerwatch import schemas
 
 
 def run_name(generated_at: datetime) -> str:
-    return generated_at.strftime("%Y%m%dT%H%M%SZ")
+    """Compact UTC name of a run; a time without a zone is local, as Spark takes it."""
+    return generated_at.astimezone(timezone.utc).strftime("%Y%m%dT%H%M%SZ")
 
 
 class Store:
@@ -59,10 +60,11 @@ class Store:
             .parquet(self.path(table))
         )
 
-    def commit(self, run_seq: int, generated_at: datetime | None = None) -> None:
+    def commit(self, run_seq: int, generated_at: datetime | None = None, run_id: str | None = None) -> None:
+        """Make a run visible. Its name is its time unless the landing gave it one."""
         generated_at = generated_at or datetime.now(timezone.utc)
         row = self.spark.range(1).select(
-            F.lit(run_name(generated_at)).alias("run_id"), F.lit(generated_at).cast("timestamp").alias("generated_at")
+            F.lit(run_id or run_name(generated_at)).alias("run_id"), F.lit(generated_at).cast("timestamp").alias("generated_at")
         )
         self.write_run("runs", row, run_seq)
 

@@ -30,16 +30,16 @@ def json_depth(text: Column) -> Column:
 
 
 def _children(found: Column) -> Column:
+    """The values of an object or the elements of a list; a scalar has none."""
     node = found["node"]
     values = F.coalesce(
         F.map_values(node.try_cast("map<string,variant>")),
         node.try_cast("array<variant>"),
         F.array().cast("array<variant>"),
     )
-    placed = F.transform(
+    return F.transform(
         values, lambda v, i: F.struct(F.concat(found["path"], F.array(i)).alias("path"), v.alias("node"))
     )
-    return F.filter(placed, lambda p: F.schema_of_variant(p["node"]).rlike("^(OBJECT|ARRAY)"))
 
 
 def nodes_of_types(state: Column, depth: Column, types: tuple[str, ...]) -> Column:

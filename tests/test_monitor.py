@@ -20,7 +20,7 @@ def at(n):
 
 
 def run_pages(n, rent, sale=((9, 5_000_000),), watched=None, adverts=(), cards=(), complete=True):
-    kw = {"run_id": run_name(at(n)), "run_seq": None, "at": at(n)}
+    kw = {"run_id": f"landing-{n}", "run_seq": None, "at": at(n)}
     url = "https://main/search?region=Vyso%C4%8Dany&strana=1"
     rows = [
         P.search([P.result(i, price=p) for i, p in rent], total=len(rent) + (0 if complete else 50), url=url, **kw),
@@ -51,7 +51,7 @@ def stored(spark):
     root = work_dir(spark, "monitor-test")
     rows = [row for pages in RUNS for row in pages]
     spark.createDataFrame(rows, schemas.RAW_PAGES).write.parquet(f"{root}/raw_pages")
-    landed = [(run_name(at(n)), None, at(n)) for n in range(len(RUNS))]
+    landed = [(f"landing-{n}", None, at(n)) for n in range(len(RUNS))]
     spark.createDataFrame(landed, schemas.RUNS).write.parquet(f"{root}/landed")
     store = Store(spark, f"{root}/store")
     pages = spark.read.schema(schemas.RAW_PAGES).parquet(f"{root}/raw_pages")
@@ -63,9 +63,9 @@ def stored(spark):
 
 def test_incomplete_run_is_not_committed(stored):
     store, refused = stored
-    assert refused == [run_name(at(2))]
+    assert refused == ["landing-2"]
     runs = {r.run_seq: r.run_id for r in store.runs().collect()}
-    assert runs == {1: run_name(at(0)), 2: run_name(at(1)), 3: run_name(at(3)), 4: run_name(at(4))}
+    assert runs == {1: "landing-0", 2: "landing-1", 3: "landing-3", 4: "landing-4"}
 
 
 def test_changes(stored):
@@ -152,6 +152,10 @@ def test_watchlist_versions(spark):
     assert {r.listing_key for r in store.watchlist().collect()} == {"1", "2"}
 
 
+def test_run_name_is_utc():
+    assert run_name(datetime(2024, 5, 1, 10, 0, tzinfo=timezone(timedelta(hours=2)))) == "20240501T080000Z"
+
+
 def test_uncommitted_run_can_be_written_again(spark):
     store = Store(spark, work_dir(spark, "again"))
     df = schemas.conform(spark.createDataFrame([(1, "a")], "run_seq bigint, listing_key string"))
