@@ -69,6 +69,53 @@ FROM old o FULL JOIN cur c ON o.listing_key = c.listing_key CROSS JOIN bounds
 WHERE c.listing_key IS NULL OR o.listing_key IS NULL OR c.price_czk IS DISTINCT FROM o.price_czk"""
 
 
+def snapshot_diff_strict(spark, sf_dir):
+    """Three sources that each fail in some runs, and detail pages that fail for some listings."""
+    key = F.col("listing_key").cast("bigint")
+    obs = observations(spark, sf_dir)
+    failed = (key + F.col("run_seq")) % 6 == 0
+    obs = obs.select(
+        "run_seq", "listing_key", "price_czk", "electricity_estimated",
+        F.concat(F.lit("s"), (key % 3).cast("string")).alias("source"),
+        F.when(failed, F.col("price_czk")).otherwise(F.col("price_czk") + 1500).alias("total_czk"),
+        F.when(failed, F.lit(True)).alias("enrich_failed"),
+    )
+    incomplete = (F.col("run_seq") * 7 + F.substring("source", 2, 1).cast("bigint") * 3) % 10 == 0
+    complete = obs.select("source", "run_seq").distinct().where(~incomplete)
+    changes = diff.diff_runs_strict(obs, complete, with_item=False)
+    return changes.select(
+        "run_seq", "kind", "listing_key", "old_total_czk", "new_total_czk", "missing_since_seq", "removed_since_seq"
+    )
+
+
+SNAPSHOT_DIFF_STRICT = f"""
+WITH {OBS_SQL},
+seen AS (
+  SELECT *, CAST(listing_key AS BIGINT) % 3 AS src, (CAST(listing_key AS BIGINT) + run_seq) % 6 = 0 AS failed FROM obs),
+calendar AS (
+  SELECT src, run_seq, row_number() OVER (PARTITION BY src ORDER BY run_seq) AS seq, count(*) OVER (PARTITION BY src) AS last
+  FROM (SELECT DISTINCT src, run_seq FROM seen) WHERE (run_seq * 7 + src * 3) % 10 <> 0),
+rows AS (
+  SELECT listing_key, src, seq, last, price_czk AS price, failed, price_czk + CASE WHEN failed THEN 0 ELSE 1500 END AS total
+  FROM seen JOIN calendar USING (src, run_seq)),
+events AS (
+  SELECT o.src, o.seq, 'price_change' AS kind, o.listing_key, p.total AS old_total_czk, o.total AS new_total_czk
+  FROM rows o JOIN rows p ON p.listing_key = o.listing_key AND (p.seq = o.seq - 1 OR (p.seq = o.seq - 2 AND NOT EXISTS (
+    SELECT 1 FROM rows m WHERE m.listing_key = o.listing_key AND m.seq = o.seq - 1)))
+  WHERE CASE WHEN o.failed OR p.failed THEN o.price <> p.price ELSE o.total <> p.total END
+  UNION ALL
+  SELECT src, seq, 'new', listing_key, NULL, NULL FROM rows o WHERE seq > 1 AND NOT EXISTS (
+    SELECT 1 FROM rows p WHERE p.listing_key = o.listing_key AND p.seq BETWEEN o.seq - 2 AND o.seq - 1)
+  UNION ALL
+  SELECT src, seq + 2, 'removed', listing_key, NULL, NULL FROM rows o WHERE seq + 2 <= last AND NOT EXISTS (
+    SELECT 1 FROM rows p WHERE p.listing_key = o.listing_key AND p.seq BETWEEN o.seq + 1 AND o.seq + 2))
+SELECT c.run_seq, kind, listing_key, old_total_czk, new_total_czk,
+       CASE kind WHEN 'removed' THEN m.run_seq END AS missing_since_seq,
+       CASE kind WHEN 'removed' THEN c.run_seq END AS removed_since_seq
+FROM events e JOIN calendar c ON c.src = e.src AND c.seq = e.seq
+LEFT JOIN calendar m ON m.src = e.src AND m.seq = e.seq - 1"""
+
+
 def pending_removals(spark, sf_dir):
     return diff.pending(observations(spark, sf_dir)).select(
         "listing_key", "price_czk", F.col("run_seq").alias("last_seen_seq"), "missing_since_seq"
@@ -265,6 +312,7 @@ FROM changes"""
 QUERIES = {
     "snapshot_diff": snapshot_diff,
     "snapshot_diff_pair": snapshot_diff_pair,
+    "snapshot_diff_strict": snapshot_diff_strict,
     "pending_removals": pending_removals,
     "change_history_top": change_history_top,
     "events_per_kind": events_per_kind,
@@ -282,6 +330,7 @@ QUERIES = {
 ORACLES = {
     "snapshot_diff": f"WITH {CHANGES_SQL} SELECT * FROM changes",
     "snapshot_diff_pair": SNAPSHOT_DIFF_PAIR,
+    "snapshot_diff_strict": SNAPSHOT_DIFF_STRICT,
     "pending_removals": f"""
         WITH {OBS_SQL}
         SELECT listing_key, price_czk, run_seq AS last_seen_seq, n AS missing_since_seq

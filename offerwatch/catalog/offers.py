@@ -346,11 +346,35 @@ SELECT '{C.CARD_KEY_PREFIX}' || tail AS listing_key, '{C.CARD_SOURCE}' AS source
 FROM t"""
 
 
+# ------------------------------------------------------------------ all portals
+
+
+def offers_all_sources(spark, sf_dir):
+    """The whole way from the landed pages of all portals to one listing table."""
+    pages = _main_pages(spark, sf_dir).unionByName(_node_pages(spark, sf_dir)).unionByName(_card_pages(spark, sf_dir))
+    return monitor.listings_from_pages(pages).select(
+        "listing_key", "source", "title", "transaction_type", "price_czk", "fees_czk", "admin_fee_czk", "total_czk",
+        "price_czk_per_sqm", "approx_location", "url",
+    )
+
+
+OFFERS_ALL_SOURCES = f"""
+SELECT listing_key, '{C.MAIN_SOURCE}' AS source, title, transaction_type, price_czk, fees_czk, NULL::BIGINT AS admin_fee_czk,
+       total_czk, price_czk_per_sqm, approx_location, url FROM ({OFFERS_FROM_JSON})
+UNION ALL
+SELECT listing_key, source, title, transaction_type, price_czk, NULL, admin_fee_czk, total_czk, price_czk_per_sqm, false, url
+FROM ({OFFERS_FROM_NODES})
+UNION ALL
+SELECT listing_key, source, title, transaction_type, price_czk, NULL, NULL, total_czk, price_czk_per_sqm, false, url
+FROM ({OFFERS_FROM_CARDS})"""
+
+
 QUERIES = {
     "offers_from_json": offers_from_json,
     "offers_from_nodes": offers_from_nodes,
     "ref_lookup": ref_lookup,
     "offers_from_cards": offers_from_cards,
+    "offers_all_sources": offers_all_sources,
 }
 
 ORACLES = {
@@ -361,4 +385,5 @@ ORACLES = {
                CASE WHEN known THEN 'm-' || n_name END AS image
         FROM (SELECT *, s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0 AS known FROM supplier JOIN nation ON n_nationkey = s_nationkey)""",
     "offers_from_cards": OFFERS_FROM_CARDS,
+    "offers_all_sources": OFFERS_ALL_SOURCES,
 }

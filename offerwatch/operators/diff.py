@@ -38,12 +38,28 @@ def item_of(df: DataFrame) -> Column:
 
 
 def with_comparison(listings: DataFrame, strict: bool = False) -> DataFrame:
-    """Add `cmp`. In strict mode a listing whose detail page failed is compared on its
-    price, because its total lacks the costs that page would have added."""
-    total = F.col("total_czk")
-    if strict:
-        total = F.when(~F.coalesce("enrich_failed", F.lit(False)), total)
-    return listings.withColumn("cmp", comparison_value(total, F.col("electricity_estimated"), F.col("price_czk")))
+    """Add `cmp`, and `failed` in strict mode: the listing's detail page could not be
+    loaded, so its total lacks the costs that page would have added."""
+    value = comparison_value(F.col("total_czk"), F.col("electricity_estimated"), F.col("price_czk"))
+    rows = listings.withColumn("cmp", value)
+    return rows.withColumn("failed", F.coalesce("enrich_failed", F.lit(False))) if strict else rows
+
+
+def _differs(new: str, old: str, strict: bool) -> Column:
+    """Do two sightings differ? In strict mode a failed one is compared on the bare price.
+    `new` and `old` are formats for the two sides' column names."""
+
+    def unequal(name: str) -> Column:
+        return ~F.col(new.format(name)).eqNullSafe(F.col(old.format(name)))
+
+    if not strict:
+        return unequal("cmp")
+    failed = F.col(new.format("failed")) | F.col(old.format("failed"))
+    return F.when(failed, unequal("price_czk")).otherwise(unequal("cmp"))
+
+
+def _carried(strict: bool) -> list[str]:
+    return ["price_czk", "total_czk", "cmp", *(["failed"] if strict else [])]
 
 
 def with_neighbours(sightings: DataFrame, keys: list[str], carry: list[str], seq: str = "run_seq") -> DataFrame:
@@ -73,7 +89,7 @@ def with_neighbours(sightings: DataFrame, keys: list[str], carry: list[str], seq
     return seen.where(F.col("_group") == home).drop("_group")
 
 
-def _as_events(seen: DataFrame, seq: str, last: Column) -> DataFrame:
+def _as_events(seen: DataFrame, seq: str, last: Column, strict: bool = False) -> DataFrame:
     """Zero to two events per sighting: new or price change in its run, removed two runs later."""
     run, prev, nxt = F.col(seq), F.col("prev_seq"), F.col("next_seq")
     near = F.coalesce(run - prev <= ABSENCES, F.lit(False))
@@ -96,7 +112,7 @@ def _as_events(seen: DataFrame, seq: str, last: Column) -> DataFrame:
     gone = event(REMOVED, run + ABSENCES, nothing, nothing, nothing, nothing, nothing, run + 1, run + ABSENCES)
     events = F.array_compact(
         F.array(
-            F.when(near & ~F.col("cmp").eqNullSafe(F.col("prev_cmp")), changed).when(~near & (run > 1), new),
+            F.when(near & _differs("{}", "prev_{}", strict), changed).when(~near & (run > 1), new),
             F.when((F.coalesce(nxt, last + 1) - run > ABSENCES) & (run + ABSENCES <= last), gone),
         )
     )
@@ -120,11 +136,10 @@ def diff_runs(
         last = last_run if isinstance(last_run, Column) else F.lit(last_run)
     rows = with_comparison(listings, strict)
     base = rows.select(
-        "listing_key", "run_seq", "price_czk", "total_czk", "cmp",
-        *([item_of(listings)] if with_item else []),
+        "listing_key", "run_seq", *_carried(strict), *([item_of(listings)] if with_item else [])
     )
-    seen = with_neighbours(base, ["listing_key"], ["price_czk", "total_czk", "cmp"])
-    events = _as_events(seen.withColumn("_last", last), "run_seq", F.col("_last"))
+    seen = with_neighbours(base, ["listing_key"], _carried(strict))
+    events = _as_events(seen.withColumn("_last", last), "run_seq", F.col("_last"), strict)
     return _finish(events, with_item)
 
 
@@ -160,11 +175,10 @@ def diff_runs_strict(listings: DataFrame, source_runs: DataFrame, with_item: boo
     calendar = numbered.join(ends, "source")
     rows = with_comparison(listings, strict=True)
     base = rows.select(
-        "source", "listing_key", "run_seq", "price_czk", "total_czk", "cmp",
-        *([item_of(listings)] if with_item else []),
+        "source", "listing_key", "run_seq", *_carried(True), *([item_of(listings)] if with_item else [])
     ).join(calendar, ["source", "run_seq"])
-    seen = with_neighbours(base, ["source", "listing_key"], ["price_czk", "total_czk", "cmp"], "source_seq")
-    events = _as_events(seen, "source_seq", F.col("_last")).drop("run_seq", "_last")
+    seen = with_neighbours(base, ["source", "listing_key"], _carried(True), "source_seq")
+    events = _as_events(seen, "source_seq", F.col("_last"), strict=True).drop("run_seq", "_last")
     for name in ("event_seq", "first_seen_seq", "missing_since_seq", "removed_since_seq"):
         lookup = numbered.select("source", F.col("source_seq").alias(name), F.col("run_seq").alias("_run"))
         events = events.join(lookup, ["source", name], "left").drop(name).withColumnRenamed("_run", name)
@@ -198,18 +212,19 @@ def diff_pair(
                               F.lit(True).alias("_pending")),
         ["listing_key"],
     )
+    compared = [c for c in _carried(strict) if c != "total_czk"]
     old = with_comparison(before, strict).select(
-        "listing_key", F.struct(*names).alias("old"), F.col("cmp").alias("old_cmp"), "_pending"
+        "listing_key", F.struct(*names).alias("old"), *[F.col(c).alias(f"old_{c}") for c in compared], "_pending"
     )
     new = with_comparison(current, strict).select(
-        "listing_key", F.struct(*names).alias("new"), F.col("cmp").alias("new_cmp")
+        "listing_key", F.struct(*names).alias("new"), *[F.col(c).alias(f"new_{c}") for c in compared]
     )
     both = old.join(new, "listing_key", "full_outer")
     run = (run_seq if isinstance(run_seq, Column) else F.lit(run_seq)).cast("bigint")
     kind = (
         F.when(F.col("old").isNull(), NEW)
         .when(F.col("new").isNull() & F.col("_pending"), REMOVED)
-        .when(F.col("new").isNotNull() & ~F.col("old_cmp").eqNullSafe(F.col("new_cmp")), PRICE_CHANGE)
+        .when(F.col("new").isNotNull() & _differs("new_{}", "old_{}", strict), PRICE_CHANGE)
     )
     tagged = both.withColumn("kind", kind)
 

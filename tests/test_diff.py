@@ -115,9 +115,14 @@ def test_failed_detail_is_a_price_change_unless_strict(spark):
 
 
 def test_strict_mode_compares_price_of_failed_rows(spark):
-    rows = [sighting(1, "k", 100, total=100), sighting(2, "k", 100, total=100, failed=True), sighting(3, "k", 130, total=130, failed=True)]
-    got = diff.diff_runs(table(spark, rows), strict=True).collect()
-    assert [(r.run_seq, r.kind) for r in got] == [(3, "price_change")]
+    rows = [sighting(1, "k", 100, total=1700), sighting(2, "k", 100, total=100, failed=True), sighting(3, "k", 100, total=1700),
+            sighting(1, "m", 100, total=1700), sighting(2, "m", 130, total=130, failed=True), sighting(3, "m", 130, total=1730)]
+    df = table(spark, rows)
+    assert len(diff.diff_runs(df).collect()) == 4
+    assert [(r.run_seq, r.kind, r.listing_key) for r in diff.diff_runs(df, strict=True).collect()] == [(2, "price_change", "m")]
+    one, two = df.where("run_seq = 1"), df.where("run_seq = 2")
+    stepped, _ = diff.diff_pair(one, df.where("false"), two, 2, strict=True)
+    assert [(r.run_seq, r.listing_key) for r in stepped.collect()] == [(2, "m")]
 
 
 def test_failed_source_is_not_a_removal_in_strict_mode(spark):
