@@ -128,7 +128,9 @@ def diff_runs(
     """All events of a history of listings (one row per run_seq and listing_key).
 
     `last_run` is the last committed run; left out, it is the last run with rows.
-    The stamps are run numbers here; `stamp_times` turns them into times.
+    The stamps are run numbers here; `stamp_times` turns them into times. The item
+    of an event holds all columns of `listings`, which travel through the shuffle:
+    select what is wanted first, or leave the item out.
     """
     if last_run is None:
         last = listings.agg(F.max("run_seq")).scalar()

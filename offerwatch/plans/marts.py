@@ -22,20 +22,32 @@ SORT_KEYS = (
 # ------------------------------------------------------------- notes and flags
 
 
-def change_notes(changes: DataFrame, watched_changes: DataFrame | None = None) -> DataFrame:
-    """One note per listing of a run's changes: a watched change before a price change before new."""
+def change_marks(changes: DataFrame, watched_changes: DataFrame | None = None) -> DataFrame:
+    """Per run and listing with changes: one note (a watched change before a price
+    change before new) and whether the price changed."""
     moved = F.concat(F.lit(C.NOTE_PRICE), X.money(F.col("old_total_czk")), F.lit(" → "), X.money(F.col("new_total_czk")))
-    notes = changes.where(F.col("kind").isin(PRICE_CHANGE, NEW)).select(
+    priced = F.col("kind") == PRICE_CHANGE
+    marks = changes.where(F.col("kind").isin(PRICE_CHANGE, NEW)).select(
         "run_seq",
         "listing_key",
-        F.when(F.col("kind") == PRICE_CHANGE, 1).otherwise(2).alias("_priority"),
-        F.when(F.col("kind") == PRICE_CHANGE, moved).otherwise(C.NOTE_NEW).alias("change_note"),
+        F.when(priced, 1).otherwise(2).alias("_priority"),
+        F.when(priced, moved).otherwise(C.NOTE_NEW).alias("change_note"),
+        priced.alias("is_changed"),
     )
     if watched_changes is not None:
-        notes = notes.unionByName(
-            watched_changes.select("run_seq", "listing_key", F.lit(0).alias("_priority"), moved.alias("change_note"))
+        marks = marks.unionByName(
+            watched_changes.select(
+                "run_seq", "listing_key", F.lit(0).alias("_priority"), moved.alias("change_note"),
+                F.lit(False).alias("is_changed"),
+            )
         )
-    return notes.groupBy("run_seq", "listing_key").agg(F.min_by("change_note", "_priority").alias("change_note"))
+    return marks.groupBy("run_seq", "listing_key").agg(
+        F.min_by("change_note", "_priority").alias("change_note"), F.max("is_changed").alias("is_changed")
+    )
+
+
+def change_notes(changes: DataFrame, watched_changes: DataFrame | None = None) -> DataFrame:
+    return change_marks(changes, watched_changes).drop("is_changed")
 
 
 def with_change_notes(listings: DataFrame, notes: DataFrame) -> DataFrame:
@@ -123,8 +135,8 @@ def live_or_archived(events: DataFrame, current: DataFrame) -> DataFrame:
 
 def mart_listings(listings: DataFrame, changes: DataFrame, watched_changes: DataFrame | None = None) -> DataFrame:
     """Listings of the committed runs with everything a reader sees."""
-    noted = with_changed_flag(with_change_notes(listings, change_notes(changes, watched_changes)), changes)
-    return display_columns(noted)
+    marked = listings.join(change_marks(changes, watched_changes), ["run_seq", "listing_key"], "left")
+    return display_columns(marked.withColumn("is_changed", F.coalesce("is_changed", F.lit(False))))
 
 
 def display_columns(df: DataFrame) -> DataFrame:
