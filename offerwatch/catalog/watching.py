@@ -159,7 +159,7 @@ def watched_mart(spark, sf_dir):
         "seller_name": "string", "thumb": "string", "lat": "double", "lon": "double", "images": "array<string>",
     }
     full = F.struct(*[p[n].alias(n) for n in names], *[F.lit(None).cast(t).alias(n) for n, t in wide.items()])
-    states = states.withColumn("payload", full).withColumn("last_active_at", F.to_timestamp("last_active_at"))
+    states = states.withColumn("payload", full).withColumn("last_active_at", F.concat("last_active_at", F.lit("+00:00")).cast("timestamp"))
     watchlist = load(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("listing_key"), F.col("c_name").alias("url"))
     moved = watch.watched_changes(states)
     notes = marts.change_notes(moved.select("run_seq", "listing_key", F.lit("new").alias("kind"), "old_total_czk", "new_total_czk"), moved)

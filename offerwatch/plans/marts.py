@@ -169,7 +169,9 @@ def watched_items(states: DataFrame, watchlist: DataFrame, notes: DataFrame, cfg
         ~F.col("active") & F.col("last_active_at").isNotNull(),
         F.concat(
             F.lit(C.NOTE_LAST_KNOWN),
-            F.date_format("last_active_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+            F.date_format(
+                F.to_utc_timestamp("last_active_at", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'"
+            ),
         ),
     )
     same = [
