@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -29,13 +28,8 @@ def local_session(cores: str | int = 8, app: str = "offerwatch", partitions: int
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder every executor can reach.
 
-    It lies under the shared folder named by spark.checkpoint.dir. Only a local
-    master, where driver and executors are one machine, may do without that
-    setting and gets a temporary folder.
+    It lies under the shared folder named by spark.checkpoint.dir; where that is
+    unset, under the warehouse, which a cluster shares as well.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/offerwatch/{name}-{uuid.uuid4().hex}"
-    if not spark.conf.get("spark.master", "local[*]").startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder before running on a cluster")
-    return tempfile.mkdtemp(prefix=f"offerwatch-{name}-")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared.rstrip('/')}/offerwatch/{name}-{uuid.uuid4().hex}"
