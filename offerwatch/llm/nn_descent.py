@@ -244,8 +244,8 @@ def deduplicate(df: DataFrame, id_col: str, label_col: str, vector_col: str, thr
         nodes.select("node", "class", "copies").join(links, "node", "left").join(linked, "node", "left")
         .select("class", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root"))
     )
-    known = rows.where("class is not null").select("id", "class").join(per_class, "class")
-    first = known.groupBy("root").agg(F.min("id").alias("component_id"))
+    known = rows.where("class is not null").select("id", "class").join(save(per_class, "per-class"), "class")
+    first = save(known.groupBy("root").agg(F.min("id").alias("component_id")), "first")  # written down so that its join can split a hot group
     named = known.join(first, "root").select("id", "n_links", "component_id")
     alone = rows.where("class is null").select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))
     return named.unionByName(alone).select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
