@@ -237,15 +237,18 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
     all_ = save(arrow_map(docs.select("id", "k1", "k2", "text"), lambda b: _outline(b, window, gram), f"id {name}, k1 bigint, k2 bigint, n_words bigint, digest string, segments {parts}"), "outline")
     first = saved()[-1:]
     each = all_.select("k1", "k2", F.inline("segments"))
-    shared = each.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # Small sides are written down before they are joined: a join on top of their aggregate could not split a hot key.
+    shared = save(each.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
     known = save(each.join(shared, "anchor", "left_semi"), "segments")
     outline = save(all_.drop("segments"), "texts")
     drop_saved(spark, first)
     folded = known.groupBy("anchor", "digest").agg(
         F.count(F.lit(1)).alias("n"), F.min("k2").alias("k2"), F.min_by("k1", "k2").alias("k1"), F.min_by("start", "k2").alias("start"), F.min("windows").alias("windows")
     )
-    many = folded.groupBy("anchor").agg((F.count(F.lit(1)) > hot).alias("hot"))
-    chosen = folded.join(many, "anchor").groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "digest", "n", "start", "windows", "hot")).alias("reps"))
+    folded = save(folded, "folded")
+    many = folded.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("anchor", F.lit(True).alias("hot"))
+    marked = folded.join(save(many, "hot"), "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    chosen = marked.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "digest", "n", "start", "windows", "hot")).alias("reps"))
     keys = known.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("_n")).join(chosen, ["k1", "k2"], "left").drop("_n")
     texts = save(docs.select("id", "k1", "k2", "text").join(keys, ["k1", "k2"]), "candidates")
     cut = arrow_map(
@@ -254,7 +257,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
     )
     dealt = cut.repartition("key").sortWithinPartitions("key", "digest", "base")
     masks = stream_map(dealt, lambda b: _search(b, window), "anchor bigint, digest bigint, mask bigint")
-    masks = masks.groupBy("anchor", "digest").agg(F.bit_or("mask").alias("mask"))
+    masks = save(masks.groupBy("anchor", "digest").agg(F.bit_or("mask").alias("mask")), "masks")
     hits = known.join(masks, ["anchor", "digest"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "mask")).alias("hits"))
     return outline, texts.drop("reps"), hits
 
