@@ -265,8 +265,8 @@ def join(df: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD
         .select("class", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "class").alias("root"))
     )
     order = F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("id"), F.col("k1").alias("k1"), F.col("k2").alias("k2"))
-    known = rows.where("class is not null").select("id", "k1", "k2", "class").join(per_class, "class")
-    first = known.groupBy("root").agg(F.min(order).alias("first"))
+    known = rows.where("class is not null").select("id", "k1", "k2", "class").join(save(per_class, "per-class"), "class")
+    first = save(known.groupBy("root").agg(F.min(order).alias("first")), "first")  # written down so that its join can split a hot group
     named = known.join(first, "root").select("id", "k1", "k2", F.col("first.id").alias("class_id"), "n_links", (F.struct("k1", "k2") == F.struct("first.k1", "first.k2")).alias("kept"))
     alone = rows.where("class is null").select("id", "k1", "k2", F.col("id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(True).alias("kept"))
     return named.unionByName(alone).withColumnRenamed("id", id_col)
