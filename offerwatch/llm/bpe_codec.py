@@ -11,7 +11,6 @@ given up at most once, so the time is linear in the text.
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 
 import ahocorasick
@@ -20,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerwatch.llm.common import arrow_map
+from offerwatch.llm.common import arrow_map, tool
 
 #: Pieces and pairs remembered by a worker before it forgets them all, and the longest such piece.
 MEMO = 300_000
@@ -119,9 +118,8 @@ class Codec:
         return found
 
 
-@functools.lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
+    return tool(("codec", path, pattern), lambda: Codec(path, pattern))
 
 
 def encode(df: DataFrame, id_col: str, text_col: str, path: str, pattern: str) -> DataFrame:

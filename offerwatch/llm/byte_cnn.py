@@ -22,7 +22,7 @@ BLOCK = 256  # bytes; a chunk is two blocks
 #: Bounds of what is learned from: labelled rows of each class, and chunks of a row, spread over the whole text.
 TRAIN_ROWS = 4096
 TRAIN_CHUNKS = 8
-SLICE = 1 << 20  # bytes scored at once
+SLICE = 1 << 18  # bytes scored at once
 
 
 @dataclass
@@ -184,7 +184,7 @@ def scores(texts: list[str | None], net: Network) -> np.ndarray:
     found, at = [np.zeros(0)], 0
     while at < len(data):
         end, size = at, 0
-        while end < len(data) and (end == at or size + len(data[end]) <= 4 * SLICE):
+        while end < len(data) and (end == at or size + len(data[end]) <= 16 * SLICE):
             size += len(data[end])
             end += 1
         found.append(net.score(data[at:end]))

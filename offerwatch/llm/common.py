@@ -9,7 +9,9 @@ import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,35 @@ def _archive() -> str:
     return path
 
 
+_tools: dict = {}
+
+
+def tool(key, make: Callable):
+    """What a worker keeps from task to task. It keeps one tool at a time, so that the memos of an earlier operator are let go."""
+    if key not in _tools:
+        _tools.clear()
+        _tools[key] = make()
+    return _tools[key]
+
+
+#: Words a worker remembers the hashes of before it forgets them all.
+MEMO = 200_000
+
+
+class Hashes(dict):
+    """Words and their 64-bit hashes, worked out when first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MEMO:
+            self.clear()
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
+def hashed(words: list[bytes]):
+    return np.fromiter(map(tool("hashes", Hashes).__getitem__, words), np.uint64, len(words))
+
+
 _shipped: set[str] = set()
 
 
@@ -82,8 +113,6 @@ def drop_saved(spark: SparkSession, paths: list[str]) -> None:
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 1) -> Iterator[pa.Table]:
     """Cut a partition sorted by `keys` into tables of whole groups, each of at least `rows` rows but the last."""
-    import numpy as np
-
     kept: list[pa.RecordBatch] = []
     count = 0
     for batch in batches:

@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from offerwatch.llm.common import arrow_map, save, stream_map
+from offerwatch.llm.common import arrow_map, save, stream_map, tool
 
 LENGTH = 4096
 END = 2
 #: Remembered pieces of text of a worker before it forgets them all, and the longest such piece.
-MEMO = 400_000
+MEMO = 200_000
 MEMO_CHARS = 64
 BUCKETS = 1024
 DIMS = 3
@@ -83,9 +83,8 @@ class Words(dict):
         return np.frombuffer(b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))), "<u4")
 
 
-@functools.lru_cache(maxsize=2)
 def words(path: str) -> Words:
-    return Words(path)
+    return tool(("words", path), lambda: Words(path))
 
 
 @functools.cache

@@ -8,7 +8,6 @@ library's bounded-error matching verifies the notice and reports its span.
 
 from __future__ import annotations
 
-import functools
 from dataclasses import dataclass
 
 import ahocorasick
@@ -17,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerwatch.llm.common import arrow_map
+from offerwatch.llm.common import arrow_map, tool
 
 #: Bytes that are part of a word once A-Z are lower-cased: digits, a-z and everything beyond ASCII.
 WORD = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -130,9 +129,8 @@ def best_of(exact, fuzzy) -> list:
     return sorted(kept[start:])
 
 
-@functools.lru_cache(maxsize=4)
 def scanner(base: tuple[Notice, ...], fuzzy: tuple[Notice, ...]) -> Scanner:
-    return Scanner(base, fuzzy)
+    return tool(("scanner", base, fuzzy), lambda: Scanner(base, fuzzy))
 
 
 SPANS = "array<struct<first_word:bigint,n_words:bigint,label:string,edits:int,likeness:double>>"

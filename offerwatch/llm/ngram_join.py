@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerwatch.llm.common import arrow_map, components, grouped, save, stream_map
+from offerwatch.llm.common import arrow_map, components, grouped, hashed, save, stream_map
 from offerwatch.llm.substring_dedup import keyed, mixed
 
 GRAM = 5
@@ -32,7 +32,6 @@ TREES = 16
 DEPTH = 8
 RECALL = 0.9995  # of pairs at the threshold, more above it
 BLOCK = 512  # classes; a task compares two blocks at once
-MEMO = 400_000
 #: Signatures may fall this much short of the threshold before a pair is given up: five deviations of 128 minima.
 SLACK = 5 * (THRESHOLD * (1 - THRESHOLD) / (TREES * DEPTH)) ** 0.5
 
@@ -47,19 +46,6 @@ def prefix_depth(threshold: float = THRESHOLD, trees: int = TREES, depth: int =
     return depth
 
 
-class Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-@functools.cache
-def hashes() -> Hashes:
-    return Hashes()
-
-
 @functools.cache
 def factors() -> np.ndarray:
     return np.random.default_rng(5).integers(0, 1 << 63, (2, max(GRAM, TREES * DEPTH)), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -70,7 +56,7 @@ def grams(text: str | None) -> np.ndarray:
     words = (text or "").lower().encode().translate(WORD).split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(hashes().__getitem__, words), np.uint64, len(words))
+    h = hashed(words)
     n = min(GRAM, len(h))
     sums = np.full(len(h) - n + 1, n, np.uint64)
     for j in range(n):

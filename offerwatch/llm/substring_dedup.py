@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from offerwatch.llm import fm_index
-from offerwatch.llm.common import arrow_map, drop_saved, grouped, save, saved, stream_map
+from offerwatch.llm.common import arrow_map, drop_saved, grouped, hashed, save, saved, stream_map
 
 WINDOW = 35
 GRAM = 8  # a mask of WINDOW - GRAM + 1 windows has to fit in 64 bits
@@ -39,22 +39,6 @@ GRAM = 8  # a mask of WINDOW - GRAM + 1 windows has to fit in 64 bits
 HOT = 4096
 #: Segments that make a shard; the last key is taken whole.
 SHARD = 16384
-MEMO = 400_000
-
-
-class Hashes(dict):
-    """Words and their 64-bit hashes."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-@functools.cache
-def hashes() -> Hashes:
-    return Hashes()
 
 
 def split(text: str | None) -> list[bytes]:
@@ -62,10 +46,6 @@ def split(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
 
-def hashed(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(hashes().__getitem__, words), np.uint64, len(words))
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
