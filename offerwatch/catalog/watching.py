@@ -113,10 +113,9 @@ def watch_carry_forward(spark, sf_dir):
 
 
 def watch_carry_forward_stream(spark, sf_dir):
-    """States computed one run at a time as the manifest grows; here a run is five days."""
+    """The states of all runs computed as the manifest grows; same result as the batch form."""
     store = Store(spark, work_dir(spark, "watch"))
-    reads = _reads(spark, sf_dir).withColumn("run_seq", F.floor((F.col("run_seq") - 1) / 15) + 1)
-    reads = keep_last(reads, ["run_seq", "listing_key"], ["fetched_at", "outcome", "error"])
+    reads = _reads(spark, sf_dir)
     store.write_runs("watched_reads", reads)
     written = store.read_or_empty("watched_reads", reads.schema)
     manifest = written.select("run_seq").distinct().select(
@@ -132,16 +131,6 @@ def watch_carry_forward_stream(spark, sf_dir):
     return states.select(*_STATE, F.col("payload.total_czk").alias("total_czk"))
 
 
-STREAM_STATE_SQL = (
-    STATE_SQL.replace("reads AS (", "runs AS (", 1)
-    .replace("islands AS (", """reads AS (
-  SELECT listing_key, (run_seq - 1) // 15 + 1 AS run_seq, outcome, fetched_at, error, total
-  FROM (SELECT *, row_number() OVER (PARTITION BY listing_key, (run_seq - 1) // 15 ORDER BY fetched_at DESC, outcome DESC, error DESC NULLS LAST) AS rn FROM runs)
-  WHERE rn = 1),
-islands AS (""", 1)
-)
-
-
 def watch_changes(spark, sf_dir):
     return watch.watched_changes(watch.carry_forward(_reads(spark, sf_dir)))
 
@@ -189,7 +178,7 @@ QUERIES = {
 ORACLES = {
     "watch_add_remove": WATCH_ADD_REMOVE,
     "watch_carry_forward": f"WITH {STATE_SQL} SELECT * FROM states",
-    "watch_carry_forward_stream": f"WITH {STREAM_STATE_SQL} SELECT * FROM states",
+    "watch_carry_forward_stream": f"WITH {STATE_SQL} SELECT * FROM states",
     "watch_changes": f"WITH {STATE_SQL} SELECT * FROM moved",
     "watched_mart": WATCHED_MART,
 }

@@ -147,6 +147,32 @@ STATE_COLUMNS = [
 ]
 
 
+def carry_on(previous: DataFrame, reads: DataFrame, first: int) -> DataFrame:
+    """States of the runs from `first` on, given the states of the run before and all reads since.
+
+    A state is written as the one or two reads that lead to it and put in front
+    of the new ones, so any number of runs is one pass of `carry_forward`.
+    """
+    columns = ["run_seq", "listing_key", "outcome", "fetched_at", "error", "payload"]
+    none = F.lit(None)
+
+    def as_read(run: int, outcome: str, at: Column, error: Column, payload: Column) -> Column:
+        parts = (F.lit(run).cast("bigint"), F.lit(outcome), at, error.cast("string"), payload.cast(reads.schema["payload"].dataType))
+        return F.struct(*[v.alias(c) for c, v in zip([c for c in columns if c != "listing_key"], parts, strict=True)])
+
+    active, seen = F.col("active"), F.col("last_active_at").isNotNull()
+    at, error, payload = F.col("fetched_at"), F.col("error"), F.col("payload")
+    lead = (
+        F.when(active, none)
+        .when(seen, as_read(first - 2, "ok", F.col("last_active_at"), none, payload))
+        .when(F.col("unavailable"), as_read(first - 2, "unreadable", at, error, none))
+    )
+    last = F.when(active, as_read(first - 1, "ok", at, none, payload)).otherwise(as_read(first - 1, "gone", at, error, none))
+    before = previous.select("listing_key", F.explode(F.filter(F.array(lead, last), lambda r: r.isNotNull())).alias("r"))
+    both = reads.select(*columns).unionByName(before.select("listing_key", "r.*"))
+    return carry_forward(both).where(F.col("run_seq") >= first)
+
+
 def carry_step(previous: DataFrame, reads: DataFrame) -> DataFrame:
     """One run: this run's reads merged onto the state after the run before."""
     before = previous.select("listing_key", F.struct(*[c for c in STATE_COLUMNS if c != "listing_key"]).alias("p"))

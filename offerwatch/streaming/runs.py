@@ -38,7 +38,9 @@ def stream_runs(
 
     `landed_path` holds one row (run_id, run_seq, generated_at) per finished
     landing, the trigger of a run. A run that is already committed is skipped, so
-    a replayed batch does no harm; an incomplete one is reported and leaves nothing.
+    a replayed batch does no harm. An incomplete one leaves nothing and fails the
+    query, which tries it again when it is started again; with `on_incomplete` it
+    is reported there instead and passed over.
     """
     landed = store.spark.readStream.schema(schemas.RUNS).parquet(landed_path)
 
@@ -49,8 +51,9 @@ def stream_runs(
             try:
                 monitor.run(store, pages, row["run_id"], row["generated_at"], cfg)
             except monitor.IncompleteRun:
-                if on_incomplete:
-                    on_incomplete(row["run_id"])
+                if not on_incomplete:
+                    raise
+                on_incomplete(row["run_id"])
 
     writer = landed.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
@@ -91,7 +94,7 @@ def stream_watch_states(
     state_schema: T.StructType = WATCH_STATE,
     runs_per_batch: int | None = None,
 ) -> StreamingQuery:
-    """Carry watched states forward run by run; the state is the previous run's partition."""
+    """Carry watched states forward: all runs of a batch in one job, from the states of the run before it."""
     reader = store.spark.readStream.schema(schemas.RUNS)
     if runs_per_batch:
         reader = reader.option("maxFilesPerTrigger", runs_per_batch)
@@ -101,10 +104,10 @@ def stream_watch_states(
         span = _new_span(batch)
         if span is None:
             return
-        for run_seq in range(span[0], span[1] + 1):
-            before = store.of_run(out_table, state_schema, run_seq - 1)
-            reads = store.of_run("watched_reads", reads_schema, run_seq)
-            store.write_run(out_table, watch.carry_step(before, reads), run_seq)
+        first, last = span
+        before = store.of_run(out_table, state_schema, first - 1)
+        reads = store.of_runs("watched_reads", reads_schema, first, last)
+        store.write_runs(out_table, watch.carry_on(before, reads, first))
 
     writer = manifest.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()

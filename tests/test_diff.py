@@ -17,33 +17,20 @@ def sighting(run, key, price, source="a", total="same", estimated=True, failed=N
     return (run, key, source, price, price if total == "same" else total, estimated, failed)
 
 
-def cmp_value(row):
-    return row[4] if row[4] is not None and row[5] is not None else row[3]
-
-
-def fold(rows, last):
-    """The rules run by run, as a plain loop."""
-    runs = {r: {row[1]: row for row in rows if row[0] == r} for r in range(1, last + 1)}
-    events, waiting = set(), {}
-    for run in range(1, last + 1):
-        now = runs[run]
-        if run == 1:
-            continue
-        before = {**runs[run - 1], **waiting}
-        missing = {}
-        for key, old in before.items():
-            if key not in now:
-                if key in waiting:
-                    events.add((run, "removed", key, None, None, run - 1))
-                else:
-                    missing[key] = old
-        for key, new in now.items():
-            if key not in before:
-                events.add((run, "new", key, None, None, None))
-            elif cmp_value(before[key]) != cmp_value(new):
-                events.add((run, "price_change", key, before[key][4], new[4], None))
-        waiting = missing
-    return events, set(waiting)
+def by_rule(rows, last):
+    """Every event from the two runs around it: a sighting is known from up to two runs back, gone after two without it."""
+    seen = {(row[1], row[0]): row for row in rows}
+    compared = lambda row: row[3] if None in (row[4], row[5]) else row[4]
+    events = set()
+    for (key, run), row in seen.items():
+        known = next((seen[key, run - back] for back in (1, 2) if (key, run - back) in seen), None)
+        if known is None and run > 1:
+            events.add((run, "new", key, None, None, None))
+        if known is not None and compared(known) != compared(row):
+            events.add((run, "price_change", key, known[4], row[4], None))
+        if run + 2 <= last and not {(key, run + 1), (key, run + 2)} & set(seen):
+            events.add((run + 2, "removed", key, None, None, run + 1))
+    return events, {key for key, run in seen if run == last - 1 and (key, last) not in seen}
 
 
 def as_set(changes):
@@ -83,10 +70,10 @@ def random_rows(seed, keys=40, runs=30):
 
 @pytest.mark.parametrize("seed", [1, 2])
 @pytest.mark.parametrize("group", [3, 512])
-def test_whole_history_equals_the_fold(spark, monkeypatch, seed, group):
+def test_whole_history_equals_the_rules(spark, monkeypatch, seed, group):
     monkeypatch.setattr(diff, "RUNS_PER_GROUP", group)
     rows = random_rows(seed)
-    events, waiting = fold(rows, 30)
+    events, waiting = by_rule(rows, 30)
     df = table(spark, rows)
     assert as_set(diff.diff_runs(df)) == events
     assert {r.listing_key for r in diff.pending(df).collect()} == waiting

@@ -15,27 +15,32 @@ def read(run, key, outcome, total=None):
     return (run, key, outcome, START + timedelta(hours=8 * run), error, (total if total is not None else run * 10, True) if outcome == "ok" else None)
 
 
-def fold(rows):
-    """Run by run, the way the rules are stated."""
-    out, state, last_run = [], {}, {}
-    for run, key, outcome, at, error, payload in sorted(rows, key=lambda r: (r[0], r[1])):
-        prev = state.get(key) if last_run.get(key) == run - 1 else None
-        if outcome == "ok":
-            now = {"active": True, "fetched_at": at, "payload": payload}
-        elif outcome == "gone":
-            now = {"active": False, "fetched_at": at, "error": error}
-            if prev:
-                seen = prev.get("last_active_at") or (prev["fetched_at"] if prev["active"] else None)
-                now = {**prev, **now}
-                if seen:
-                    now["last_active_at"] = seen
-            now.pop("fetch_error", None), now.pop("fetch_error_at", None)
-        elif prev:
-            now = {**prev, "fetch_error": error, "fetch_error_at": at}
-        else:
-            now = {"active": False, "fetched_at": at, "error": error, "unavailable": True}
-        state[key], last_run[key] = now, run
-        out.append((run, key, *[now.get(c) for c in ("active", "fetched_at", "error", "last_active_at", "unavailable", "fetch_error", "fetch_error_at", "payload")]))
+def by_rule(rows):
+    """Each output of a read as the last of something in its unbroken stretch of runs, up to that read."""
+    by_key = {}
+    for row in sorted(rows):
+        by_key.setdefault(row[1], []).append(row)
+    out = []
+    for reads in by_key.values():
+        for n, (run, key, outcome, at, error, _) in enumerate(reads):
+            start = max(i for i in range(n + 1) if i == 0 or reads[i][0] != reads[i - 1][0] + 1)
+            stretch = reads[start : n + 1]
+            last = lambda *kinds, among=stretch: next((r for r in reversed(among) if r[2] in kinds), None)
+            ok, answer = last("ok"), last("ok", "gone")
+            base = answer or stretch[0]
+            gone = answer is not None and answer[2] == "gone"
+            unread = outcome == "unreadable" and len(stretch) > 1
+            out.append((
+                run, key,
+                answer is not None and not gone,
+                base[3],
+                base[4],
+                ok[3] if gone and ok else None,
+                True if stretch[0][2] == "unreadable" and not ok else None,
+                error if unread else None,
+                at if unread else None,
+                ok[5] if ok else None,
+            ))
     return sorted(out, key=lambda r: r[:2])
 
 
@@ -66,13 +71,13 @@ def random_reads(seed, keys=60, runs=24):
 
 
 @pytest.mark.parametrize("block", [1, 5, 512])
-def test_closed_form_equals_the_fold(spark, block):
+def test_closed_form_equals_the_rules(spark, block):
     rows = every_order() + [tuple([r[0], "z" + r[1], *r[2:]]) for r in random_reads(3)]
     df = spark.createDataFrame(rows, COLS)
-    assert rows_of(watch.carry_forward(df, block)) == fold(rows)
+    assert rows_of(watch.carry_forward(df, block)) == by_rule(rows)
 
 
-def test_steps_equal_the_fold(spark):
+def test_steps_equal_the_rules(spark):
     rows = random_reads(4, keys=20, runs=6)
     df = spark.createDataFrame(rows, COLS).cache()
     state = watch.carry_forward(df.where("false"))
@@ -81,10 +86,19 @@ def test_steps_equal_the_fold(spark):
         state = watch.carry_step(state, df.where(F.col("run_seq") == run))
         state = spark.createDataFrame(state.collect(), state.schema)
         got += rows_of(state)
-    assert sorted(got, key=lambda r: r[:2]) == fold(rows)
+    assert sorted(got, key=lambda r: r[:2]) == by_rule(rows)
     df.unpersist()
 
 
+@pytest.mark.parametrize("cut", [2, 5])
+def test_state_as_reads_carries_on(spark, cut):
+    rows = every_order() + [tuple([r[0], "z" + r[1], *r[2:]]) for r in random_reads(6, keys=30, runs=9)]
+    df = spark.createDataFrame(rows, COLS)
+    before = watch.carry_forward(df.where(F.col("run_seq") <= cut)).where(F.col("run_seq") == cut)
+    later = watch.carry_on(before, df.where(F.col("run_seq") > cut), cut + 1)
+    assert rows_of(later) == [r for r in by_rule(rows) if r[0] > cut]
+
+
 def test_watched_changes(spark):
     rows = [read(1, "a", "ok", 5), read(2, "a", "ok", 6), read(3, "a", "gone"), read(1, "b", "ok", 5), read(2, "b", "unreadable"),
             read(3, "b", "ok", 9), read(1, "c", "ok", 1), read(3, "c", "ok", 2)]
