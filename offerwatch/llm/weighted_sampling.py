@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from offerwatch.llm.common import save
 from offerwatch.llm.feistel_pii import once
 
-SAMPLES = 24
+SAMPLES = 16
 #: Runs of neighbouring ids that a task takes at once, and how many quantiles of the ids they are laid out by.
 RUN = 1000
 QUANTILES = 64
