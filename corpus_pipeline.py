@@ -18,7 +18,7 @@ from offerwatch.llm.catalog import ACCEPTED, PII_KEY
 from offerwatch.llm.common import drop_saved, saved
 from offerwatch.session import work_dir
 
-#: No SQL can state a learned score or hashed tokens; tests hold run() against brute force.
+#: No SQL can state a learned score or hashed tokens; tests hold the operator of each stage against brute force.
 ORACLE_SQL = None
 
 _before: list[str] = []
