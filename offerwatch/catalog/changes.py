@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta, timezone
+from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
 from offerwatch import config as C
 from offerwatch import schemas
 from offerwatch.catalog.tables import CHANGES_SQL, OBS_SQL, load, money_sql, observations
-from offerwatch.functions.costs import half_even
 from offerwatch.operators import diff, stats
-from offerwatch.operators.dedup import keep_last, keep_last_in_first_place
+from offerwatch.operators.dedup import keep_last_in_first_place
 from offerwatch.plans import marts
 from offerwatch.plans.store import Store
 from offerwatch.session import work_dir
@@ -244,13 +243,14 @@ SELECT run_seq, listing_key,
 FROM marked"""
 
 
-def _stored_runs(spark, sf_dir, name):
-    """All runs of the observations written and committed."""
+def _stored_runs(spark, sf_dir, name, uncommitted=0):
+    """All runs of the observations written, and all but the last `uncommitted` of them committed."""
     store = Store(spark, work_dir(spark, name))
     store.write_runs("listings", schemas.conform(observations(spark, sf_dir)))
     start = datetime(2024, 1, 1, tzinfo=timezone.utc)
     written = store.read_or_empty("listings", schemas.LISTING).select("run_seq").distinct()
-    manifest = written.select(
+    committed = written.where(F.col("run_seq") <= written.agg(F.max("run_seq")).scalar() - uncommitted)
+    manifest = committed.select(
         "run_seq",
         (F.lit(start).cast("timestamp") + F.make_dt_interval(hours=(F.col("run_seq") * 8).cast("int"))).alias("generated_at"),
     ).withColumn("run_id", F.date_format("generated_at", "yyyyMMdd'T'HHmmss'Z'"))
@@ -259,30 +259,19 @@ def _stored_runs(spark, sf_dir, name):
 
 
 def store_roundtrip(spark, sf_dir):
-    """The month in three runs of ten days, the third not committed: the latest visible is the second."""
-    store = Store(spark, work_dir(spark, "roundtrip"))
-    events = load(spark, sf_dir, "events").select(
-        (F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(2)) + 1).cast("bigint").alias("run_seq"),
-        F.col("user_id").cast("string").alias("listing_key"), half_even(F.col("value")).alias("price_czk"), "ts", "event_id",
-    )
-    obs = schemas.conform(keep_last(events, ["run_seq", "listing_key"], ["ts", "event_id"]))
-    start = datetime(2024, 1, 1, tzinfo=timezone.utc)
-    for run_seq in (1, 2, 3):
-        store.write_run("listings", obs.where(F.col("run_seq") == run_seq), run_seq)
-        if run_seq < 3:
-            store.commit(run_seq, start + timedelta(hours=8 * run_seq))
+    """All runs written, the last one not committed: what is visible per run, and the rows of the latest."""
+    store = _stored_runs(spark, sf_dir, "roundtrip", uncommitted=1)
     visible = store.committed("listings", schemas.LISTING).groupBy("run_seq").agg(F.count(F.lit(1)).alias("visible"))
     latest = store.latest("listings", schemas.LISTING).select("run_seq", "listing_key", "price_czk")
-    return latest.join(store.runs().select("run_seq", "run_id"), "run_seq").join(visible, "run_seq")
+    return visible.join(store.runs().select("run_seq", "run_id"), "run_seq").join(latest, "run_seq", "left")
 
 
-STORE_ROUNDTRIP = """
-WITH runs AS (
-  SELECT least((day(ts) - 1) // 10, 2) + 1 AS run_seq, CAST(user_id AS VARCHAR) AS listing_key,
-         arg_max(CAST(round_even(value, 0) AS BIGINT), {'ts': ts, 'id': event_id}) AS price_czk
-  FROM events GROUP BY 1, 2)
-SELECT run_seq, listing_key, price_czk, '20240101T160000Z' AS run_id, count(*) OVER () AS visible
-FROM runs WHERE run_seq = 2"""
+STORE_ROUNDTRIP = f"""
+WITH {OBS_SQL}
+SELECT v.run_seq, v.visible, strftime(TIMESTAMP '2024-01-01' + to_hours(CAST(v.run_seq * 8 AS INTEGER)), '%Y%m%dT%H%M%SZ') AS run_id,
+       o.listing_key, o.price_czk
+FROM (SELECT run_seq, count(*) AS visible FROM obs, bounds WHERE run_seq < n GROUP BY 1) v CROSS JOIN bounds
+LEFT JOIN obs o ON o.run_seq = v.run_seq AND v.run_seq = (SELECT max(run_seq) FROM obs, bounds WHERE run_seq < n)"""
 
 
 def snapshot_diff_stream(spark, sf_dir):

@@ -19,6 +19,12 @@ def run_number(ts: Column) -> Column:
     return (day * 3 + F.floor(F.hour(ts) / 8) + 1).cast("bigint")
 
 
+def run_time(run_seq: Column) -> Column:
+    """When such a run starts."""
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    return start + F.make_dt_interval(hours=((run_seq - 1) * 8).cast("int"))
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as sightings: a user is a listing, its last value in a run the price."""
     events = load(spark, sf_dir, "events").select(

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from offerwatch.catalog.tables import RUN_SQL, load, money_sql, run_number
+from offerwatch.catalog.tables import CHANGES_SQL, RUN_SQL, load, money_sql, observations, run_number, run_time
 from offerwatch.functions.costs import half_even
-from offerwatch.operators import watch
+from offerwatch.operators import diff, watch
 from offerwatch.operators.dedup import keep_last
-from offerwatch.plans import marts
+from offerwatch.plans import marts, monitor
 from offerwatch.plans.store import Store
 from offerwatch.session import work_dir
 from offerwatch.streaming import runs as streaming
@@ -68,7 +68,7 @@ def _reads(spark, sf_dir):
     )
 
 
-STATE_SQL = f"""
+READS_SQL = f"""
 raw AS (
   SELECT CAST(user_id AS VARCHAR) AS listing_key, {RUN_SQL.format(ts="ts")} AS run_seq, event_type, value, ts, event_id FROM events),
 reads AS (
@@ -78,7 +78,10 @@ reads AS (
          CASE WHEN event_type IN ('error', 'signup') THEN event_type || ' ' || event_id END AS error,
          CASE WHEN event_type NOT IN ('error', 'signup') THEN CAST(round_even(value, 0) AS BIGINT) END AS total
   FROM (SELECT *, row_number() OVER (PARTITION BY listing_key, run_seq ORDER BY ts DESC, event_id DESC) AS rn FROM raw)
-  WHERE rn = 1),
+  WHERE rn = 1)"""
+
+# Everything that follows from one read per run and listing.
+RULES_SQL = """
 islands AS (
   SELECT *, run_seq - row_number() OVER (PARTITION BY listing_key ORDER BY run_seq) AS island FROM reads),
 marked AS (
@@ -104,6 +107,8 @@ moved AS (
   FROM states n JOIN states p ON p.listing_key = n.listing_key AND p.run_seq = n.run_seq - 1
   WHERE n.active AND n.total_czk IS DISTINCT FROM p.total_czk)"""
 
+STATE_SQL = f"{READS_SQL},{RULES_SQL}"
+
 _STATE = [c for c in watch.STATE_COLUMNS if c != "payload"]
 
 
@@ -167,12 +172,101 @@ FROM states s LEFT JOIN moved m ON m.run_seq = s.run_seq AND m.listing_key = s.l
 LEFT JOIN customer ON CAST(c_custkey AS VARCHAR) = s.listing_key"""
 
 
+def watchlist_run(spark, sf_dir):
+    """Customers as the list, events as what landed for them; the list is edited before runs 31 and 61.
+
+    First the customers of little means leave, then those in debt come back
+    under a new URL. Each edit makes a version of the stored list, and every run
+    gives each listing of its version a state.
+    """
+    store = Store(spark, work_dir(spark, "watchlist"))
+    customers = load(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("key"), "c_name", "c_acctbal")
+    store.write_watchlist(customers.select(F.col("key").alias("listing_key"), F.col("c_name").alias("url")))
+    leaving = customers.where("c_acctbal < 1000").select(
+        F.lit("remove").alias("op"), F.col("key").alias("arg"), F.lit(1).alias("ts")
+    )
+    back = customers.where("c_acctbal < 0").select(
+        F.lit("add").alias("op"), F.concat(F.lit("https://main/detail/"), "key", F.lit("/")).alias("arg"), F.lit(2).alias("ts")
+    )
+    landed = _reads(spark, sf_dir)
+    last = landed.agg(F.max("run_seq")).scalar()
+    spans = [(F.lit(1), F.least(F.lit(30), last)), (F.lit(31), F.least(F.lit(60), last)), (F.lit(61), last)]
+    listed = None
+    for edits, (low, high) in zip([None, leaving, back], spans, strict=True):
+        if edits is not None:
+            monitor.edit_watchlist(store, edits)
+        runs = F.when(low <= high, F.sequence(low.cast("bigint"), high.cast("bigint")))
+        version = store.watchlist().select(F.explode(runs).alias("run_seq"), "listing_key", "url")
+        listed = version if listed is None else listed.unionByName(version)
+    listed = listed.withColumn("fetched_at", F.date_format(run_time(F.col("run_seq")), "yyyy-MM-dd HH:mm:ss"))
+    reads = watch.reads_of_list(listed, landed)
+    states = watch.carry_forward(reads).join(reads.select("run_seq", "listing_key", "url"), ["run_seq", "listing_key"])
+    return states.select(*_STATE, "url", F.col("payload.total_czk").alias("total_czk"))
+
+
+WATCHLIST_RUN = f"""
+WITH {READS_SQL.replace("reads AS (", "landed AS (")},
+listed AS (
+  SELECT CAST(c_custkey AS VARCHAR) AS listing_key, r.run_seq,
+         CASE WHEN r.run_seq > 60 AND c_acctbal < 0 THEN 'https://main/detail/' || c_custkey || '/' ELSE c_name END AS url
+  FROM customer, (SELECT unnest(range(1, max(run_seq) + 1)) AS run_seq FROM landed) r
+  WHERE r.run_seq <= 30 OR c_acctbal >= 1000 OR (r.run_seq > 60 AND c_acctbal < 0)),
+reads AS (
+  SELECT listing_key, run_seq, l.url, coalesce(d.outcome, 'unreadable') AS outcome,
+         coalesce(d.fetched_at, strftime(TIMESTAMP '2024-01-01' + to_hours(CAST((run_seq - 1) * 8 AS INTEGER)), '%Y-%m-%d %H:%M:%S')) AS fetched_at,
+         CASE WHEN d.outcome IS NULL THEN l.url || ': no answer' ELSE d.error END AS error, d.total
+  FROM listed l LEFT JOIN landed d USING (listing_key, run_seq)),
+{RULES_SQL}
+SELECT s.*, r.url FROM states s JOIN reads r USING (run_seq, listing_key)"""
+
+
+def history_mart(spark, sf_dir):
+    """The whole history as served: changes of listings and of watched ones, dated, with the item as it is now."""
+    states = watch.carry_forward(_reads(spark, sf_dir))
+    obs = observations(spark, sf_dir)
+    found = marts.history_events(diff.diff_runs(obs), watch.watched_changes(states))
+    lines = marts.with_history_lines(found.withColumn("at", run_time(F.col("run_seq"))))
+    last = obs.agg(F.max("run_seq")).scalar()
+    now = states.where(F.col("run_seq") == last).select(
+        "run_seq", "listing_key", F.col("payload.title").alias("title"), F.col("payload.total_czk").alias("price_czk")
+    )
+    items = marts.watched_then_listed(now, obs.where(F.col("run_seq") == last))
+    shown = marts.live_or_archived(lines, marts.preferred_items(items))
+    return shown.select(
+        "run_seq", F.date_format("at", "yyyy-MM-dd HH").alias("at"), "kind", "is_watched", "listing_key", "line", "is_live",
+        F.col("item.run_seq").alias("item_run_seq"), F.col("item.price_czk").alias("item_price_czk"),
+    )
+
+
+HISTORY_MART = f"""
+WITH {CHANGES_SQL}, {STATE_SQL},
+last_run AS (SELECT listing_key, total_czk FROM states, bounds WHERE run_seq = n),
+events AS (
+  SELECT run_seq, kind, false AS is_watched, listing_key, 'Listing ' || listing_key AS title, old_price_czk AS old, new_price_czk AS new,
+         CASE kind WHEN 'removed' THEN run_seq - 2 ELSE run_seq END AS item_run_seq, item_price_czk
+  FROM changes
+  UNION ALL
+  SELECT run_seq, 'price_change', true, listing_key, '#' || listing_key, old_total_czk, new_total_czk, NULL, NULL FROM moved)
+SELECT e.run_seq, strftime(TIMESTAMP '2024-01-01' + to_hours(CAST((e.run_seq - 1) * 8 AS INTEGER)), '%Y-%m-%d %H') AS "at",
+       kind, is_watched, listing_key,
+       CASE kind
+         WHEN 'new' THEN 'New: ' || title || ' — ' || {money_sql("item_price_czk", "chr(160)")}
+         WHEN 'removed' THEN 'Gone: ' || title || ' — last seen at ' || {money_sql("item_price_czk", "chr(160)")}
+         ELSE title || ': ' || {money_sql("old", "chr(160)")} || ' → ' || {money_sql("new", "chr(160)")} END AS line,
+       l.listing_key IS NOT NULL AS is_live,
+       CASE WHEN l.listing_key IS NULL THEN e.item_run_seq ELSE n END AS item_run_seq,
+       CASE WHEN l.listing_key IS NULL THEN e.item_price_czk ELSE l.total_czk END AS item_price_czk
+FROM events e CROSS JOIN bounds LEFT JOIN last_run l USING (listing_key)"""
+
+
 QUERIES = {
     "watch_add_remove": watch_add_remove,
     "watch_carry_forward": watch_carry_forward,
     "watch_carry_forward_stream": watch_carry_forward_stream,
     "watch_changes": watch_changes,
     "watched_mart": watched_mart,
+    "watchlist_run": watchlist_run,
+    "history_mart": history_mart,
 }
 
 ORACLES = {
@@ -181,4 +275,6 @@ ORACLES = {
     "watch_carry_forward_stream": f"WITH {STATE_SQL} SELECT * FROM states",
     "watch_changes": f"WITH {STATE_SQL} SELECT * FROM moved",
     "watched_mart": WATCHED_MART,
+    "watchlist_run": WATCHLIST_RUN,
+    "history_mart": HISTORY_MART,
 }

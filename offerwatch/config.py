@@ -113,6 +113,7 @@ NOTE_LAST_KNOWN = "No longer listed — showing last known details from "
 ERROR_STATUS = "HTTP "
 ERROR_NO_STATE = "no __NEXT_DATA__ in page (HTTP {})"
 ERROR_NO_QUERY = "estate query missing from page"
+ERROR_NO_ANSWER = "no answer"
 
 # Fetch statuses that say nothing about the listing itself.
 RETRY_STATUSES = (429, 500, 502, 503, 504)

@@ -170,20 +170,28 @@ def diff_runs_strict(listings: DataFrame, source_runs: DataFrame, with_item: boo
     mapped back; a source that failed for two runs no longer looks like a mass
     removal.
     """
-    numbered = source_runs.select("source", "run_seq").distinct().withColumn(
-        "source_seq", F.row_number().over(Window.partitionBy("source").orderBy("run_seq")).cast("bigint")
+    in_order = Window.partitionBy("source").orderBy("run_seq")
+    calendar = source_runs.select("source", "run_seq").distinct().select(
+        "source",
+        "run_seq",
+        F.row_number().over(in_order).cast("bigint").alias("source_seq"),
+        F.count(F.lit(1)).over(Window.partitionBy("source")).alias("_last"),
+        # the runs an event of this one can name: one and two complete runs later
+        *[F.lead("run_seq", n).over(in_order).alias(f"_run{n}") for n in (1, 2)],
     )
-    ends = numbered.groupBy("source").agg(F.max("source_seq").alias("_last"))
-    calendar = numbered.join(ends, "source")
     rows = with_comparison(listings, strict=True)
     base = rows.select(
         "source", "listing_key", "run_seq", *_carried(True), *([item_of(listings)] if with_item else [])
     ).join(calendar, ["source", "run_seq"])
     seen = with_neighbours(base, ["source", "listing_key"], _carried(True), "source_seq")
-    events = _as_events(seen, "source_seq", F.col("_last"), strict=True).drop("run_seq", "_last")
-    for name in ("event_seq", "first_seen_seq", "missing_since_seq", "removed_since_seq"):
-        lookup = numbered.select("source", F.col("source_seq").alias(name), F.col("run_seq").alias("_run"))
-        events = events.join(lookup, ["source", name], "left").drop(name).withColumnRenamed("_run", name)
+    events = _as_events(seen, "source_seq", F.col("_last"), strict=True)
+
+    def run_of(name: str) -> Column:
+        later = F.col(name) - F.col("source_seq")
+        return F.when(later == 0, F.col("run_seq")).when(later == 1, F.col("_run1")).when(later == 2, F.col("_run2"))
+
+    stamps = ("event_seq", "first_seen_seq", "missing_since_seq", "removed_since_seq")
+    events = events.withColumns({name: run_of(name) for name in stamps}).drop("run_seq")
     return _finish(events, with_item)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from offerwatch import config as C
 from offerwatch.functions import text as X
 from offerwatch.functions.costs import comparison_value
 from offerwatch.operators.diff import with_neighbours
@@ -58,6 +59,29 @@ def apply_edits(watchlist: DataFrame, edits: DataFrame) -> DataFrame:
     return add_to_watchlist(remove_from_watchlist(watchlist, removals), additions)
 
 
+def reads_of_list(listed: DataFrame, reads: DataFrame) -> DataFrame:
+    """One read per run and listing on the list (run_id, run_seq, listing_key, url, fetched_at).
+
+    A page that did not land could not be read. The list's URL counts, its
+    fetched_at is the time of the run. A read of something not on the list is
+    dropped.
+    """
+    keys = [c for c in ("run_id", "run_seq", "listing_key") if c in reads.columns]
+    landed = reads.select(
+        *keys, "outcome", F.col("fetched_at").alias("_at"), "error", "payload", F.lit(True).alias("_landed")
+    )
+    both = listed.join(landed, keys, "left")
+    absent = F.concat_ws(": ", "url", F.lit(C.ERROR_NO_ANSWER))
+    return both.select(
+        *keys,
+        "url",
+        F.when(F.col("_landed"), F.col("_at")).otherwise(F.col("fetched_at")).alias("fetched_at"),
+        F.when(F.col("_landed"), F.col("outcome")).otherwise("unreadable").alias("outcome"),
+        F.when(F.col("_landed"), F.col("error")).otherwise(absent).alias("error"),
+        "payload",
+    )
+
+
 # --------------------------------------------------------------- carry-forward
 
 

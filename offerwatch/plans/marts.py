@@ -65,8 +65,8 @@ def with_changed_flag(listings: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def history_events(changes: DataFrame, watched_changes: DataFrame | None = None) -> DataFrame:
-    """All events as one table. Watched events come first in a run and carry no item;
-    (run_seq, kind_order, ordinal, listing_key) orders the events totally."""
+    """All events as one table, with their time `at` where the changes have it. Watched
+    events come first in a run and carry no item; (run_seq, kind_order, ordinal, listing_key) orders the events totally."""
     order = F.create_map(*[F.lit(x) for pair in KIND_ORDER.items() for x in pair])
     fields = changes.schema["item"].dataType.names if "item" in changes.columns else []
     ordinal = F.col("item.ordinal") if "ordinal" in fields else F.lit(None).cast("bigint")
@@ -74,9 +74,10 @@ def history_events(changes: DataFrame, watched_changes: DataFrame | None = None)
         "*", F.lit(False).alias("is_watched"), order[F.col("kind")].alias("kind_order"), ordinal.alias("ordinal")
     )
     if watched_changes is not None:
+        dated = [c for c in ("at",) if c in watched_changes.columns]
         events = events.unionByName(
             watched_changes.select(
-                "run_seq", "listing_key", "old_total_czk", "new_total_czk",
+                "run_seq", *dated, "listing_key", "old_total_czk", "new_total_czk",
                 F.lit(PRICE_CHANGE).alias("kind"), F.lit(True).alias("is_watched"),
                 F.lit(WATCHED_KIND_ORDER).alias("kind_order"),
             ),
@@ -117,12 +118,12 @@ def with_history_lines(events: DataFrame) -> DataFrame:
 
 def live_or_archived(events: DataFrame, current: DataFrame) -> DataFrame:
     """Each event with the listing as it is now, or as the event recorded it."""
-    names = [f.name for f in events.schema["item"].dataType.fields]
+    fields = events.schema["item"].dataType.fields
     live = current.select(
         "listing_key",
-        F.struct(*[(F.col(c) if c in current.columns else F.lit(None)).alias(c) for c in names])
-        .cast(events.schema["item"].dataType)
-        .alias("_live"),
+        F.struct(
+            *[(F.col(f.name) if f.name in current.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]
+        ).alias("_live"),
     )
     joined = events.join(live, "listing_key", "left")
     return joined.withColumn("is_live", F.col("_live").isNotNull()).withColumn(

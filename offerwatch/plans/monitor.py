@@ -32,14 +32,8 @@ WATCHED_READS = T.StructType(
     + [T.StructField("payload", schemas.WATCHED_PAYLOAD)]
 )
 
-HISTORY = T.StructType(
-    [T.StructField("run_seq", T.LongType()), T.StructField("event_run_seq", T.LongType())]
-    + [f for f in schemas.CHANGES.fields if f.name != "run_seq"]
-    + [T.StructField("kind_order", T.IntegerType()), T.StructField("ordinal", T.LongType())]
-)
-
 WATCHED_CHANGES = schemas.struct(
-    "run_seq bigint, listing_key string, old_total_czk bigint, new_total_czk bigint"
+    "run_seq bigint, listing_key string, old_total_czk bigint, new_total_czk bigint, at timestamp"
 )
 
 RUN_KEY = ["run_id", "run_seq", "listing_key"]
@@ -76,6 +70,13 @@ def listings_from_pages(pages: DataFrame, cfg: C.MonitorConfig = C.DEFAULTS) ->
     )
 
 
+def edit_watchlist(store: Store, edits: DataFrame) -> DataFrame:
+    """Apply a batch of edits (op, arg, ts) to the stored list; returns the ones that cannot be used."""
+    usable, rejects = watch.read_edits(edits)
+    store.write_watchlist(watch.apply_edits(store.watchlist(), usable))
+    return rejects
+
+
 def run(
     store: Store,
     pages: DataFrame,
@@ -86,7 +87,8 @@ def run(
     """Process one landed run and commit it; returns its number.
 
     Each table is written once and later steps read the written one, so a lost
-    executor never means parsing pages again.
+    executor never means parsing pages again. The stored watch list says what is
+    watched: every listing on it has a read in every run, landed or not.
     """
     run_seq = (store.last_run() or 0) + 1
     landed = pages.where(F.col("run_id") == run_id).withColumn("run_seq", F.lit(run_seq).cast("bigint"))
@@ -98,9 +100,13 @@ def run(
     details = main_portal.details(landed, cfg)
     store.write_run("details", details, run_seq)
     details = store.of_run("details", details.schema, run_seq)
-    reads = main_portal.watched_reads(landed, cfg)
+    listed = store.watchlist().select(
+        F.lit(run_id).alias("run_id"), F.lit(run_seq).cast("bigint").alias("run_seq"), "listing_key", "url",
+        F.lit(generated_at).cast("timestamp").alias("fetched_at"),
+    )
+    reads = schemas.conform(watch.reads_of_list(listed, main_portal.watched_reads(landed, cfg)), WATCHED_READS, {})
     store.write_run("watched_reads", reads, run_seq)
-    reads = store.of_run("watched_reads", reads.schema, run_seq)
+    reads = store.of_run("watched_reads", WATCHED_READS, run_seq)
 
     outcomes = details.select("run_id", "outcome").unionByName(reads.select("run_id", "outcome"))
     gate = completeness.run_gate(searched, outcomes).first()
@@ -119,7 +125,8 @@ def run(
     states = watch.carry_step(store.of_run("watched", WATCH_STATE, run_seq - 1), reads)
     store.write_run("watched", states, run_seq)
     two_runs = store.of_runs("watched", WATCH_STATE, run_seq - 1, run_seq)
-    store.write_run("watched_changes", watch.watched_changes(two_runs), run_seq)
+    moved = watch.watched_changes(two_runs).withColumn("at", F.lit(generated_at).cast("timestamp"))
+    store.write_run("watched_changes", moved, run_seq)
     watched_changes = store.of_run("watched_changes", WATCHED_CHANGES, run_seq)
 
     times = store.runs().unionByName(
@@ -130,7 +137,8 @@ def run(
         )
     )
     events = diff.stamp_times(diff.diff_new_runs(recent, run_seq, run_seq), times)
-    changes = schemas.conform(events.withColumn("is_watched", F.lit(False)), schemas.CHANGES, {})
+    dated = events.withColumn("is_watched", F.lit(False)).withColumn("at", F.lit(generated_at))
+    changes = schemas.conform(dated, schemas.CHANGES, {})
     store.write_run("changes", changes, run_seq)
     changes = store.of_run("changes", schemas.CHANGES, run_seq)
     waiting = diff.pending(recent, run_seq)
@@ -163,11 +171,25 @@ def write_marts(store, current, changes, states, watched_changes, reads, run_seq
     store.write_run("mart_watched", watched, run_seq)
     items = marts.watched_then_listed(watched, listed.drop("cost_lines"))
     store.write_run("mart_map", marts.mart_map(items), run_seq)
-    # the capped history of the run before and this run's events hold the newest events there are
-    past = store.of_run("history", HISTORY, run_seq - 1).drop("run_seq").withColumnRenamed("event_run_seq", "run_seq")
-    now = marts.history_events(changes.drop("is_watched"), watched_changes)
-    newest = marts.newest_events(past.unionByName(now, allowMissingColumns=True), cfg.history_cap)
-    store.write_run("history", schemas.conform(newest.withColumnRenamed("run_seq", "event_run_seq"), HISTORY, {}), run_seq)
-    newest = store.of_run("history", HISTORY, run_seq).withColumn("run_seq", F.col("event_run_seq"))
-    shown = marts.live_or_archived(marts.with_history_lines(newest), current)
+    newest = newest_history(store, run_seq, cfg.history_cap).withColumn("event_run_seq", F.col("run_seq"))
+    # only the items of these events, at most the cap, are looked up
+    wanted = items.join(newest.select("listing_key").distinct(), "listing_key", "left_semi")
+    shown = marts.live_or_archived(marts.with_history_lines(newest), marts.preferred_items(wanted))
     store.write_run("mart_history", shown, run_seq)
+
+
+def newest_history(store: Store, run_seq: int, cap: int) -> DataFrame:
+    """The newest events up to a run, out of all that were ever stored.
+
+    A top-k over narrow columns tells how far back they reach; only those runs are
+    then read with their items.
+    """
+
+    def events(first: int, *columns: str) -> DataFrame:
+        changes = store.of_runs("changes", schemas.CHANGES, first, run_seq).drop("is_watched")
+        watched = store.of_runs("watched_changes", WATCHED_CHANGES, first, run_seq)
+        found = marts.history_events(changes, watched)
+        return marts.newest_events(found.select(*columns) if columns else found, cap)
+
+    first = events(1, "run_seq", "kind_order", "ordinal", "listing_key").agg(F.min("run_seq")).first()[0]
+    return events(first or run_seq)

@@ -60,7 +60,7 @@ WATCHED_PAYLOAD = struct(
 
 CHANGES = T.StructType(
     struct(
-        "run_seq bigint, kind string, is_watched boolean, listing_key string, "
+        "run_seq bigint, at timestamp, kind string, is_watched boolean, listing_key string, "
         "old_price_czk bigint, new_price_czk bigint, old_total_czk bigint, new_total_czk bigint, "
         "first_seen timestamp, missing_since timestamp, removed_since timestamp"
     ).fields

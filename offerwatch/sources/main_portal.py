@@ -147,7 +147,7 @@ def watched_reads(pages: DataFrame, cfg: C.MonitorConfig = C.DEFAULTS) -> DataFr
     For a watched listing a transient failure is one more way of being unreadable.
     """
     read = _detail_struct(pages_of(pages, C.MAIN_SOURCE, "watched"))
-    status = F.coalesce(F.concat(F.lit(C.ERROR_STATUS), F.col("status").cast("string")), F.lit("no answer"))
+    status = F.coalesce(F.concat(F.lit(C.ERROR_STATUS), F.col("status").cast("string")), F.lit(C.ERROR_NO_ANSWER))
     no_state = F.format_string(C.ERROR_NO_STATE.replace("{}", "%d"), "status")
     error = (
         F.when(F.col("outcome").isin("gone", "fatal"), status)

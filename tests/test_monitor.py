@@ -55,6 +55,11 @@ def stored(spark):
     spark.createDataFrame(landed, schemas.RUNS).write.parquet(f"{root}/landed")
     store = Store(spark, f"{root}/store")
     pages = spark.read.schema(schemas.RAW_PAGES).parquet(f"{root}/raw_pages")
+    edits = spark.createDataFrame(
+        [("add", "https://main/detail/1", 1), ("add", "https://main/detail/5/", 2), ("add", "https://main/detail", 3)],
+        "op string, arg string, ts int",
+    )
+    assert [r.url for r in monitor.edit_watchlist(store, edits).collect()] == ["https://main/detail"]
     refused = []
     for _ in range(2):  # the second time there is nothing new
         streaming.stream_runs(store, pages, f"{root}/landed", f"{root}/_landed", on_incomplete=refused.append).awaitTermination()
@@ -124,6 +129,39 @@ def test_marts(stored, spark):
     assert ("1", "rent") in layers and ("9", "sale") in layers and ("1", "watched") in layers
 
 
+def test_history_has_times_and_what_is_watched_now(stored, spark):
+    store, _ = stored
+    rows = {(r.event_run_seq, r.listing_key): r for r in spark.read.parquet(f"{store.path('mart_history')}/run_seq=4").collect()}
+    landing = {2: 1, 3: 3, 4: 4}
+    for (run, _key), r in rows.items():
+        assert r["at"].replace(tzinfo=timezone.utc) == at(landing[run])
+    assert rows[(3, "5")].is_live and rows[(3, "5")].item.total_czk is not None     # on the watch list only
+    assert rows[(3, "5")].line.startswith("#5: — → ")
+    assert rows[(2, "1")].is_live and rows[(2, "1")].item.price_czk == 22000          # the watched row hides the listed one
+    assert not rows[(4, "bez-1")].is_live and rows[(4, "bez-1")].item is not None
+
+
+def test_watch_list_drives_the_run(spark):
+    """Read, read, no page, gone: the state survives the run without a page."""
+    root = work_dir(spark, "list-run")
+    pages = []
+    for n, watched in enumerate([[("1", 200, 20000)], [("1", 200, 20000), ("8", 200, 1)], [], [("1", 404, 0)]]):
+        pages += run_pages(n, [(3, 19000)], watched=watched)
+    landed = spark.createDataFrame(pages, schemas.RAW_PAGES)
+    store = Store(spark, root)
+    store.write_watchlist(spark.createDataFrame([("1", "u1"), ("2", "u2")], schemas.WATCHLIST))
+    for n in range(4):
+        monitor.run(store, landed, f"landing-{n}", at(n))
+    states = {(r.run_seq, r.listing_key): r for r in store.committed("watched", monitor.WATCH_STATE).collect()}
+    assert {k for _, k in states} == {"1", "2"} and len(states) == 8       # 8 is not on the list
+    third, fourth = states[(3, "1")], states[(4, "1")]
+    assert third.active and third.payload.rent_czk == 20000 and third.fetch_error == "u1: no answer"
+    assert third.fetch_error_at.replace(tzinfo=timezone.utc) == at(2)
+    assert not fourth.active and fourth.payload.rent_czk == 20000
+    assert fourth.last_active_at.replace(tzinfo=timezone.utc) == at(1)
+    assert all(states[(n, "2")].unavailable and not states[(n, "2")].active for n in (1, 2, 3, 4))
+
+
 def test_batch_and_stream_agree(stored, spark):
     store, _ = stored
     streaming.stream_changes(store, store.path("_c1"), out_table="changes_again", runs_per_batch=1).awaitTermination()
