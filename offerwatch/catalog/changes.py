@@ -200,10 +200,12 @@ def listing_mart(spark, sf_dir):
     key = F.col("listing_key").cast("bigint")
     listings = schemas.conform(
         obs.select(
-            "run_seq", "listing_key", "title", "price_czk", "total_czk", "electricity_estimated",
+            "run_seq", "listing_key", "title", "price_czk", "total_czk", (key % 4 == 0).alias("electricity_estimated"),
             F.when(key % 2 == 0, "pronajem").otherwise("prodej").alias("transaction_type"),
             F.element_at(F.array(*[F.lit(c) for c in C.SOURCE_BADGES]), (key % 3 + 1).cast("int")).alias("source"),
             (key % 5 == 0).alias("fees_missing"),
+            F.when(key % 5 == 1, "text").alias("fees_source"),
+            F.when(key % 2 == 0, key % 11 * 100).alias("electricity_czk"),
             F.when(key % 5 != 0, key % 7 * 100).alias("fees_czk"),
             F.when(key % 4 == 0, key % 9).alias("floor_number"),
             F.when(key % 8 == 0, F.lit(9)).alias("floors_total"),
@@ -212,7 +214,10 @@ def listing_mart(spark, sf_dir):
     )
     mart = marts.mart_listings(listings, diff.diff_runs(obs, with_item=False))
     lines = F.transform(
-        "cost_lines", lambda line: F.concat(line["label"], F.lit("="), F.coalesce(line["amount"].cast("string"), F.lit("-")))
+        "cost_lines",
+        lambda line: F.concat(
+            line["label"], F.lit("="), F.coalesce(line["amount"].cast("string"), F.lit("-")),
+            F.coalesce(F.concat(F.lit(" ("), line["note"], F.lit(")")), F.lit(""))),
     )
     return mart.select(
         "run_seq", "listing_key", "change_note", "is_changed", "shown_total", "type_label", "garage_label",
@@ -237,8 +242,9 @@ SELECT run_seq, listing_key,
        CASE WHEN k % 3 <> 0 THEN 'neuvedeno' WHEN k % 2 = 0 THEN 'Ano' ELSE 'Ne' END AS garage_label,
        CASE WHEN k % 4 = 0 THEN (k % 9) || '/' || CASE WHEN k % 8 = 0 THEN '9' ELSE '?' END ELSE '—' END AS floor_label,
        CASE k % 3 WHEN 0 THEN 'SR' WHEN 1 THEN 'BR' ELSE 'iD' END AS source_badge,
-       CASE WHEN k % 2 = 0 THEN 'Nájem (net)=' || price_czk || ';Poplatky / služby=' || CASE WHEN k % 5 = 0 THEN '-' ELSE CAST(k % 7 * 100 AS VARCHAR) END
-                 || ';Elektřina=-;Celkem (s elektřinou)=' || price_czk
+       CASE WHEN k % 2 = 0 THEN 'Nájem (net)=' || price_czk || ';Poplatky / služby=' || CASE k % 5 WHEN 0 THEN '- ({C.FEES_UNSTATED})' ELSE CAST(k % 7 * 100 AS VARCHAR) || CASE k % 5 WHEN 1 THEN ' ({C.FEES_FROM_TEXT})' ELSE '' END END
+                 || ';Elektřina=' || k % 11 * 100 || CASE WHEN k % 4 = 0 THEN ' ({C.ESTIMATED})' ELSE ' ({C.ELECTRICITY_STATED})' END
+                 || ';Celkem (s elektřinou)=' || price_czk || CASE WHEN k % 5 = 0 THEN ' ({C.FEES_AS_ZERO})' ELSE '' END
             ELSE 'Cena=' || price_czk END AS cost_text
 FROM marked"""
 

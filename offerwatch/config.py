@@ -104,6 +104,8 @@ COST_LABELS = {
 FEES_UNSTATED = "neuvedeno listingem"
 FEES_FROM_TEXT = "z popisu"
 ESTIMATED = "odhad"
+ELECTRICITY_STATED = "Elektřina dle částky uvedené v inzerátu."
+FEES_AS_ZERO = "Poplatky/služby nejsou u tohoto inzerátu uvedeny -- do celkové ceny započteny jako 0 navíc k odhadu elektřiny."
 YES, NO, UNSTATED = "Ano", "Ne", "neuvedeno"
 NOTE_PRICE = "Price changed: "
 NOTE_NEW = "New listing since last check"

@@ -105,8 +105,8 @@ def cost_lines() -> Column:
     rental = F.array(
         _line("rent", F.col("price_czk")),
         _line("fees", F.when(~missing, F.col("fees_czk")), fee_note),
-        _line("electricity", F.col("electricity_czk"), F.when(estimated, C.ESTIMATED)),
-        _line("total", F.col("total_czk")),
+        _line("electricity", F.col("electricity_czk"), F.when(estimated, C.ESTIMATED).otherwise(C.ELECTRICITY_STATED)),
+        _line("total", F.col("total_czk"), F.when(missing, C.FEES_AS_ZERO)),
         one_time,
     )
     sale = F.array(_line("price", F.col("price_czk")), one_time)

@@ -123,15 +123,18 @@ def with_image_urls(df: DataFrame) -> DataFrame:
 def adverts(pages: DataFrame, cfg: C.MonitorConfig = C.DEFAULTS) -> DataFrame:
     """Adverts on listing pages that are wanted, nearby and active, in the listing schema."""
     read = with_nodes(pages_of(pages, C.NODE_SOURCE, "search"), (C.ADVERT_NODE, C.IMAGE_NODE))
+    # variants cannot be sorted: their places in the list are, by path
+    indexed = F.transform("nodes", lambda p, i: F.struct(
+        p["path"].alias("path"), i.alias("i"), F.try_variant_get(p["node"], "$.__typename", "string").alias("type")))
+    in_order = F.array_sort(F.filter(indexed, lambda p: p["type"] == C.ADVERT_NODE))
     read = with_image_urls(read).select(
         "run_id",
         "run_seq",
         "tx",
         "page_no",
         F.col("urls").alias("_urls"),
-        F.posexplode(F.array_sort(F.transform(of_type(F.col("nodes"), C.ADVERT_NODE), lambda p: F.struct(
-            p["path"].alias("path"), F.to_json(p["node"]).alias("node"))))).alias("_pos", "_advert"),
-    ).withColumn("a", F.try_parse_json("_advert.node"))
+        F.posexplode(F.transform(in_order, lambda o: F.get(F.col("nodes"), o["i"])["node"])).alias("_pos", "a"),
+    )
 
     def field(path: str, kind: str) -> Column:
         return F.try_variant_get("a", path, kind)
@@ -144,7 +147,10 @@ def adverts(pages: DataFrame, cfg: C.MonitorConfig = C.DEFAULTS) -> DataFrame:
         F.when(field("$.offerType", "string") == C.RENT_OFFER_TYPE, C.RENT).otherwise(C.SALE).alias("transaction_type"),
         field("$.price", "bigint").alias("price_czk"),
         field("$.surface", "double").alias("floor_area_sqm"),
-        field("$.surface", "string").alias("_surface"),
+        # a whole number with a point keeps it in the title, as it stands in the page
+        F.when(F.schema_of_variant(field("$.surface", "variant")).rlike("^(DECIMAL|DOUBLE|FLOAT)"), field("$.surface", "double").cast("string"))
+        .otherwise(field("$.surface", "string"))
+        .alias("_surface"),
         field("$.gps.lat", "double").alias("lat"),
         field("$.gps.lng", "double").alias("lon"),
         # absent counts as active, an explicit null does not

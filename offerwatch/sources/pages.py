@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from offerwatch import config as C
 
-# Room for a page's rows in an ordinal, and for the pages of a transaction type.
-_ROWS_PER_PAGE = 1_000_000
-_PAGES_PER_TX = 1_000_000
+# Room in an ordinal for any page number (an int) and for more rows than the text of
+# a page can hold; searches are numbered up to 30, so the product stays a bigint.
+_ROWS_PER_PAGE = 2**26
+_PAGES_PER_TX = 2**31
 
 OK, GONE, TRANSIENT, UNREADABLE, FATAL = "ok", "gone", "transient", "unreadable", "fatal"
 
@@ -59,9 +60,9 @@ def pages_of(pages: DataFrame, source: str, kind: str) -> DataFrame:
 
 
 def in_region(pages: DataFrame, region: str) -> DataFrame:
-    """Drop search pages asked for another region; a URL that names none is kept."""
+    """Drop search pages asked for another region; a URL that names none, or none that can be decoded, is kept."""
     asked = F.try_url_decode(F.regexp_extract(F.coalesce("url", F.lit("")), r"[?&]region=([^&#]*)", 1))
-    return pages.where((F.col("kind") != "search") | asked.isin("", region))
+    return pages.where((F.col("kind") != "search") | F.coalesce(asked.isin("", region), F.lit(True)))
 
 
 def result_ordinal(source: str, tx: Column, page_no: Column, position: Column) -> Column:

@@ -4,7 +4,7 @@ from offerwatch.functions import html
 from offerwatch.operators import completeness, enrich
 from offerwatch.plans import monitor
 from offerwatch.sources import card_portal, main_portal, node_portal
-from offerwatch.sources.pages import embedded_state, fetch_outcome, query_data
+from offerwatch.sources.pages import embedded_state, fetch_outcome, in_region, query_data, result_ordinal
 from pyspark.sql import functions as F
 
 import pages as P
@@ -107,12 +107,14 @@ def test_nested_adverts(spark):
     state = {"props": {"apollo": {
         "Advert:1": P.advert(1, inner={"deep": [{"x": [P.advert(2, surface=33.5, mainImage=None)]}]}),
         "a": [P.advert(3, disposition="DISP_3_KK"), P.advert(4, gps={"lat": 50.2, "lng": 14.5}), P.advert(5, gps=None),
-              P.advert(6, active=None), absent, P.advert(8, archived=True), P.advert(9, offerType="PRODEJ", price=8790000, surface=53, uri=None)],
+              P.advert(6, active=None), absent, P.advert(8, archived=True), P.advert(9, offerType="PRODEJ", price=8790000, surface=53, uri=None),
+              P.advert(10, surface=54.0)],
         "text": '{"__typename":"Advert","id":99}',
         "Image:1": P.image(1, thumb="t1", main="m1"), "Image:7": P.image("7", main="m7"),
     }}}
     got = by_key(node_portal.adverts(frame(spark, P.node_page(state))))
-    assert set(got) == {"bez-1", "bez-2", "bez-7", "bez-9"}
+    assert set(got) == {"bez-1", "bez-2", "bez-7", "bez-9", "bez-10"}
+    assert got["bez-10"].title == "Pronájem bytu 2+kk 54.0 m²" and got["bez-10"].floor_area_sqm == 54
     assert (got["bez-1"].total_czk, got["bez-1"].price_czk_per_sqm, got["bez-1"].electricity_estimated) == (20400, 618, True)
     assert got["bez-1"].title == "Pronájem bytu 2+kk 33 m²" and got["bez-2"].title == "Pronájem bytu 2+kk 33.5 m²"
     assert (got["bez-1"].thumb, got["bez-1"].images) == ("t1", ["m1"])
@@ -226,3 +228,15 @@ def test_results_are_placed_by_source_type_and_page(spark):
     assert [r.listing_key for r in got] == ["2", "1", "bez-1", "idnes-aa"]
     assert got[-1].price_czk == 1000                              # sales are searched first there, so rent came last
     assert [r.source for r in got] == list(C.SOURCE_ORDER)[:1] * 2 + list(C.SOURCE_ORDER)[1:]
+
+
+def test_region_that_cannot_be_decoded_is_kept(spark):
+    urls = ["https://m/s?region=Vyso%C4%8Dany", "https://m/s?region=Brno", "https://m/s?region=%ZZ", "https://m/s", None]
+    df = frame(spark, *[P.search([P.result(1)], url=u) for u in urls])
+    assert [r.url for r in in_region(df, "Vysočany").select("url").collect()] == [urls[0], urls[2], urls[3], urls[4]]
+
+
+def test_ordinals_of_long_searches_keep_apart(spark):
+    df = spark.createDataFrame([("pronajem", 2_000_000, 0), ("pronajem", 1, 3_000_000), ("prodej", 1, 0)], "tx string, page int, pos int")
+    got = df.select(result_ordinal(C.MAIN_SOURCE, F.col("tx"), F.col("page"), F.col("pos")).alias("o")).collect()
+    assert got[1].o < got[0].o < got[2].o

@@ -133,8 +133,8 @@ def test_cost_lines(spark):
     rent, fees, power, total = "Nájem (net)", "Poplatky / služby", "Elektřina", "Celkem (s elektřinou)"
     once = "Administrativní poplatek (jednorázově)"
     assert got == [
-        [(rent, 100, None), (fees, None, "neuvedeno listingem"), (power, 1500, "odhad"), (total, 1600, None)],
-        [(rent, 100, None), (fees, 50, "z popisu"), (power, 70, None), (total, 220, None), (once, 900, None)],
+        [(rent, 100, None), (fees, None, "neuvedeno listingem"), (power, 1500, "odhad"), (total, 1600, C.FEES_AS_ZERO)],
+        [(rent, 100, None), (fees, 50, "z popisu"), (power, 70, C.ELECTRICITY_STATED), (total, 220, None), (once, 900, None)],
         [("Cena", 500, None), (once, 3, None)],
     ]
 
