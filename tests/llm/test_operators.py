@@ -290,10 +290,14 @@ def test_fingerprints(docs, rows, empty):
 
 def test_likeness_estimates_the_generalised_jaccard(spark):
     a, b = ["x"] * 6 + ["y"] * 2 + ["z"], ["x"] * 3 + ["y"] * 4 + ["w"]
-    frame = spark.createDataFrame([(0, " ".join(a)), (1, " ".join(b))], "id long, text string")
-    signed = {r["id"]: r["signature"] for r in weighted_sampling.signatures(frame, ["id"], "text", 400).collect()}
+    pairs = 25  # each with words of its own, so that its draws are independent of the others'
+    rows = [(2 * i + side, " ".join(f"{w}{i}" for w in text)) for i in range(pairs) for side, text in enumerate((a, b))]
+    frame = spark.createDataFrame(rows, "id long, text string")
+    signed = {r["id"]: r["signature"] for r in weighted_sampling.signatures(frame, ["id"], "text").collect()}
     wanted = (3 + 2) / (6 + 4 + 1 + 1)
-    assert abs(np.mean(np.array(signed[0]) == np.array(signed[1])) - wanted) < 0.1
+    assert all(len(s) == weighted_sampling.SAMPLES for s in signed.values()) and len(signed) == 2 * pairs
+    same = [np.array(signed[2 * i]) == np.array(signed[2 * i + 1]) for i in range(pairs)]
+    assert abs(np.mean(same) - wanted) < 0.1
 
 
 def test_classifier_on_rows_it_has_not_seen(spark, empty):
