@@ -13,9 +13,10 @@ through backward search, which gives for each end of a window the longest
 stretch before it that stands twice; stretches of a window or more are reported.
 
 An anchor with very many different segments around it (a line that a large
-part of all documents has, each time between other words) is dealt by single
-windows instead, by anchor and a few words of the window. Equal windows still
-meet, and no anchor has to fit in one task.
+part of all documents has, each time between other words) is not indexed: its
+segments are cut into single windows, and equal ones are counted by digest.
+Counts are folded before the shuffle and joined back to the segments, so
+neither an anchor nor a window has to fit in one task.
 """
 
 from __future__ import annotations
@@ -114,23 +115,37 @@ def _outline(batch, window: int, gram: int):
 
 def _cut(batch, window: int):
     """The words of the segments that are to be indexed, as hashes."""
-    out = {c: [] for c in ("key", "anchor", "digest", "n", "base", "words")}
+    out = {c: [] for c in ("anchor", "digest", "n", "words")}
     for text, reps in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
         h = hashed(split(text))
         for s in reps:
-            start, windows = s["start"], s["windows"]
-            pieces = [(0, windows)] if not s["hot"] else [(i, 1) for i in range(windows)]
-            for base, count in pieces:
-                words = h[start + base : start + base + count + window - 1]
-                key = s["anchor"]
-                if s["hot"]:
-                    key = xxhash.xxh3_64_intdigest(words[[0, window // 2, -1]].tobytes(), key & (2**64 - 1)) - (1 << 63)
-                for c, v in zip(out, (key, s["anchor"], s["digest"], s["n"], base, words.tobytes()), strict=True):
-                    out[c].append(v)
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+            words = h[s["start"] : s["start"] + s["windows"] + window - 1]
+            for c, v in zip(out, (s["anchor"], s["digest"], s["n"], words.tobytes()), strict=True):
+                out[c].append(v)
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], list(out))
 
 
+def _windows(batch, window: int):
+    """The single windows of hot segments, by digest, with their place in the segment."""
+    out = {c: [] for c in ("anchor", "digest", "n", "base", "window")}
+    for text, reps in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        h = hashed(split(text))
+        for s in reps:
+            for i in range(s["windows"]):
+                words = h[s["start"] + i : s["start"] + i + window]
+                for c, v in zip(out, (s["anchor"], s["digest"], s["n"], i, xxhash.xxh3_64_intdigest(words.tobytes()) - (1 << 63)), strict=True):
+                    out[c].append(v)
+    yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out.values()], list(out))
+
+
+def counted(windows: DataFrame) -> DataFrame:
+    """anchor, digest, mask of the segments of `windows` (anchor, digest, n, base, window): the windows that stand twice or more."""
+    twice = windows.groupBy("anchor", "window").agg(F.sum("n").alias("_n")).where("_n > 1").select("anchor", "window")
+    found = windows.join(save(twice, "twice"), ["anchor", "window"])
+    return found.select("anchor", "digest", F.expr("shiftleft(1L, cast(base AS int))").alias("mask"))
+
+
 def repeated(passages: list[np.ndarray], weights: np.ndarray, window: int) -> np.ndarray:
     """For each passage, a bit for each of its windows that stands twice or more, passages weighed."""
     lengths = np.array([len(p) for p in passages])
@@ -158,11 +173,10 @@ def repeated(passages: list[np.ndarray], weights: np.ndarray, window: int) -> np
 
 
 def _search(batches, window: int):
-    for table in grouped(batches, ["key"], SHARD):
+    for table in grouped(batches, ["anchor"], SHARD):
         words = table.column("words").to_pylist()
         passages = [np.frombuffer(w, np.uint64) for w in words]
         masks = repeated(passages, table.column("n").to_numpy(), window)
-        masks = masks << table.column("base").to_numpy().astype(np.uint64)
         found = np.flatnonzero(masks)
         yield pa.RecordBatch.from_arrays(
             [pa.array(table.column("anchor").to_numpy()[found]), pa.array(table.column("digest").to_numpy()[found]), pa.array(masks[found].view(np.int64))],
@@ -227,16 +241,18 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
     )
     folded = save(folded, "folded")
     many = folded.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("anchor", F.lit(True).alias("hot"))
-    marked = folded.join(save(many, "hot"), "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    chosen = marked.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "digest", "n", "start", "windows", "hot")).alias("reps"))
-    keys = known.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("_n")).join(chosen, ["k1", "k2"], "left").drop("_n")
+    many = save(many, "hot")
+    marked = folded.join(many, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    reps = marked.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "digest", "n", "start", "windows", "hot")).alias("reps"))
+    keys = known.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("_n")).join(reps, ["k1", "k2"], "left").drop("_n")
     texts = save(docs.select("id", "k1", "k2", "text").join(keys, ["k1", "k2"]), "candidates")
-    cut = arrow_map(
-        texts.where("reps is not null").select("text", "reps"),
-        lambda b: _cut(b, window), "key bigint, anchor bigint, digest bigint, n bigint, base int, words binary",
-    )
-    dealt = cut.repartition("key").sortWithinPartitions("key", "digest", "base")
+    chosen = lambda of: texts.select("text", F.filter("reps", of).alias("reps")).where("size(reps) > 0")
+    cut = arrow_map(chosen(lambda s: ~s["hot"]), lambda b: _cut(b, window), "anchor bigint, digest bigint, n bigint, words binary")
+    dealt = cut.repartition("anchor").sortWithinPartitions("anchor", "digest")
     masks = stream_map(dealt, lambda b: _search(b, window), "anchor bigint, digest bigint, mask bigint")
+    if not many.isEmpty():
+        single = arrow_map(chosen(lambda s: s["hot"]), lambda b: _windows(b, window), "anchor bigint, digest bigint, n bigint, base bigint, window bigint")
+        masks = masks.unionByName(counted(save(single, "windows")))
     masks = save(masks.groupBy("anchor", "digest").agg(F.bit_or("mask").alias("mask")), "masks")
     hits = known.join(masks, ["anchor", "digest"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "mask")).alias("hits"))
     return outline, texts.drop("reps"), hits

@@ -203,6 +203,22 @@ def test_repeated_windows_go(docs, rows, empty, hot):
         assert substring_dedup.deduplicate(empty, "doc_id", "text").count() == 0
 
 
+def test_a_hot_passage_is_folded_before_it_is_dealt(spark, monkeypatch):
+    rng = random.Random(11)
+    prose = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage, hot = prose(50), 16
+    rows = [(i, " ".join([*prose(30), *passage, *prose(30)])) for i in range(60)]
+    frame = spark.createDataFrame([*rows, (60, " ".join(prose(90)))], "doc_id long, text string").repartition(4)
+    dealt, real = [], substring_dedup.stream_map
+    monkeypatch.setattr(substring_dedup, "stream_map", lambda df, *rest: dealt.append(df.select("anchor")) or real(df, *rest))
+    got = {r["doc_id"]: r for r in substring_dedup.deduplicate(frame, "doc_id", "text", hot=hot).collect()}
+    for id_, text in rows:
+        words = text.split()
+        assert (got[id_]["n_removed"], got[id_]["kept_sha256"]) == (50, sha(" ".join([*words[:30], *words[80:]])))
+    assert got[60]["n_removed"] == 0
+    assert all((df.groupBy("anchor").count().agg(F.max("count")).first()[0] or 0) <= hot for df in dealt) and dealt
+
+
 def test_matching_statistics():
     rng = np.random.default_rng(0)
     for _ in range(40):
