@@ -7,8 +7,10 @@ compared with each other, since neighbours of a neighbour are likely
 neighbours, until a round brings no more links. An audit compares a sample of
 vectors with all others; while its recall is too low, lists and planes are
 doubled. What the links at the threshold connect is a component. A vector whose
-whole list is links may have more than its list holds: within a component all
-pairs are compared, in blocks, so that its list is as long as it needs to be.
+whole list is links may have more than its list holds. Within a component all
+pairs are compared, in blocks, so its list need not hold these: it is emptied
+and filled with the best neighbours outside the component, which links among
+them make larger, until no list is full of links.
 
 Vectors of one label and one value are one node that counts as many times.
 """
@@ -76,22 +78,22 @@ def _numbered(batches):
 
 def _sides(batch, first: int, sets: int):
     """For each set of planes, the side a vector is on: more planes where more vectors share its space."""
-    out = {c: [] for c in ("bucket", "node", "vector")}
+    out = {c: [] for c in ("bucket", "node", "root", "vector")}
     vectors = batch.column(3).to_pylist()
-    sizes, spaces, nodes = (batch.column(i).to_pylist() for i in (2, 1, 0))
-    for node, space, size, vector in zip(nodes, spaces, sizes, vectors, strict=True):
+    sizes, spaces, nodes, roots = (batch.column(i).to_pylist() for i in (2, 1, 0, 4))
+    for node, space, size, vector, root in zip(nodes, spaces, sizes, vectors, roots, strict=True):
         own = np.frombuffer(vector, np.float64)
         count = max(0, int(np.ceil(np.log2(max(1, size / CROWD)))))
         for number in range(first, first + sets):
             side = np.packbits(planes(len(own), number, 64)[:count] @ own > 0).tobytes()
             bucket = xxhash.xxh3_64_intdigest(side + space.to_bytes(8, "little", signed=True) + number.to_bytes(4, "little"))
-            for c, v in zip(out, (bucket - (1 << 63), node, vector), strict=True):
+            for c, v in zip(out, (bucket - (1 << 63), node, root, vector), strict=True):
                 out[c].append(v)
-    yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int64()), pa.array(out["node"], pa.int64()), pa.array(out["vector"], pa.binary())], list(out))
+    yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int64()), pa.array(out["node"], pa.int64()), pa.array(out["root"], pa.int64()), pa.array(out["vector"], pa.binary())], list(out))
 
 
 def _near(batches, most: int):
-    """In each group, the `most` best of the others for each member, where better than the worst it already has."""
+    """In each group, the `most` best members of other roots for each member, where better than the worst it already has."""
     for table in grouped(batches, ["bucket", "block"], 4096):
         bucket, block = (table.column(c).to_numpy() for c in ("bucket", "block"))
         change = np.zeros(len(bucket), bool)
@@ -99,6 +101,7 @@ def _near(batches, most: int):
         bounds = [0, *np.flatnonzero(change).tolist(), len(bucket)]
         nodes = table.column("node").to_numpy()
         floor = table.column("floor").to_numpy()
+        roots = table.column("root").to_numpy()
         vectors = table.column("vector").to_pylist()
         a, b, likeness = [], [], []
         for start, end in zip(bounds, bounds[1:], strict=False):
@@ -106,26 +109,26 @@ def _near(batches, most: int):
                 continue
             _, single = np.unique(nodes[start:end], return_index=True)
             rows = matrix([vectors[start + x] for x in single])
-            own = nodes[start:end][single]
+            own, root = nodes[start:end][single], roots[start:end][single]
             for at in range(0, len(own), BLOCK):
                 cos = rows[at : at + BLOCK] @ rows.T
-                cos[np.arange(len(cos)), np.arange(at, at + len(cos))] = -2
+                cos[root[at : at + BLOCK, None] == root[None]] = -2  # itself, and what it is known to be connected with
                 k = min(most, len(own) - 1)
                 if not k:
                     continue
                 best = np.argpartition(-cos, k - 1, axis=1)[:, :k]
                 value = np.take_along_axis(cos, best, 1)
-                x, y = np.nonzero(value > floor[start:end][single][at : at + BLOCK, None])
+                x, y = np.nonzero(value > np.maximum(floor[start:end][single][at : at + BLOCK, None], -2))
                 a.append(own[at + x]), b.append(own[best[x, y]]), likeness.append(value[x, y])
         join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
         yield pa.RecordBatch.from_arrays([pa.array(join(a, np.int64)), pa.array(join(b, np.int64)), pa.array(join(likeness, np.float64))], ["a", "b", "cos"])
 
 
 def compared(members: DataFrame, most: int) -> DataFrame:
-    """`_near` over members (bucket, node, vector, floor); a crowded bucket is dealt over blocks at random."""
+    """`_near` over members (bucket, node, root, vector, floor); a crowded bucket is dealt over blocks at random."""
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     dealt = members.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("node", "bucket"), F.ceil(F.col("size") / BLOCK)).cast("int"))
-    dealt = dealt.select("bucket", "block", "node", "vector", "floor").repartition("bucket", "block").sortWithinPartitions("bucket", "block", "node")
+    dealt = dealt.select("bucket", "block", "node", "root", "vector", "floor").repartition("bucket", "block").sortWithinPartitions("bucket", "block", "node")
     return stream_map(dealt, lambda b: _near(b, most), "a bigint, b bigint, cos double")
 
 
@@ -136,22 +139,28 @@ def best(pairs: DataFrame, most: int) -> DataFrame:
     return single.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
 
 
-def refined(lists: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
-    """A round: neighbours of each node, either way, compared with each other; lists of the best of old and new."""
+def saturated(lists: DataFrame, threshold: float, most: int) -> DataFrame:
+    """node: those whose lists are full and hold nothing but links."""
+    return lists.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("cos").alias("worst")).where((F.col("n") >= most) & (F.col("worst") >= threshold)).select(F.col("a").alias("node"))
+
+
+def refined(lists: DataFrame, nodes: DataFrame, most: int, near: DataFrame | None = None) -> DataFrame:
+    """A round: neighbours of each node, either way, those in `near` as well, compared with each other; lists of the best of old and new."""
     worst = lists.groupBy("a").agg(F.when(F.count(F.lit(1)) >= most, F.min("cos")).otherwise(F.lit(-2.0)).alias("floor"))
-    around = lists.select(F.col("a").alias("bucket"), F.col("b").alias("node")).unionByName(lists.select(F.col("b").alias("bucket"), F.col("a").alias("node"))).distinct()
-    known = nodes.select("node", "vector").join(worst.withColumnRenamed("a", "node"), "node", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
+    pairs = lists.select("a", "b") if near is None else lists.select("a", "b").unionByName(near)
+    around = pairs.select(F.col("a").alias("bucket"), F.col("b").alias("node")).unionByName(pairs.select(F.col("b").alias("bucket"), F.col("a").alias("node"))).distinct()
+    known = nodes.select("node", "root", "vector").join(worst.withColumnRenamed("a", "node"), "node", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
     return best(lists.unionByName(compared(around.join(known, "node"), most)), most)
 
 
-def graph(nodes: DataFrame, threshold: float, neighbours: int, first: int, sets: int, before: DataFrame | None) -> DataFrame:
-    """Lists (a, b, cos) of the best neighbours, refined until a round brings no new link at the threshold."""
-    members = arrow_map(nodes.select("node", "space", "size", "vector"), lambda b: _sides(b, first, sets), "bucket bigint, node bigint, vector binary")
-    found = compared(members.withColumn("floor", F.lit(-2.0)), neighbours // 2)
+def graph(nodes: DataFrame, threshold: float, neighbours: int, first: int, sets: int, before: DataFrame | None, near: DataFrame | None = None) -> DataFrame:
+    """Lists (a, b, cos) of the best neighbours of other roots, refined until a round brings no new link at the threshold."""
+    members = arrow_map(nodes.select("node", "space", "size", "vector", "root"), lambda b: _sides(b, first, sets), "bucket bigint, node bigint, root bigint, vector binary")
+    found = compared(members.withColumn("floor", F.lit(-2.0)), neighbours // 2 if near is None else neighbours)
     lists = save(best(found if before is None else found.unionByName(before), neighbours), "neighbours")
     links = lists.where(F.col("cos") >= threshold).count()
     for _ in range(ROUNDS):
-        lists = save(refined(lists, nodes, neighbours), "neighbours")
+        lists = save(refined(lists, nodes, neighbours, near), "neighbours")
         now = lists.where(F.col("cos") >= threshold).count()
         if now <= links:
             break
@@ -159,6 +168,26 @@ def graph(nodes: DataFrame, threshold: float, neighbours: int, first: int, sets:
     return lists
 
 
+def connected(nodes: DataFrame, lists: DataFrame, threshold: float, neighbours: int, sets: int) -> DataFrame:
+    """Components of the links: of those in `lists`, and of those that lists full of links had no place for.
+
+    A link that was found is lost only if the lists of both ends are full of
+    better ones. So the nodes of such lists look for neighbours outside their
+    component, as often as that fills lists again; each time components merge.
+    """
+    links, last = lists.where(F.col("cos") >= threshold).select("a", "b"), lists
+    while True:
+        linked = save(components(links, "linked"), "roots")
+        full = save(saturated(last, threshold, neighbours), "full")
+        if full.isEmpty():
+            return linked
+        own = nodes.drop("root", "size").join(full, "node").join(linked, "node")
+        own = save(own.join(own.groupBy("space").agg(F.count(F.lit(1)).alias("size")), "space"), "open")
+        near = links.join(full.withColumnRenamed("node", "a"), "a", "left_semi").join(full.withColumnRenamed("node", "b"), "b", "left_semi")
+        last = graph(own, threshold, neighbours, 0, sets, None, save(near.select("a", "b"), "near"))
+        links = save(links.unionByName(last.where(F.col("cos") >= threshold).select("a", "b")), "links")
+
+
 def audited(nodes: DataFrame, linked: DataFrame, threshold: float, queries: int = AUDIT) -> float:
     """Recall: of the links of at most `queries` nodes, found by comparing them with all, the share of those whose ends are in one component."""
     spark = nodes.sparkSession
@@ -227,11 +256,11 @@ def deduplicate(df: DataFrame, id_col: str, label_col: str, vector_col: str, thr
     classes = rows.where("class is not null").groupBy("class").agg(F.count(F.lit(1)).alias("copies"), F.first("space").alias("space"), F.first("vector").alias("vector"))
     sizes = classes.groupBy("space").agg(F.count(F.lit(1)).alias("size"))
     joined = classes.join(sizes, "space").select("class", "copies", "space", "size", "vector")
-    nodes = save(stream_map(joined, _numbered, "node bigint, class binary, copies bigint, space bigint, size bigint, vector binary"), "nodes")
+    nodes = save(stream_map(joined, _numbered, "node bigint, class binary, copies bigint, space bigint, size bigint, vector binary"), "nodes").withColumn("root", F.col("node"))
     lists, done, sets = None, 0, PLANE_SETS
     for _ in range(DOUBLINGS):
         lists = graph(nodes, threshold, neighbours, done, sets, lists)
-        linked = components(lists.where(F.col("cos") >= threshold).select("a", "b"), "linked")
+        linked = connected(nodes, lists, threshold, neighbours, done + sets)
         if audited(nodes, linked, threshold) >= recall:
             break
         done, sets, neighbours = done + sets, 2 * sets, 2 * neighbours

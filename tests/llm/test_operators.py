@@ -284,6 +284,22 @@ def test_embeddings(spark):
     assert nn_descent.deduplicate(frame.where("false"), "vec_id", "label", "embedding").count() == 0
 
 
+def test_dense_groups_with_links_across(spark):
+    rng = np.random.default_rng(6)
+    centre, aside = np.linalg.qr(rng.normal(size=(64, 2)))[0].T
+    groups = [np.cos(t) * centre + np.sin(t) * aside + rng.normal(0, 0.0055, (40, 64)) for t in (0, 0.19)]
+    unit = np.concatenate(groups)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.98
+    np.fill_diagonal(near, False)
+    best = np.argsort(-(unit @ unit.T - 2 * np.eye(80)), axis=1)[:, :8]
+    assert near[:40, 40:].any() and near.sum(1).min() > 8 and ((best < 40) == (np.arange(80) < 40)[:, None]).all()
+    frame = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(unit)], "vec_id long, label int, embedding array<double>").repartition(4)
+    # the audit would see so many lost links and start anew; without it the search itself has to find them
+    got = nn_descent.deduplicate(frame, "vec_id", "label", "embedding", recall=0.0)
+    assert collected(got, "vec_id", "n_links", "component_id") == Counter((i, int(n), 0) for i, n in enumerate(near.sum(1)))
+
+
 def test_fingerprints(docs, rows, empty):
     got = weighted_sampling.edited_against_next(docs, "doc_id", "text").collect()
     assert len(got) == len(rows)
