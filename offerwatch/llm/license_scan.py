@@ -2,12 +2,14 @@
 
 A notice that may differ by k edits is cut into k + 1 pieces; by the pigeonhole
 principle one of them stands unchanged in every copy with at most k edits. An
-Aho-Corasick automaton finds the pieces, and around each find the regex
-library's bounded-error matching verifies the notice and reports its span.
+Aho-Corasick automaton finds the pieces, and around each find by itself the
+regex library's bounded-error matching verifies the notice and reports its
+span, so that notices side by side are all found.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from dataclasses import dataclass
 
 import ahocorasick
@@ -84,19 +86,26 @@ class Scanner:
             self.automaton.add_word(seed, (len(seed), uses))
         self.automaton.make_automaton()
 
-    def candidates(self, text: str) -> dict[int, list[tuple[int, int]]]:
-        """For each notice the stretches of `text` that can hold it, merged where they touch."""
-        found: dict[int, list[tuple[int, int]]] = {}
+    def candidates(self, text: str) -> dict[int, set[tuple[int, int]]]:
+        """For each notice the stretches of `text` that can hold it, one around each piece found."""
+        found: dict[int, set[tuple[int, int]]] = {}
         for end, (length, uses) in self.automaton.iter(text):
             for number, start in uses:
                 notice = self.fuzzy[number]
                 begin = max(0, end - length + 1 - start - notice.edits)
                 stop = min(len(text), end - length + 1 - start + len(notice.phrase) + notice.edits)
-                spans = found.setdefault(number, [])
-                if spans and begin <= spans[-1][1]:
-                    spans[-1] = (min(begin, spans[-1][0]), max(stop, spans[-1][1]))
-                else:
-                    spans.append((begin, stop))
+                found.setdefault(number, set()).add((begin, stop))
+        return found
+
+    def matches(self, number: int, text: str, begin: int, stop: int) -> list[tuple[int, int, int]]:
+        """Edits, start and end of the best match in a stretch, and of those before and behind it."""
+        notice, found, todo = self.fuzzy[number], [], [(begin, stop)]
+        while todo:
+            begin, stop = todo.pop()
+            match = self.patterns[number].search(text, begin, stop) if stop - begin >= len(notice.phrase) - notice.edits else None
+            if match:
+                found.append((sum(match.fuzzy_counts), match.start(), match.end()))
+                todo += [(begin, match.start()), (match.end(), stop)]
         return found
 
     def scan(self, text: str | None):
@@ -109,15 +118,26 @@ class Scanner:
         fuzzy = set()
         plain = joined.decode("latin-1")
         for number, spans in self.candidates(plain).items():
-            notice, pattern = self.fuzzy[number], self.patterns[number]
-            for begin, stop in spans:
-                for match in pattern.finditer(plain, begin, stop):
-                    likeness = 1 - sum(match.fuzzy_counts) / len(notice.phrase)
-                    first = max(0, plain.count(" ", 0, match.start() + 1) - 1)
-                    fuzzy.add((first, max(1, len(match.group().split())), notice.label, sum(match.fuzzy_counts), round(likeness, 6)))
+            notice = self.fuzzy[number]
+            for edits, start, end in separate(m for begin, stop in spans for m in self.matches(number, plain, begin, stop)):
+                first = max(0, plain.count(" ", 0, start + 1) - 1)
+                fuzzy.add((first, max(1, len(plain[start:end].split())), notice.label, edits, round(1 - edits / len(notice.phrase), 6)))
         return len(found), exact, best_of(exact, fuzzy)
 
 
+def separate(found) -> list[tuple[int, int, int]]:
+    """Matches of one notice without those that share half of their length with one of fewer edits, which are the same place read differently."""
+    starts: list[int] = []
+    kept: dict[int, tuple[int, int, int]] = {}
+    for match in sorted(set(found)):
+        _, start, end = match
+        at = bisect_left(starts, start)
+        if all(2 * (min(end, e) - max(start, s)) < min(end - start, e - s) for _, s, e in (kept[x] for x in starts[max(0, at - 2) : at + 2])):
+            insort(starts, start)
+            kept[start] = match
+    return list(kept.values())
+
+
 def best_of(exact, fuzzy) -> list:
     """Without the finds that overlap an exact place, or a find of fewer edits, with another label."""
     kept = [(f, n, label, 0, 1.0) for f, n, label in exact]

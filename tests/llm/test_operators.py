@@ -186,6 +186,19 @@ def test_license_places(docs, rows, empty):
     assert license_scan.scan(empty, "doc_id", "text").count() == 0
 
 
+def test_adjoining_notices_are_all_found():
+    own = license_scan.Scanner(license_scan.BASE, license_scan.FUZZY)
+    copies = ["licensd undr the apache licence version 2 9", "licensed under the apache license version 2 0", "licensed under the apache license versoin 2 0"]
+    for listed in (copies, copies[::-1], [copies[0]] * 3, [copies[2], copies[0], copies[1]]):
+        finds = [f for f in own.scan(" ".join(listed))[2] if f[2] == "apache-2"]
+        assert [f[0] for f in finds] == [0, 8, 16] and all(f[1] == 8 for f in finds)
+        assert [f[3] for f in finds] == [{copies[0]: 4, copies[1]: 0, copies[2]: 2}[c] for c in listed]
+    labels = [f[2] for f in own.scan("gnu generl public licence version 3 gnu general public license version 2")[2]]
+    assert labels == ["gpl-3", "gpl-2"]
+    single = [f for f in own.scan("so it is " + copies[0] + " and so on")[2]]
+    assert [f[:4] for f in single] == [(3, 8, "apache-2", 4)]
+
+
 @pytest.mark.parametrize("hot", [substring_dedup.HOT, 0])
 def test_repeated_windows_go(docs, rows, empty, hot):
     words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
