@@ -34,19 +34,24 @@ class Network:
     out: np.ndarray  # (2 * filters,)
     offset: np.ndarray  # (1,)
 
-    def blocks(self, data: np.ndarray) -> np.ndarray:
-        """Strongest answer of each filter in each block; `data` is whole blocks and STEP more bytes."""
+    def blocks(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Strongest answer of each filter in each block; `data` is whole blocks and STEP more bytes. Behind a text, whose last place is in `ends`, are zero bytes."""
         groups = self.vectors[data].reshape(-1, STEP * self.vectors.shape[1])
         both = groups @ np.concatenate([self.left, self.right], axis=1)
         filters = self.left.shape[1]
         answers = both[:-1, :filters] + both[1:, filters:]
+        answers[ends] = both[ends, :filters] + np.tile(self.vectors[0], STEP) @ self.right
         return answers.reshape(-1, BLOCK // STEP, filters).max(1)
 
     def pooled(self, texts: list[bytes]) -> np.ndarray:
         """Mean and maximum over the chunks of each text."""
         counts = [max(1, -(-len(t) // BLOCK)) for t in texts]
         data = np.frombuffer(b"".join([t.ljust(n * BLOCK, b"\0") for t, n in zip(texts, counts, strict=True)]) + bytes(STEP), np.uint8)
-        parts = [self.blocks(data[at : min(at + SLICE, len(data) - STEP) + STEP]) for at in range(0, len(data) - STEP, SLICE)]
+        lasts = np.cumsum(counts) * (BLOCK // STEP) - 1
+        parts = []
+        for at in range(0, len(data) - STEP, SLICE):
+            end = min(at + SLICE, len(data) - STEP)
+            parts.append(self.blocks(data[at : end + STEP], lasts[(lasts >= at // STEP) & (lasts < end // STEP)] - at // STEP))
         best = np.maximum(np.concatenate(parts) + self.bias, 0)
         starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
         chunks = best.copy()

@@ -362,6 +362,15 @@ def test_classifier_on_rows_it_has_not_seen(spark, empty):
     assert byte_cnn.train([]).score([b""])[0] == 0.5
 
 
+def test_a_score_does_not_depend_on_the_texts_around():
+    rng = np.random.default_rng(8)
+    net = byte_cnn.train([])
+    net.out[:] = rng.normal(0, 0.3, net.out.shape)
+    texts = [rng.integers(0, 256, byte_cnn.BLOCK * (1 + i % 3)).astype(np.uint8).tobytes() for i in range(40)] + [b"", bytes(byte_cnn.SLICE), b"x" * 300]
+    alone = np.concatenate([net.score([t]) for t in texts])
+    assert np.abs(net.score(texts) - alone).max() < 1e-6 and np.abs(net.score(texts[::-1])[::-1] - alone).max() < 1e-6
+
+
 def test_gradients():
     rng = np.random.default_rng(4)
     net = byte_cnn.train([])
