@@ -16,6 +16,7 @@ from offerwatch.llm import (
     ngram_join,
     nn_descent,
     substring_dedup,
+    token_counts,
     weighted_sampling,
 )
 
@@ -81,6 +82,10 @@ def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.deduplicate(load(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding")
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counts(load(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -94,6 +99,7 @@ QUERIES = {
         op8_bpe_codec,
         op9_ngram_join,
         op10_nn_descent,
+        op12_token_counts,
     )
 }
 
