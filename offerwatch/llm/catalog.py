@@ -15,6 +15,7 @@ from offerwatch.llm import (
     license_scan,
     ngram_join,
     nn_descent,
+    prefix_trie,
     substring_dedup,
     token_counts,
     weighted_sampling,
@@ -86,6 +87,10 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counts(load(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(load(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -100,6 +105,7 @@ QUERIES = {
         op9_ngram_join,
         op10_nn_descent,
         op12_token_counts,
+        op13_prefix_trie,
     )
 }
 
@@ -152,4 +158,44 @@ degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(least.b, vec_id)) AS component_id,
        vec_id <= coalesce(least.b, vec_id) AS kept
 FROM embeddings LEFT JOIN least ON least.a = vec_id LEFT JOIN degree ON degree.a = vec_id""",
+    "op13_prefix_trie": r"""
+WITH RECURSIVE said AS (
+  SELECT conv_id, turn, coalesce(text, '') AS text, left(sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 32) AS digest
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, digest, length(text) AS chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) - 1 AS pos FROM said),
+ids AS (SELECT DISTINCT conv_id FROM own),
+crc(conv_id, rest, steps, value) AS (
+  SELECT conv_id, CAST(conv_id AS VARCHAR), 0, 4294967295::BIGINT FROM ids
+  UNION ALL
+  SELECT conv_id, CASE WHEN steps = 0 THEN rest[2:] ELSE rest END, (steps + 1) % 9,
+         CASE WHEN steps = 0 THEN xor(value, ascii(rest)::BIGINT)
+              WHEN value % 2 = 1 THEN xor(value // 2, 3988292384::BIGINT) ELSE value // 2 END
+  FROM crc WHERE steps > 0 OR rest <> ''),
+h AS (SELECT conv_id, xor(value, 4294967295::BIGINT) % 6 AS h FROM crc WHERE rest = '' AND steps = 0),
+ordered AS (
+  SELECT h.conv_id, 0 AS half, pos, digest, chars FROM h JOIN own ON own.conv_id = h.conv_id - h.conv_id % 100 AND pos < h
+  UNION ALL SELECT h.conv_id, 1, pos, digest, chars FROM h JOIN own ON own.conv_id = h.conv_id AND pos >= h),
+lists AS (SELECT conv_id, list(digest ORDER BY half, pos) AS digests, list(chars ORDER BY half, pos) AS chars FROM ordered GROUP BY conv_id),
+whole AS (SELECT conv_id, coalesce(digests, []) AS digests, coalesce(lists.chars, []) AS chars FROM ids LEFT JOIN lists USING (conv_id)),
+starts AS (
+  SELECT conv_id, d, array_to_string(digests[1 : d], '') AS key, array_to_string(digests[1 : d - 1], '') AS up,
+         CASE WHEN d = 0 THEN 0 ELSE chars[d] END AS chars, d = len(digests) AS here
+  FROM (SELECT *, unnest(range(len(digests) + 1)) AS d FROM whole)),
+node AS (
+  SELECT d, key, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n, any_value(chars) AS chars,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (here), '')) AS ends
+  FROM starts GROUP BY d, key),
+kids AS (SELECT d - 1 AS d, up AS key, count(*) AS n FROM node WHERE d > 0 GROUP BY 1, 2),
+below AS (
+  SELECT DISTINCT a.d, a.key, b.d AS d2, b.key AS key2
+  FROM starts a JOIN starts b ON a.conv_id = b.conv_id AND a.d <= b.d),
+sums AS (
+  SELECT below.d, below.key, count(*) FILTER (kids.n IS NULL) AS leaves, sum((node.n - 1) * node.chars) AS saved
+  FROM below JOIN node ON node.d = d2 AND node.key = key2 LEFT JOIN kids ON kids.d = d2 AND kids.key = key2
+  GROUP BY 1, 2)
+SELECT node.conv_id, node.d AS depth, top.conv_id AS parent_conv_id, node.n AS n_convs, coalesce(kids.n, 0) AS n_children,
+       leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, node.ends AS ends_sha256
+FROM node JOIN sums ON sums.d = node.d AND sums.key = node.key
+LEFT JOIN kids ON kids.d = node.d AND kids.key = node.key
+LEFT JOIN node top ON top.d = node.d - 1 AND top.key = node.up AND node.d > 0""",
 }
