@@ -17,6 +17,7 @@ from offerwatch.llm import (
     nn_descent,
     prefix_trie,
     substring_dedup,
+    token_alignment,
     token_counts,
     weighted_sampling,
 )
@@ -83,6 +84,11 @@ def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.deduplicate(load(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = load(spark, sf_dir, "documents"), public_tokenizers.path
+    return token_alignment.align(docs, "doc_id", "text", path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counts(load(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -104,6 +110,7 @@ QUERIES = {
         op8_bpe_codec,
         op9_ngram_join,
         op10_nn_descent,
+        op11_token_alignment,
         op12_token_counts,
         op13_prefix_trie,
     )
