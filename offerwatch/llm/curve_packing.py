@@ -38,7 +38,8 @@ class Words(dict):
     The tokenizer drops white space and looks at each such stretch by itself.
     Stretches of Latin letters and ASCII are split here as its pattern does, so
     that its model, asked for a single word, need not make its offsets; all
-    others go through the whole tokenizer.
+    others go through the whole tokenizer, and so do those with an added token in
+    them, which the tokenizer finds before all else.
     """
 
     PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
@@ -47,7 +48,10 @@ class Words(dict):
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(any(c.isspace() for c in token) for token in added):
+            raise ValueError("an added token reaches over white space, so stretches cannot be encoded by themselves")
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         self.parts: dict[str, bytes] = {}
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = iter(range(256, 512))
@@ -68,7 +72,7 @@ class Words(dict):
         return found
 
     def __missing__(self, stretch: str) -> bytes:
-        if self.PLAIN.fullmatch(stretch):
+        if self.PLAIN.fullmatch(stretch) and not self.added.search(stretch):
             small = stretch.lower()
             found = self.part(small) if small.isalpha() else b"".join([self.part(p) for p in self.PARTS.findall(small)])
         else:

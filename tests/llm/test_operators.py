@@ -90,7 +90,7 @@ def test_bpe_equals_the_library(docs, rows, empty):
 
 def test_packing_places_every_token_once(docs, rows, empty):
     own = Tokenizer.from_file(WORDS)
-    own.encode_special_tokens = True
+    assert any(t and "<|endoftext|>" in t for _, t in rows)  # an added token in a text gets its own id
     ids = {(i, t): own.encode(t or "", add_special_tokens=False).ids + [2] for i, t in rows}
     pieces = curve_packing.pack(docs, "doc_id", "text", WORDS, length=512).collect()
     by_place = sorted(pieces, key=lambda p: (p["sequence_id"], p["offset"]))
@@ -110,6 +110,14 @@ def test_packing_places_every_token_once(docs, rows, empty):
     assert curve_packing.pack(empty, "doc_id", "text", WORDS).count() == 0
 
 
+def test_stretches_have_the_ids_of_whole_texts():
+    own, words, rng = Tokenizer.from_file(WORDS), curve_packing.Words(WORDS), random.Random(8)
+    bits = ["a", "B's", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", " ", "\n", "\t", "é", "漢", "12", "!?", "\u00a0", "'ll"]
+    for _ in range(1500):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))
+        assert words.ids(text).tolist() == own.encode(text, add_special_tokens=False).ids, text
+
+
 def test_hilbert_curve_steps_to_neighbours():
     points = np.stack(np.meshgrid(*[np.arange(8)] * 3), -1).reshape(-1, 3)
     keys = curve_packing.hilbert_keys(points, 3)
