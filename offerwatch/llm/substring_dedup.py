@@ -38,6 +38,8 @@ WINDOW = 35
 GRAM = 8  # a mask of WINDOW - GRAM + 1 windows has to fit in 64 bits
 #: Different segments of one anchor above which it is dealt by windows.
 HOT = 4096
+#: A segment that is more than one in so many of all is looked up in its place instead of joined.
+SHARE = 10_000
 #: Segments that make a shard; the last key is taken whole.
 SHARD = 16384
 
@@ -221,41 +223,80 @@ def _kept(batch, window: int):
     yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests)], ["id", "n_words", "n_removed", "kept_sha256"])
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame]:
+def digest_in(digests: list[int]) -> Column:
+    return F.expr(f"digest IN ({', '.join(f'bigint({d})' for d in digests)})")
+
+
+def heavy_masks(folded: DataFrame, masks: DataFrame, share: int) -> dict[tuple[int, int], int]:
+    """Masks of the segments that are more than one in `share` of all; by that there are fewer than `share` of them."""
+    total = folded.agg(F.sum("n")).first()[0] or 0
+    heavy = [r["digest"] for r in folded.where(F.col("n") * share > total).select("digest").distinct().collect()]
+    if not heavy:
+        return {}
+    return {(r["anchor"], r["digest"]): r["mask"] for r in masks.where(digest_in(heavy)).collect()}
+
+
+def placed(known: DataFrame, masks: DataFrame, heavy: dict[tuple[int, int], int]) -> DataFrame:
+    """k1, k2, start, mask of the segments with windows that repeat. A heavy segment stands in a large part of all
+    documents; its mask is looked up where the segment is, and only the others are joined."""
+    light = known.select("k1", "k2", "anchor", "digest", "start")
+    if not heavy:
+        return light.join(masks, ["anchor", "digest"]).select("k1", "k2", "start", "mask")
+    is_heavy = digest_in(sorted({digest for _, digest in heavy}))
+
+    def looked_up(batch):
+        keys = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+        mask = pa.array([heavy.get(key) for key in keys], pa.int64())
+        rows = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), mask], ["k1", "k2", "start", "mask"])
+        yield rows.filter(mask.is_valid())
+
+    direct = arrow_map(light.where(is_heavy), looked_up, "k1 bigint, k2 bigint, start int, mask bigint")
+    return direct.unionByName(light.where(~is_heavy).join(masks, ["anchor", "digest"]).select("k1", "k2", "start", "mask"))
+
+
+def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, share: int = SHARE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """For `docs` (id, k1, k2, text): outline of each row; the rows with an anchor that stands elsewhere; and
-    for each key the windows that repeat, as lists of (start, mask of the windows from there)."""
-    spark = docs.sparkSession
+    for each key the windows that repeat, as lists of (start, mask of the windows from there).
+
+    Rows with one key have one text. The segments of one of them stand for all, counted as often as the key comes.
+    """
     name = docs.schema["id"].dataType.simpleString()
-    # A row that comes twice can put its segments into a shard twice; they count twice anyway.
     parts = "array<struct<anchor:bigint,digest:bigint,start:int,windows:int,place:int>>"
-    all_ = save(arrow_map(docs.select("id", "k1", "k2", "text"), lambda b: _outline(b, window, gram), f"id {name}, k1 bigint, k2 bigint, n_words bigint, digest string, segments {parts}"), "outline")
+    all_ = arrow_map(docs.select("id", "k1", "k2", "text"), lambda b: _outline(b, window, gram), f"id {name}, k1 bigint, k2 bigint, n_words bigint, digest string, segments {parts}")
+    all_ = save(all_.withColumn("row", F.monotonically_increasing_id()), "outline")
     first = saved()[-1:]
-    each = all_.select("k1", "k2", F.inline("segments"))
     # Small sides are written down before they are joined: a join on top of their aggregate could not split a hot key.
-    shared = save(each.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
+    copies = save(all_.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.min("row").alias("first")).where("copies > 1"), "copies")
+    single = all_.join(copies, ["k1", "k2"], "left").where("first IS NULL OR first = row")
+    each = single.select("k1", "k2", F.coalesce("copies", F.lit(1)).cast("bigint").alias("copies"), F.inline("segments"))
+    shared = save(each.groupBy("anchor").agg(F.sum("copies").alias("n")).where("n > 1").select("anchor"), "anchors")
     known = save(each.join(shared, "anchor", "left_semi"), "segments")
-    outline = save(all_.drop("segments"), "texts")
-    drop_saved(spark, first)
+    outline = save(all_.drop("segments", "row"), "texts")
+    drop_saved(docs.sparkSession, first)
     folded = known.groupBy("anchor", "digest").agg(
-        F.count(F.lit(1)).alias("n"), F.min("k2").alias("k2"), F.min_by("k1", "k2").alias("k1"), F.min_by("start", "k2").alias("start"), F.min("windows").alias("windows")
+        F.sum("copies").alias("n"), F.min("k2").alias("k2"), F.min_by("k1", "k2").alias("k1"), F.min_by("start", "k2").alias("start"), F.min("windows").alias("windows")
     )
     folded = save(folded, "folded")
     many = folded.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("anchor", F.lit(True).alias("hot"))
     many = save(many, "hot")
     marked = folded.join(many, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     reps = marked.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "digest", "n", "start", "windows", "hot")).alias("reps"))
-    keys = known.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("_n")).join(reps, ["k1", "k2"], "left").drop("_n")
-    texts = save(docs.select("id", "k1", "k2", "text").join(keys, ["k1", "k2"]), "candidates")
-    chosen = lambda of: texts.select("text", F.filter("reps", of).alias("reps")).where("size(reps) > 0")
+    keys = known.groupBy("k1", "k2").agg(F.max("copies").alias("copies")).join(reps, ["k1", "k2"], "left")
+    texts = docs.select("id", "k1", "k2", "text").join(keys, ["k1", "k2"]).withColumn("row", F.monotonically_increasing_id())
+    texts = save(texts, "candidates")
+    # Of rows with one key, one is cut.
+    cut_once = texts.where("copies > 1 AND size(reps) > 0").groupBy("k1", "k2").agg(F.min("row").alias("row")).select("row")
+    once = texts.where("copies = 1").unionByName(texts.where("copies > 1").join(save(cut_once, "cut-once"), "row", "left_semi").select(*texts.columns))
+    chosen = lambda of: once.select("text", F.filter("reps", of).alias("reps")).where("size(reps) > 0")
     cut = arrow_map(chosen(lambda s: ~s["hot"]), lambda b: _cut(b, window), "anchor bigint, digest bigint, n bigint, words binary")
     dealt = cut.repartition("anchor").sortWithinPartitions("anchor", "digest")
     masks = stream_map(dealt, lambda b: _search(b, window), "anchor bigint, digest bigint, mask bigint")
     if not many.isEmpty():
-        single = arrow_map(chosen(lambda s: s["hot"]), lambda b: _windows(b, window), "anchor bigint, digest bigint, n bigint, base bigint, window bigint")
-        masks = masks.unionByName(counted(save(single, "windows")))
+        cut_up = arrow_map(chosen(lambda s: s["hot"]), lambda b: _windows(b, window), "anchor bigint, digest bigint, n bigint, base bigint, window bigint")
+        masks = masks.unionByName(counted(save(cut_up, "windows")))
     masks = save(masks.groupBy("anchor", "digest").agg(F.bit_or("mask").alias("mask")), "masks")
-    hits = known.join(masks, ["anchor", "digest"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "mask")).alias("hits"))
-    return outline, texts.drop("reps"), hits
+    hits = placed(known, masks, heavy_masks(folded, masks, share)).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "mask")).alias("hits"))
+    return outline, texts.select("id", "k1", "k2", "text"), hits
 
 
 def key_of(df: DataFrame, id_col: str, text_col: str) -> list[Column]:
@@ -269,16 +310,18 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), *key_of(df, id_col, text_col), F.col(text_col).alias("text"))
 
 
-def deduplicate(df: DataFrame, id_col: str, text_col: str, window: int = WINDOW, hot: int = HOT) -> DataFrame:
+def deduplicate(df: DataFrame, id_col: str, text_col: str, window: int = WINDOW, hot: int = HOT, share: int = SHARE) -> DataFrame:
     """Every text without the words of windows that stand anywhere else.
 
     id_col, n_words, n_removed, kept_sha256 (of the kept words joined by
-    spaces). One row per row of `df`. Null and empty texts have no words; texts
-    shorter than a window lose nothing; all of a text that another row repeats
-    goes, in both. Other columns are not read.
+    spaces). One row per row of `df`, with a null id too. Null and empty texts
+    have no words; texts shorter than a window lose nothing; all of a text that
+    another row repeats goes, in both. Rows equal in id and text cost one row's
+    segments, however many they are. An empty table gives none. Other columns
+    are not read.
     """
     docs = keyed(df, id_col, text_col)
-    outline, texts, hits = repeats(docs, window, hot=hot)
+    outline, texts, hits = repeats(docs, window, hot=hot, share=share)
     schema = f"id {docs.schema['id'].dataType.simpleString()}, n_words bigint, n_removed bigint, kept_sha256 string"
     done = arrow_map(texts.join(hits, ["k1", "k2"], "left").select("id", "text", "hits"), lambda b: _kept(b, window), schema)
     rest = outline.join(texts.select("k1", "k2"), ["k1", "k2"], "left_anti").select(

@@ -219,23 +219,37 @@ def test_adjoining_notices_are_all_found():
     assert [f[:4] for f in single] == [(3, 8, "apache-2", 4)]
 
 
-@pytest.mark.parametrize("hot", [substring_dedup.HOT, 0])
-def test_repeated_windows_go(docs, rows, empty, hot):
+@pytest.mark.parametrize(("hot", "share"), [(substring_dedup.HOT, substring_dedup.SHARE), (0, 1), (substring_dedup.HOT, 20)])
+def test_repeated_windows_go(docs, rows, empty, hot, share):
     words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
     often = Counter(tuple(w[i : i + 35]) for w in words for i in range(len(w) - 34))
     wanted = Counter()
     for (id_, _), w in zip(rows, words, strict=True):
         gone = {j for i in range(len(w) - 34) if often[tuple(w[i : i + 35])] > 1 for j in range(i, i + 35)}
         wanted[id_, len(w), len(gone), sha(" ".join(x for i, x in enumerate(w) if i not in gone))] += 1
-    got = substring_dedup.deduplicate(docs, "doc_id", "text", hot=hot)
+    got = substring_dedup.deduplicate(docs, "doc_id", "text", hot=hot, share=share)
     assert collected(got, "doc_id", "n_words", "n_removed", "kept_sha256") == wanted
     assert sum(k[2] * v for k, v in wanted.items()) > 600
-    if hot:
+    if hot and share == substring_dedup.SHARE:
         rewritten = substring_dedup.rewrite(docs, "doc_id", "text")
         assert rewritten.columns == docs.columns and rewritten.count() == len(rows)
         assert substring_dedup.deduplicate(empty, "doc_id", "text").count() == 0
 
 
+@pytest.mark.parametrize("id_", [7, None])
+def test_work_grows_with_repeated_rows_and_not_with_their_square(spark, id_):
+    text, other = " ".join(f"w{i}" for i in range(200)), " ".join(f"v{i}" for i in range(60))
+    lengths = []
+    for m in (10, 1000):
+        frame = spark.createDataFrame([(id_, text)] * m + [(1, f"{other} {text}"), (2, other), (3, "x " + other)], "doc_id long, text string").repartition(4)
+        outline, texts, hits = substring_dedup.repeats(substring_dedup.keyed(frame, "doc_id", "text"))
+        assert outline.count() == m + 3 and texts.count() == m + 3
+        lengths.append(hits.select(F.sum(F.size("hits"))).first()[0])
+    assert lengths[0] == lengths[1]  # a key's windows are listed once, however often the key comes
+    got = substring_dedup.deduplicate(frame, "doc_id", "text")
+    assert collected(got, "doc_id", "n_words", "n_removed") == Counter({(id_, 200, 200): 1000, (1, 260, 260): 1, (2, 60, 60): 1, (3, 61, 60): 1})
+
+
 def test_a_hot_passage_is_folded_before_it_is_dealt(spark, monkeypatch):
     rng = random.Random(11)
     prose = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
