@@ -88,6 +88,17 @@ def stream_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Ite
     return df.mapInArrow(function, schema)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, made longer where `df` has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared working folder and read it back, which cuts its lineage."""
     spark = df.sparkSession

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from offerwatch.llm.common import fresh
+
 ROUNDS = 12
 
 # What is looked for, in this order. All but email and secret are numbers or dates.
@@ -217,33 +219,43 @@ def pseudonym(find: Column, kind_: Column, key: str, back: bool = False) -> Colu
     return out
 
 
-def rewritten(df: DataFrame, text_col: str, key: str) -> DataFrame:
-    """`df` with pseudonyms in `text_col`, and a column _kinds with the finds and the kinds of those that passed."""
+def rewritten(df: DataFrame, text_col: str, key: str, kinds: str | None = None) -> DataFrame:
+    """`df` with pseudonyms in `text_col`, and where `kinds` names one, a column with the finds and the kinds of those that passed.
+
+    Null texts stay null and texts without finds as they are; every row gives
+    one row, repeated or not, an empty table none; all columns of `df` stay,
+    whatever their names.
+    """
+    pieces, finds, known = fresh(df, "_pieces", "_finds", "_known")
     text = F.col(text_col)
     has = F.coalesce(text.rlike(r"[0-9@]"), F.lit(False))
     cut = df.select(
         "*",
-        F.when(has, F.split(text, TOKEN, -1)).alias("_pieces"),
-        F.when(has, F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))).alias("_finds"),
+        F.when(has, F.split(text, TOKEN, -1)).alias(pieces),
+        F.when(has, F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))).alias(finds),
     )
-    known = cut.withColumn("_kinds", F.transform("_finds", lambda f: F.struct(f.alias("find"), kind(f).alias("kind"))))
-    names = F.transform("_kinds", lambda k: F.when(k["kind"].isNull(), k["find"]).otherwise(pseudonym(k["find"], k["kind"], key)))
-    rest = F.slice("_pieces", 2, F.greatest(F.size("_finds"), F.lit(1)))
-    joined = F.concat(F.element_at("_pieces", 1), F.array_join(F.zip_with(names, rest, lambda a, b: F.concat(a, b)), ""))
-    return known.withColumn(text_col, F.when(F.size("_finds") > 0, joined).otherwise(text)).drop("_pieces", "_finds")
+    rows = cut.withColumn(known, F.transform(finds, lambda f: F.struct(f.alias("find"), kind(f).alias("kind"))))
+    names = F.transform(known, lambda k: F.when(k["kind"].isNull(), k["find"]).otherwise(pseudonym(k["find"], k["kind"], key)))
+    rest = F.slice(pieces, 2, F.greatest(F.size(finds), F.lit(1)))
+    joined = F.concat(F.element_at(pieces, 1), F.array_join(F.zip_with(names, rest, lambda a, b: F.concat(a, b)), ""))
+    new = F.when(F.size(finds) > 0, joined).otherwise(text).alias(text_col)
+    return rows.select(*[new if c == text_col else F.col(f"`{c}`") for c in df.columns], *([F.col(known).alias(kinds)] if kinds else []))
 
 
 def pseudonymise(df: DataFrame, id_col: str, text_col: str, key: str) -> DataFrame:
     """id_col, text_col with pseudonyms, and n_<kind> for each kind of finds.
 
-    One row per row of `df`; null stays null, texts without finds stay as they
-    are, and so do numbers that fail their check. The key decides the
-    pseudonyms and must be kept secret; whoever has it can undo them. Other
-    columns are not read. One pass over whole texts, no shuffle.
+    One row per row of `df`, repeated or not, with a null id too; null stays
+    null, texts without finds stay as they are, and so do numbers that fail
+    their check; an empty table gives no rows. The key decides the pseudonyms
+    and must be kept secret; whoever has it can undo them. Other columns are not
+    read. One pass over whole texts, no shuffle.
     """
+    narrow = df.select(id_col, text_col)
+    (kinds,) = fresh(narrow, "_kinds")
 
     def found(name: str) -> Column:
-        return F.when(F.col("_kinds").isNull(), F.lit(0)).otherwise(F.size(F.filter("_kinds", lambda k: k["kind"] == name)))
+        return F.when(F.col(kinds).isNull(), F.lit(0)).otherwise(F.size(F.filter(kinds, lambda k: k["kind"] == name)))
 
-    known = rewritten(df.select(id_col, text_col), text_col, key)
+    known = rewritten(narrow, text_col, key, kinds)
     return known.select(id_col, text_col, *[found(name).alias(f"n_{name}") for name in PATTERNS])

@@ -127,8 +127,10 @@ def shards(df: DataFrame, id_col: str, dims: list[str], count: int, weight: str
     """
     cell = cells(df, dims, bits)
     weighed = F.lit(1).cast("bigint") if weight is None else F.coalesce(F.col(weight), F.lit(0)).cast("bigint")
-    rows = df.drop("curve", "shard", "slot").select(
-        "*",
+    names = [c for c in df.columns if c not in ("curve", "shard", "slot")]
+    rows = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row_"),  # so that their names clash with none below
+        F.col(id_col).alias("_id"),
         curve_index([cell[d] for d in dims], bits).alias("curve"),
         F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)).cast("int").alias("_salt"),
         F.xxhash64(F.col(id_col)).alias("_hash"),
@@ -152,7 +154,7 @@ def shards(df: DataFrame, id_col: str, dims: list[str], count: int, weight: str
         (F.col("_cell_n") + F.coalesce(F.sum("_n").over(in_cell), F.lit(0))).alias("_before_n"),
         "_total",
     )
-    in_block = Window.partitionBy("curve", "_salt").orderBy("_hash", F.col(id_col))
+    in_block = Window.partitionBy("curve", "_salt").orderBy("_hash", "_id")
     placed = (
         rows.withColumn("_row", F.row_number().over(in_block) - 1)
         .withColumn("_sum", F.sum("_weight").over(in_block.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_weight"))
@@ -165,7 +167,7 @@ def shards(df: DataFrame, id_col: str, dims: list[str], count: int, weight: str
     placed = save(placed, "placed")
     first = placed.groupBy("shard").agg(F.min("_place").alias("_first"))
     return placed.join(first, "shard").select(
-        *[c for c in df.columns if c not in ("curve", "shard", "slot")],
+        *[F.col("_row_")[c].alias(c) for c in names],
         "curve",
         "shard",
         (F.col("_place") - F.col("_first")).alias("slot"),

@@ -142,9 +142,10 @@ def test_shards_follow_the_curve_and_differ_by_one_row(spark, docs, rows, empty)
     placed = sorted((r["h"], r["a"], r["b"], r["c"]) for r in grid.withColumn("h", hilbert_shards.curve_index([F.col(c) for c in "abc"], 2)).collect())
     assert [p[0] for p in placed] == list(range(64))
     assert all(sum(abs(x - y) for x, y in zip(p[1:], q[1:], strict=True)) == 1 for p, q in zip(placed, placed[1:], strict=False))
-    narrow = docs.select("doc_id", "_salt", F.col("text").substr(1, 3).alias("source"), F.length("text").alias("size"))
+    clashing = [F.lit("x").alias(c) for c in ("_hash", "_weight", "_row", "_id", "_row_", "curve", "_place", "_n")]
+    narrow = docs.select("doc_id", "_salt", *clashing, F.col("text").substr(1, 3).alias("source"), F.length("text").alias("size"))
     for weight in (None, "size"):
-        got = hilbert_shards.shards(narrow.drop("_salt"), "doc_id", ["source", "size", "doc_id"], 7, weight).collect()
+        got = hilbert_shards.shards(narrow, "doc_id", ["source", "size", "doc_id"], 7, weight).collect()
         assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in rows)
         slots = defaultdict(list)
         for r in got:

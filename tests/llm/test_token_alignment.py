@@ -69,8 +69,8 @@ def test_alignment_equals_a_plain_merge(spark):
     rows = [*enumerate(odd_texts()), (None, "text without an id"), (None, None), (5, "  two  spaces ")]
     wanted = plain(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.lit(1).alias(c) for c in ("id", "row", "pair", "links", "n", "count")]).repartition(3)
-    for piece in (3, 64, 4096):
-        got = token_alignment.align(docs, "doc_id", "text", A_PATH, B_PATH, piece)
+    for piece, pattern in ((3, None), (64, public_tokenizers.PATTERN), (4096, public_tokenizers.PATTERN)):
+        got = token_alignment.align(docs, "doc_id", "text", A_PATH, B_PATH, pattern, piece)
         assert got.columns == NAMES
         assert Counter(map(tuple, got.collect())) == wanted, piece
     assert token_alignment.align(docs.where("false"), "doc_id", "text", A_PATH, B_PATH).count() == 0
@@ -95,11 +95,21 @@ def test_pieces_of_a_merge(piece):
         assert a[token_alignment.common_ends(a, b, piece)].tolist() == sorted(set(a.tolist()) & set(b.tolist()))
 
 
-def test_pairs_are_bounded_by_the_vocabularies(spark):
+def test_pairs_are_bounded_by_the_vocabularies():
     own = token_alignment.Both(A_PATH, B_PATH)
     assert token_alignment.possible_pairs(A_PATH, B_PATH) < token_alignment.BROADCAST_PAIRS
+    laid = token_alignment.Aligned(own, *own.tokens(odd_texts()))
+    for x, y in zip(laid.a[laid.a_last], laid.b[laid.b_last], strict=True):
+        short, long = sorted((own.a.bytes[x], own.b.bytes[y]), key=len)
+        assert long.endswith(short)
+
+
+def test_ranks_give_the_ids_of_the_library():
+    library, ranked = token_alignment.ByteLevel(A_PATH), token_alignment.ByteLevel(A_PATH, public_tokenizers.PATTERN)
+    assert ranked.ranked is not None and library.ranked is None and library.bytes == ranked.bytes
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for c in [*points[:0x3000], *points[0x3000::97]]:
+        text = f" a{chr(c)}1{chr(c)} {chr(c)}{chr(c)}b {chr(c)}"
+        assert library.ids(text) == ranked.ids(text), hex(c)
     for text in odd_texts():
-        a, b = own.tokens(text)
-        for x, y in zip(*token_alignment.aligned(own, a, b)[:2], strict=True):
-            short, long = sorted((own.a.bytes[a[x]], own.b.bytes[b[y]]), key=len)
-            assert long.endswith(short)
+        assert library.ids(f" {text}") == ranked.ids(f" {text}")
