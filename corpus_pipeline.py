@@ -40,35 +40,60 @@ def stage(function):
 
 @stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts."""
+    """Documents that the classifier accepts.
+
+    Null and empty texts are scored as texts of no bytes; rows equal in their
+    text are accepted or not together, and a row that comes twice stays twice;
+    an empty table stays empty; all columns are carried along.
+    """
     net = byte_cnn.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id", "text", "quality")
     return byte_cnn.accepted(docs, "text", net, ACCEPTED)
 
 
 @stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id."""
-    kept = ngram_join.join(docs, "doc_id", "text").where("kept").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
-    keys = [c.alias(f"_k{i}") for i, c in enumerate(substring_dedup.key_of(docs, "doc_id", "text"), 1)]
-    rows = docs.select("*", *keys).join(kept, ["_k1", "_k2"], "left_semi")
-    return rows.dropDuplicates(["_k1", "_k2"]).select(*docs.columns)
+    """One document of each group of near duplicates, the one with the smallest id.
+
+    Rows equal in id and text are one group, of which one stays; a null id
+    comes after all others. Null and empty texts, and texts without a word, are
+    near to nothing, so all such rows stay. An empty table stays empty; all
+    columns are carried along.
+    """
+    kept = ngram_join.join(docs, "doc_id", "text").where("kept").select("k1", "k2")
+    has_word = F.coalesce(F.col("text").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"), F.lit(False))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), has_word.alias("has_word"), *substring_dedup.key_of(docs, "doc_id", "text"))
+    one = rows.where("has_word").join(kept, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    return one.unionByName(rows.where("NOT has_word")).select("row.*")
 
 
 @stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the words of passages that stand anywhere else."""
+    """All documents, without the words of passages that stand anywhere else.
+
+    Null texts stay null, texts without such passages as they are; rows that
+    come twice lose all their long passages, in both; an empty table stays
+    empty; all columns are carried along.
+    """
     return counted(substring_dedup.rewrite(docs, "doc_id", "text"))
 
 
 @stage
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by pseudonyms."""
-    return counted(feistel_pii.rewritten(docs, "text", PII_KEY).select(*docs.columns))
+    """All documents, personal data replaced by pseudonyms.
+
+    Null and empty texts stay as they are, every row stays, repeated or not; an
+    empty table stays empty; all columns are carried along.
+    """
+    return counted(feistel_pii.rewritten(docs, "text", PII_KEY))
 
 
 @stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences."""
+    """Pieces of all documents in sequences.
+
+    Null and empty texts are the closing id alone; repeated rows are documents
+    of their own; an empty table has no pieces; other columns are not read.
+    """
     return curve_packing.pack(docs, "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"), digest=True)
 
 
