@@ -310,6 +310,20 @@ def test_blocks_and_patterns_count_all_pairs():
     assert len(ngram_join.forest(near | near.T)) < 30
 
 
+def test_embeddings_without_an_id(spark):
+    table = [(None, "a", [1.0, 0.0]), (4, "a", [1.0, 0.01]), (4, "a", [1.0, 0.01]), (None, "b", [0.0, 1.0]), (None, "b", [0.0, 1.0]), (6, None, [1.0, 0.0]), (None, "a", None)]
+    frame = spark.createDataFrame(table, "vec_id long, label string, embedding array<double>")
+    got = collected(nn_descent.deduplicate(frame, "vec_id", "label", "embedding"), "vec_id", "n_links", "component_id", "kept")
+    assert got == Counter([(None, 2, 4, False), (4, 2, 4, True), (4, 2, 4, True), (None, 1, None, True), (None, 1, None, True), (6, 0, 6, True), (None, 0, None, True)])
+
+
+def test_an_audit_that_never_passes_raises(spark, monkeypatch):
+    frame = spark.createDataFrame([(i, "a", [1.0, i / 1000]) for i in range(12)], "vec_id long, label string, embedding array<double>")
+    monkeypatch.setattr(nn_descent, "audited", lambda *_: 0.5)
+    with pytest.raises(RuntimeError, match="0.500"):
+        nn_descent.deduplicate(frame, "vec_id", "label", "embedding")
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(2)
     centre = rng.normal(size=(6, 16))
