@@ -68,8 +68,9 @@ FROM old o FULL JOIN cur c ON o.listing_key = c.listing_key CROSS JOIN bounds
 WHERE c.listing_key IS NULL OR o.listing_key IS NULL OR c.price_czk IS DISTINCT FROM o.price_czk"""
 
 
-def snapshot_diff_strict(spark, sf_dir):
-    """Three sources that each fail in some runs, and detail pages that fail for some listings."""
+def _with_sources(spark, sf_dir):
+    """Observations of three sources that each fail in some runs, with detail pages that fail for some listings; and
+    the runs in which a source was complete."""
     key = F.col("listing_key").cast("bigint")
     obs = observations(spark, sf_dir)
     failed = (key + F.col("run_seq")) % 6 == 0
@@ -80,13 +81,33 @@ def snapshot_diff_strict(spark, sf_dir):
         F.when(failed, F.lit(True)).alias("enrich_failed"),
     )
     incomplete = (F.col("run_seq") * 7 + F.substring("source", 2, 1).cast("bigint") * 3) % 10 == 0
-    complete = obs.select("source", "run_seq").distinct().where(~incomplete)
-    changes = diff.diff_runs_strict(obs, complete, with_item=False)
+    return obs, obs.select("source", "run_seq").distinct().where(~incomplete)
+
+
+def snapshot_diff_strict(spark, sf_dir):
+    """Three sources that each fail in some runs, and detail pages that fail for some listings."""
+    changes = diff.diff_runs_strict(*_with_sources(spark, sf_dir), with_item=False)
     return changes.select(
         "run_seq", "kind", "listing_key", "old_total_czk", "new_total_czk", "missing_since_seq", "removed_since_seq"
     )
 
 
+def snapshot_diff_strict_stream(spark, sf_dir):
+    """The strict diff computed as the manifest grows, from the stored states of the sources; same result as the batch form."""
+    obs, complete = _with_sources(spark, sf_dir)
+    store = _stored_runs(spark, sf_dir, "strict-stream", obs=obs)
+    store.write_runs("source_states", diff.source_states(complete, store.runs()).coalesce(1))
+    streaming.stream_changes(store, store.path("_checkpoint"), runs_per_batch=60, strict=True).awaitTermination()
+    schema = schemas.struct(
+        "run_seq bigint, kind string, listing_key string, old_total_czk bigint, new_total_czk bigint, "
+        "missing_since timestamp, removed_since timestamp"
+    )
+    hour = lambda c: F.date_format(c, "yyyy-MM-dd HH").alias(c)
+    return store.read_or_empty("changes", schema).select(
+        "run_seq", "kind", "listing_key", "old_total_czk", "new_total_czk", hour("missing_since"), hour("removed_since")
+    )
+
+
 SNAPSHOT_DIFF_STRICT = f"""
 WITH {OBS_SQL},
 seen AS (
@@ -249,10 +270,10 @@ SELECT run_seq, listing_key,
 FROM marked"""
 
 
-def _stored_runs(spark, sf_dir, name, uncommitted=0):
+def _stored_runs(spark, sf_dir, name, uncommitted=0, obs=None):
     """All runs of the observations written, and all but the last `uncommitted` of them committed."""
     store = Store(spark, work_dir(spark, name))
-    store.write_runs("listings", schemas.conform(observations(spark, sf_dir)))
+    store.write_runs("listings", schemas.conform(observations(spark, sf_dir) if obs is None else obs))
     start = datetime(2024, 1, 1, tzinfo=timezone.utc)
     written = store.read_or_empty("listings", schemas.LISTING).select("run_seq").distinct()
     committed = written.where(F.col("run_seq") <= written.agg(F.max("run_seq")).scalar() - uncommitted)
@@ -320,6 +341,7 @@ QUERIES = {
     "listing_mart": listing_mart,
     "store_roundtrip": store_roundtrip,
     "snapshot_diff_stream": snapshot_diff_stream,
+    "snapshot_diff_strict_stream": snapshot_diff_strict_stream,
 }
 
 ORACLES = {
@@ -365,4 +387,9 @@ ORACLES = {
     "listing_mart": LISTING_MART,
     "store_roundtrip": STORE_ROUNDTRIP,
     "snapshot_diff_stream": SNAPSHOT_DIFF_STREAM,
+    "snapshot_diff_strict_stream": f"""
+        SELECT run_seq, kind, listing_key, old_total_czk, new_total_czk,
+               strftime(TIMESTAMP '2024-01-01' + to_hours(CAST(missing_since_seq * 8 AS INTEGER)), '%Y-%m-%d %H') AS missing_since,
+               strftime(TIMESTAMP '2024-01-01' + to_hours(CAST(removed_since_seq * 8 AS INTEGER)), '%Y-%m-%d %H') AS removed_since
+        FROM ({SNAPSHOT_DIFF_STRICT})""",
 }

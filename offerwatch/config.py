@@ -145,6 +145,9 @@ class MonitorConfig:
     focus_street: str = "Pod Harfou"
     locality_label: str = "Vysočany"
     node_locality: str = "Vysočany (okolí Pod Harfou)"
+    #: Compare each portal only over the runs in which it was read to its end, and a listing whose detail page
+    #: failed on its bare price.
+    strict: bool = False
 
 
 DEFAULTS = MonitorConfig()

@@ -55,3 +55,18 @@ def run_gate(searched: DataFrame, detail_outcomes: DataFrame | None = None) -> D
     return gate.join(stopped, "run_id", "left").select(
         "run_id", (ok & ~F.coalesce("_stopped", F.lit(False))).alias("may_commit")
     )
+
+
+def complete_sources(pages: DataFrame, main_may_commit: bool = True) -> DataFrame:
+    """source: those of one run that were read to their end.
+
+    A portal that did not land a page, or one of whose search pages was not
+    answered or carries none of its portal's marks, may have more listings than
+    were seen. The main portal is judged by its own gate.
+    """
+    search = pages.where((F.col("kind") == "search") & F.col("source").isin(C.NODE_SOURCE, C.CARD_SOURCE))
+    has_marks = F.when(F.col("source") == C.NODE_SOURCE, F.col("body").rlike(C.EMBEDDED_STATE)).otherwise(F.lower("body").contains("<main"))
+    readable = F.coalesce((F.col("status") == 200) & has_marks, F.lit(False))
+    others = search.groupBy("source").agg(F.min(readable).alias("_read")).where("_read").select("source")
+    main = pages.sparkSession.createDataFrame([(C.MAIN_SOURCE,)] if main_may_commit else [], "source string")
+    return main.unionByName(others)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from offerwatch.functions.costs import comparison_value
 from offerwatch.operators.dedup import union_preferring
@@ -162,20 +163,23 @@ def diff_new_runs(listings: DataFrame, first_new: int, last_run: int, **options)
     return diff_runs(window, last_run, **options).where(F.col("run_seq").between(first_new, last_run))
 
 
-def diff_runs_strict(listings: DataFrame, source_runs: DataFrame, with_item: bool = True) -> DataFrame:
-    """Diff that compares a source only over the runs in which it was read completely.
+def dense_calendar(source_runs: DataFrame) -> DataFrame:
+    """source, run_seq, source_seq: the complete runs of each source, numbered from 1 without gaps."""
+    in_order = Window.partitionBy("source").orderBy("run_seq")
+    return source_runs.select("source", "run_seq").distinct().withColumn("source_seq", F.row_number().over(in_order).cast("bigint"))
 
-    `source_runs(source, run_seq)` lists those runs. Each source gets its own
-    dense run numbers, the same closed form runs on them, and the result is
-    mapped back; a source that failed for two runs no longer looks like a mass
-    removal.
+
+def diff_by_source(listings: DataFrame, calendar: DataFrame, with_item: bool = True) -> DataFrame:
+    """Diff over each source's own dense run numbers, mapped back to runs.
+
+    Rows of runs that the calendar does not name for their source are left out.
     """
-    in_order = Window.partitionBy("source").orderBy("run_seq")
-    calendar = source_runs.select("source", "run_seq").distinct().select(
+    in_order = Window.partitionBy("source").orderBy("source_seq")
+    calendar = calendar.select(
         "source",
         "run_seq",
-        F.row_number().over(in_order).cast("bigint").alias("source_seq"),
-        F.count(F.lit(1)).over(Window.partitionBy("source")).alias("_last"),
+        "source_seq",
+        F.max("source_seq").over(Window.partitionBy("source")).alias("_last"),
         # the runs an event of this one can name: one and two complete runs later
         *[F.lead("run_seq", n).over(in_order).alias(f"_run{n}") for n in (1, 2)],
     )
@@ -195,6 +199,85 @@ def diff_runs_strict(listings: DataFrame, source_runs: DataFrame, with_item: boo
     return _finish(events, with_item)
 
 
+def diff_runs_strict(listings: DataFrame, source_runs: DataFrame, with_item: bool = True) -> DataFrame:
+    """Diff that compares a source only over the runs in which it was read completely.
+
+    `source_runs(source, run_seq)` lists those runs. Each source gets its own
+    dense run numbers, the same closed form runs on them, and the result is
+    mapped back; a source that failed for two runs no longer looks like a mass
+    removal.
+    """
+    return diff_by_source(listings, dense_calendar(source_runs), with_item)
+
+
+#: What a run knows of each source: how many complete runs it had so far, and the last of them, newest first.
+SOURCE_STATE = T.StructType(
+    [
+        T.StructField("run_seq", T.LongType()),
+        T.StructField("source", T.StringType()),
+        T.StructField("source_seq", T.LongType()),
+        T.StructField("complete", T.BooleanType()),
+        T.StructField("recent", T.ArrayType(T.LongType())),
+    ]
+)
+
+
+def step_source_states(before: DataFrame, complete: DataFrame, run_seq: int) -> DataFrame:
+    """States of the sources at a run, from those at the run before and the `complete` sources (source) of this one."""
+    run = F.lit(run_seq).cast("bigint")
+    now = complete.select("source").distinct().withColumn("_now", F.lit(True))
+    both = before.select("source", "source_seq", "recent").join(now, "source", "full_outer")
+    read = F.coalesce("_now", F.lit(False))
+    past = F.coalesce("recent", F.array().cast("array<bigint>"))
+    return both.select(
+        run.alias("run_seq"),
+        "source",
+        (F.coalesce("source_seq", F.lit(0)) + read.cast("bigint")).alias("source_seq"),
+        read.alias("complete"),
+        F.when(read, F.slice(F.concat(F.array(run), past), 1, ABSENCES + 1)).otherwise(past).alias("recent"),
+    )
+
+
+def source_states(source_runs: DataFrame, runs: DataFrame) -> DataFrame:
+    """States of the sources at each of `runs` (run_seq) at once; `source_runs(source, run_seq)` are the complete ones."""
+    calendar = dense_calendar(source_runs)
+    in_order = Window.partitionBy("source").orderBy("run_seq")
+    past = [F.col("run_seq"), *[F.lag("run_seq", n).over(in_order) for n in range(1, ABSENCES + 1)]]
+    known = calendar.withColumn("_recent", F.array_compact(F.array(*past)))
+    last = runs.agg(F.max("run_seq")).scalar()
+    since = calendar.groupBy("source").agg(F.min("run_seq").alias("_first")).where(F.col("_first") <= last)
+    every = since.select("source", F.explode(F.sequence("_first", last)).alias("run_seq")).join(runs.select("run_seq"), "run_seq", "left_semi")
+    states = every.join(known, ["source", "run_seq"], "left")
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return states.select(
+        "run_seq",
+        "source",
+        F.last("source_seq", ignorenulls=True).over(so_far).alias("source_seq"),
+        F.col("source_seq").isNotNull().alias("complete"),
+        F.last("_recent", ignorenulls=True).over(so_far).alias("recent"),
+    )
+
+
+def calendar_of(states: DataFrame) -> DataFrame:
+    """source, run_seq, source_seq of all complete runs that the states of some runs name."""
+    runs = states.select("source", "source_seq", F.posexplode("recent").alias("_age", "run_seq"))
+    return runs.select("source", "run_seq", (F.col("source_seq") - F.col("_age")).alias("source_seq")).distinct()
+
+
+def diff_new_runs_strict(listings: DataFrame, states: DataFrame, first_new: int, last_run: int, with_item: bool = True) -> DataFrame:
+    """Events of the runs first_new..last_run only, each source over its own complete runs.
+
+    `states` are the sources' states at these runs. They name the runs that
+    matter: of each source those among the new ones and the two complete ones
+    before, however long ago. With `listings` partitioned by run_seq, no other
+    run is read. Equal to the matching part of `diff_runs_strict`.
+    """
+    calendar = calendar_of(states.where(F.col("run_seq").between(first_new, last_run)))
+    wanted = [r["run_seq"] for r in calendar.select("run_seq").distinct().collect()]  # the new runs and two for each source at most
+    events = diff_by_source(listings.where(F.col("run_seq").isin(wanted)), calendar, with_item)
+    return events.where(F.col("run_seq").between(first_new, last_run))
+
+
 def pending(listings: DataFrame, last_run: Column | int | None = None) -> DataFrame:
     """Listings missing from the last run only: candidates for removal, with their run."""
     if last_run is None:
@@ -207,6 +290,22 @@ def pending(listings: DataFrame, last_run: Column | int | None = None) -> DataFr
     return missing.withColumn("missing_since_seq", F.col("_last")).drop("_last")
 
 
+def pending_strict(listings: DataFrame, states: DataFrame) -> DataFrame:
+    """As `pending`, each source between its last two complete runs; `states` are those of the last run.
+
+    A source that was not read in the last run has nothing new to wait for.
+    """
+    calendar = calendar_of(states.where("complete"))
+    last = F.max("source_seq").over(Window.partitionBy("source"))
+    ages = calendar.withColumn("_age", last - F.col("source_seq")).where("_age < 2").drop("source_seq")
+    wanted = [r["run_seq"] for r in ages.select("run_seq").distinct().collect()]  # two for each source at most
+    recent = listings.where(F.col("run_seq").isin(wanted)).join(ages, ["source", "run_seq"])
+    present = recent.where("_age = 0").select("source", "listing_key")
+    missing = recent.where("_age = 1").join(present, ["source", "listing_key"], "left_anti")
+    now = ages.where("_age = 0").select("source", F.col("run_seq").alias("missing_since_seq"))
+    return missing.join(now, "source").select(*listings.columns, "missing_since_seq")
+
+
 def diff_pair(
     previous: DataFrame, pending_before: DataFrame, current: DataFrame, run_seq: Column | int, strict: bool = False
 ) -> tuple[DataFrame, DataFrame]:

@@ -73,7 +73,7 @@ def listings_from_pages(pages: DataFrame, cfg: C.MonitorConfig = C.DEFAULTS) ->
 def edit_watchlist(store: Store, edits: DataFrame) -> DataFrame:
     """Apply a batch of edits (op, arg, ts) to the stored list; returns the ones that cannot be used."""
     usable, rejects = watch.read_edits(edits)
-    store.write_watchlist(watch.apply_edits(store.watchlist(), usable))
+    store.edit_watchlist(lambda listed: watch.apply_edits(listed, usable))
     return rejects
 
 
@@ -89,8 +89,11 @@ def run(
     Each table is written once and later steps read the written one, so a lost
     executor never means parsing pages again. The stored watch list says what is
     watched: every listing on it has a read in every run, landed or not.
+
+    Raises IncompleteRun if the main portal was not read to its end, and
+    RunInProgress if another landing has the next number.
     """
-    run_seq = (store.last_run() or 0) + 1
+    run_seq = store.claim_run(run_id)
     landed = pages.where(F.col("run_id") == run_id).withColumn("run_seq", F.lit(run_seq).cast("bigint"))
     landed = in_region(landed, cfg.region)
 
@@ -111,6 +114,7 @@ def run(
     outcomes = details.select("run_id", "outcome").unionByName(reads.select("run_id", "outcome"))
     gate = completeness.run_gate(searched, outcomes).first()
     if gate is None or not gate["may_commit"]:
+        store.release_run(run_seq)
         raise IncompleteRun(run_id)
 
     listings = union_sources(
@@ -119,6 +123,11 @@ def run(
         card_portal.card_listings(card_portal.cards(landed), cfg),
     )
     store.write_run("listings", listings, run_seq)
+    store.write_run(
+        "source_states",
+        diff.step_source_states(store.of_run("source_states", diff.SOURCE_STATE, run_seq - 1), completeness.complete_sources(landed), run_seq),
+        run_seq,
+    )
     recent = store.of_runs("listings", schemas.LISTING, run_seq - diff.ABSENCES, run_seq)
     current = store.of_run("listings", schemas.LISTING, run_seq)
 
@@ -136,12 +145,12 @@ def run(
             F.lit(generated_at).cast("timestamp").alias("generated_at"),
         )
     )
-    events = diff.stamp_times(diff.diff_new_runs(recent, run_seq, run_seq), times)
+    events = diff.stamp_times(new_events(store, run_seq, run_seq, cfg.strict), times)
     dated = events.withColumn("is_watched", F.lit(False)).withColumn("at", F.lit(generated_at))
     changes = schemas.conform(dated, schemas.CHANGES, {})
     store.write_run("changes", changes, run_seq)
     changes = store.of_run("changes", schemas.CHANGES, run_seq)
-    waiting = diff.pending(recent, run_seq)
+    waiting = diff.pending_strict(store.read_or_empty("listings", schemas.LISTING), store.of_run("source_states", diff.SOURCE_STATE, run_seq)) if cfg.strict else diff.pending(recent, run_seq)
     store.write_run("pending", waiting, run_seq)
 
     per_type = stats.price_stats(current, ["run_seq", "transaction_type"], "price_czk_per_sqm")
@@ -162,6 +171,14 @@ def run(
     return run_seq
 
 
+def new_events(store: Store, first: int, last: int, strict: bool) -> DataFrame:
+    """Events of the stored runs first..last, from these and the runs before that they depend on."""
+    if not strict:
+        return diff.diff_new_runs(store.of_runs("listings", schemas.LISTING, first - diff.ABSENCES, last), first, last)
+    states = store.of_runs("source_states", diff.SOURCE_STATE, first, last)
+    return diff.diff_new_runs_strict(store.read_or_empty("listings", schemas.LISTING), states, first, last)
+
+
 def write_marts(store, current, changes, states, watched_changes, reads, run_seq, cfg) -> None:
     listed = marts.mart_listings(current, changes, watched_changes)
     store.write_run("mart_listings", listed, run_seq)

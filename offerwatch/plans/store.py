@@ -2,11 +2,14 @@
 
 A run's partitions are written first and its row in `runs` last. Readers only
 see runs the manifest lists, so a run that died half-way is invisible and can
-simply be written again over its own partitions.
+simply be written again over its own partitions. Numbers of runs and versions of
+the watch list are given out by markers that only one writer can make.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
@@ -15,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from offerwatch import schemas
+from offerwatch.plans import markers
 
 
 def run_name(generated_at: datetime) -> str:
@@ -22,6 +26,10 @@ def run_name(generated_at: datetime) -> str:
     return generated_at.astimezone(timezone.utc).strftime("%Y%m%dT%H%M%SZ")
 
 
+class RunInProgress(RuntimeError):
+    """Another landing has the next run number and has not committed it."""
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -60,6 +68,28 @@ class Store:
             .parquet(self.path(table))
         )
 
+    def claim_run(self, run_id: str) -> int:
+        """The number of the run after the last committed one, for the landing `run_id` alone.
+
+        A number is given once: of two writers at once one gets it, and the other
+        is told whose it is and comes again when that run is committed. A landing
+        that died half-way gets its number again. `release_run` gives it back.
+        """
+        while True:
+            run_seq = (self.last_run() or 0) + 1
+            if markers.put_if_absent(self.spark, self.path("run_claims"), run_seq, run_id):
+                if (self.last_run() or 0) < run_seq:
+                    return run_seq
+                continue  # committed between the look and the claim, by a writer that knows no claims
+            owner = markers.read(self.spark, self.path("run_claims"), run_seq)
+            if owner == run_id:
+                return run_seq
+            if owner is not None and (self.last_run() or 0) < run_seq:
+                raise RunInProgress(run_seq, owner)
+
+    def release_run(self, run_seq: int) -> None:
+        markers.remove(self.spark, self.path("run_claims"), run_seq)
+
     def commit(self, run_seq: int, generated_at: datetime | None = None, run_id: str | None = None) -> None:
         """Make a run visible. Its name is its time unless the landing gave it one."""
         generated_at = generated_at or datetime.now(timezone.utc)
@@ -98,22 +128,32 @@ class Store:
 
     # --------------------------------------------------------------- watch list
 
-    def watchlist(self) -> DataFrame:
-        version = self._watchlist_version()
-        versioned = T.StructType(schemas.WATCHLIST.fields + [T.StructField("version", T.LongType())])
-        rows = self.read_or_empty("watchlist", versioned)
-        return rows.where(F.lit(False) if version is None else F.col("version") == version).drop("version")
+    def watchlist(self, version: int | None = None) -> DataFrame:
+        """The list as of a version, or as it is now."""
+        version = version or self.watchlist_version()
+        if version is None:
+            return schemas.empty(self.spark, schemas.WATCHLIST)
+        written = markers.read(self.spark, self.path("watchlist_versions"), version)
+        return self.read_or_empty(f"watchlist/{written}", schemas.WATCHLIST)
 
-    def _watchlist_version(self) -> int | None:
-        done = T.StructType([T.StructField("version", T.LongType())])
-        return self.read_or_empty("watchlist_versions", done).agg(F.max("version")).first()[0]
+    def watchlist_version(self) -> int | None:
+        return markers.last(self.spark, self.path("watchlist_versions"))
 
     def write_watchlist(self, watchlist: DataFrame) -> None:
-        """Write the list as a new version, then switch to it."""
-        version = (self._watchlist_version() or 0) + 1
-        watchlist.select(*schemas.WATCHLIST.names).write.mode("overwrite").parquet(
-            f"{self.path('watchlist')}/version={version}"
-        )
-        self.spark.range(1).select(F.lit(version).cast("bigint").alias("version")).write.mode("append").parquet(
-            self.path("watchlist_versions")
-        )
+        """Write the list as the newest version, whatever the one before holds."""
+        self.edit_watchlist(lambda _: watchlist)
+
+    def edit_watchlist(self, edit: Callable[[DataFrame], DataFrame]) -> int:
+        """Make `edit` of the present list its next version; returns the version.
+
+        The new list is written to a folder of its own, then its version is
+        claimed. Who loses a version to another writer starts again from that
+        one's list, so no edit is lost.
+        """
+        while True:
+            before = self.watchlist_version()
+            now = self.watchlist(before) if before else schemas.empty(self.spark, schemas.WATCHLIST)
+            written, version = uuid.uuid4().hex, (before or 0) + 1
+            edit(now).select(*schemas.WATCHLIST.names).write.parquet(f"{self.path('watchlist')}/{written}")
+            if markers.put_if_absent(self.spark, self.path("watchlist_versions"), version, written):
+                return version

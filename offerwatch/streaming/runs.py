@@ -67,7 +67,7 @@ def stream_changes(
     strict: bool = False,
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Write the changes of every newly committed run to `out_table`."""
+    """Write the changes of every newly committed run to `out_table`; `strict` as in the settings of a market."""
     reader = store.spark.readStream.schema(schemas.RUNS)
     if runs_per_batch:
         reader = reader.option("maxFilesPerTrigger", runs_per_batch)
@@ -78,8 +78,7 @@ def stream_changes(
         if span is None:
             return
         first, last = span
-        listings = store.of_runs("listings", schemas.LISTING, first - diff.ABSENCES, last)
-        events = diff.diff_new_runs(listings, first, last, strict=strict)
+        events = monitor.new_events(store, first, last, strict)
         store.write_runs(out_table, diff.stamp_times(events, store.runs()))
 
     writer = manifest.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)

@@ -1,4 +1,6 @@
 import random
+import re
+from collections import Counter
 
 import pytest
 from offerwatch import schemas
@@ -149,3 +151,37 @@ def test_one_window_shuffle(spark):
 def test_conform_keeps_nulls_and_defaults_absent(spark):
     df = schemas.conform(spark.createDataFrame([("k", None)], "listing_key string, fees_missing boolean")).first()
     assert df.fees_missing is None and df.active is True and df.images == [] and df.electricity_estimated is False
+
+
+def test_strict_step_reads_the_last_complete_runs_and_equals_the_whole(spark, tmp_path):
+    rng = random.Random(4)
+    rows, complete = [], []
+    for run in range(1, 15):
+        for source in "abc":
+            if rng.random() < 0.6 and not (source == "c" and 4 <= run <= 10):
+                complete.append((source, run))
+            rows += [(run, f"{source}{k}", source, rng.choice([1, 2]), rng.random() < 0.2) for k in range(8) if rng.random() < 0.6]
+    listings = spark.createDataFrame(rows, "run_seq bigint, listing_key string, source string, price_czk bigint, enrich_failed boolean")
+    listings = listings.selectExpr("*", "price_czk as total_czk", "true as electricity_estimated")
+    listings.write.partitionBy("run_seq").parquet(str(tmp_path / "listings"))
+    stored = spark.read.parquet(str(tmp_path / "listings")).select(*[F.col(c).cast(listings.schema[c].dataType) for c in listings.columns])
+    calendar = spark.createDataFrame(complete, "source string, run_seq bigint")
+    runs = spark.range(1, 15).select(F.col("id").alias("run_seq"))
+    states = diff.source_states(calendar, runs).cache()
+    names = [c for c in diff.DIFF_COLUMNS if c != "item"]
+    whole = Counter(tuple(r) for r in diff.diff_runs_strict(stored, calendar, with_item=False).select(*names).collect())
+    assert len(whole) > 60
+    step, got = spark.createDataFrame([], diff.SOURCE_STATE), Counter()
+    for run in range(1, 15):
+        now = diff.step_source_states(step, calendar.where(F.col("run_seq") == run), run)
+        step = spark.createDataFrame(now.collect(), diff.SOURCE_STATE)
+        assert {tuple(map(str, r)) for r in step.collect()} == {tuple(map(str, r)) for r in states.where(F.col("run_seq") == run).select(*step.columns).collect()}
+        events = diff.diff_new_runs_strict(stored, states, run, run, with_item=False)
+        got += Counter(tuple(r) for r in events.select(*names).collect())
+        named = sorted({r for x in step.collect() for r in x.recent})
+        if len(named) > 1:
+            read = re.search(r"PartitionFilters: \[[^\n]*?IN \(([\d,]+)\)", events._jdf.queryExecution().executedPlan().toString())
+            assert len(named) <= 9 and sorted(map(int, read.group(1).split(","))) == named
+    assert got == whole
+    batch = diff.diff_new_runs_strict(stored, states, 5, 14, with_item=False)
+    assert Counter(tuple(r) for r in batch.select(*names).collect()) == Counter({k: n for k, n in whole.items() if k[0] >= 5})

@@ -1,11 +1,13 @@
+import threading
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta, timezone
 
 import pytest
 from offerwatch import config as C
 from offerwatch import schemas
-from offerwatch.operators import watch
-from offerwatch.plans import marts, monitor
-from offerwatch.plans.store import Store, run_name
+from offerwatch.operators import diff, watch
+from offerwatch.plans import markers, marts, monitor
+from offerwatch.plans.store import RunInProgress, Store, run_name
 from offerwatch.session import work_dir
 from offerwatch.streaming import runs as streaming
 from pyspark.sql import functions as F
@@ -190,6 +192,63 @@ def test_watchlist_versions(spark):
     assert {r.listing_key for r in store.watchlist().collect()} == {"1", "2"}
 
 
+def test_two_writers_at_once_lose_no_edit(spark):
+    store = Store(spark, work_dir(spark, "two-writers"))
+    store.write_watchlist(spark.createDataFrame([("0", "u0")], schemas.WATCHLIST))
+    together = threading.Barrier(4, timeout=60)
+
+    def writer(n):
+        first = [True]
+
+        def edit(listed):
+            if first.pop() if first else False:
+                together.wait()  # all have read the same version before any writes the next
+            return listed.unionByName(spark.createDataFrame([(str(n), f"u{n}")], schemas.WATCHLIST))
+
+        return store.edit_watchlist(edit)
+
+    with ThreadPoolExecutor(4) as pool:
+        versions = list(pool.map(writer, range(1, 5)))
+    assert sorted(versions) == [2, 3, 4, 5] and store.watchlist_version() == 5
+    assert {r.listing_key for r in store.watchlist().collect()} == {"0", "1", "2", "3", "4"}
+    assert [store.watchlist(v).count() for v in (1, 2, 3, 4, 5)] == [1, 2, 3, 4, 5]
+
+
+def test_a_run_number_is_given_once(spark):
+    store = Store(spark, work_dir(spark, "claims"))
+    with ThreadPoolExecutor(6) as pool:
+        got = list(pool.map(lambda n: markers.put_if_absent(spark, store.path("m"), 1, f"w{n}"), range(6)))
+    assert sum(got) == 1 and markers.read(spark, store.path("m"), 1) == f"w{got.index(True)}"
+    assert markers.read(spark, store.path("m"), 2) is None and markers.last(spark, store.path("m")) == 1
+    assert markers.last(spark, store.path("none")) is None
+    assert store.claim_run("a") == 1 and store.claim_run("a") == 1  # a landing that died gets its number again
+    with pytest.raises(RunInProgress) as refused:
+        store.claim_run("b")
+    assert refused.value.args == (1, "a")
+    store.commit(1, START, "a")
+    assert store.claim_run("b") == 2
+    store.release_run(2)
+    assert store.claim_run("c") == 2
+
+
+def test_strict_runs_do_not_take_a_failed_portal_for_removals(spark):
+    """The second portal lands nothing in two runs; then it comes back without one of its adverts."""
+    store = Store(spark, work_dir(spark, "strict"))
+    landed = [run_pages(n, [(1, 20000)], adverts=adverts) for n, adverts in enumerate([[1, 2], [], [], [1]])]
+    pages = spark.createDataFrame([row for rows in landed for row in rows], schemas.RAW_PAGES)
+    for n in range(4):
+        monitor.run(store, pages, f"landing-{n}", at(n), C.MonitorConfig(strict=True))
+    changes = store.committed("changes", schemas.CHANGES)
+    assert [(r.run_seq, r.kind, r.listing_key) for r in changes.collect()] == []
+    waiting = spark.read.parquet(store.path("pending")).select("run_seq", "listing_key", "missing_since_seq")
+    assert {tuple(r) for r in waiting.collect()} == {(4, "bez-2", 4)}
+    states = {(r.run_seq, r.source): (r.source_seq, r.complete, r.recent) for r in store.committed("source_states", diff.SOURCE_STATE).collect()}
+    assert states[(3, C.NODE_SOURCE)] == (1, False, [1]) and states[(4, C.NODE_SOURCE)] == (2, True, [4, 1])
+    assert states[(4, C.MAIN_SOURCE)] == (4, True, [4, 3, 2])
+    again = monitor.new_events(store, 1, 4, strict=False)
+    assert {(r.run_seq, r.kind, r.listing_key) for r in again.collect()} == {(3, "removed", "bez-1"), (3, "removed", "bez-2"), (4, "new", "bez-1")}
+
+
 def test_run_name_is_utc():
     assert run_name(datetime(2024, 5, 1, 10, 0, tzinfo=timezone(timedelta(hours=2)))) == "20240501T080000Z"
 
