@@ -86,7 +86,7 @@ def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = load(spark, sf_dir, "documents"), public_tokenizers.path
-    return token_alignment.align(docs, "doc_id", "text", path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
+    return token_alignment.align(docs, "doc_id", "text", path("byte_bpe_50k.json"), path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
 
 
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
