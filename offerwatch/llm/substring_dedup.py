@@ -212,11 +212,11 @@ def without(words: list[bytes], hits: list[dict] | None, window: int) -> tuple[b
     return b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]), int(gone.sum())
 
 
-def _kept(batch, window: int):
+def _kept(batch, window: int, heavy: dict[tuple[int, int], int]):
     counts, removed, digests = [], [], []
     for text, hits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
         words = split(text)
-        left, gone = without(words, hits, window)
+        left, gone = without(words, named(hits, heavy), window)
         counts.append(len(words))
         removed.append(gone)
         digests.append(hashlib.sha256(left).hexdigest())
@@ -238,25 +238,28 @@ def heavy_masks(folded: DataFrame, masks: DataFrame, share: int) -> dict[tuple[i
 
 def placed(known: DataFrame, masks: DataFrame, heavy: dict[tuple[int, int], int]) -> DataFrame:
     """k1, k2, start, mask of the segments with windows that repeat. A heavy segment stands in a large part of all
-    documents; its mask is looked up where the segment is, and only the others are joined."""
+    documents: it is named by anchor and digest here and its mask looked up by `named` where its document is; only
+    the others are joined."""
     light = known.select("k1", "k2", "anchor", "digest", "start")
-    if not heavy:
-        return light.join(masks, ["anchor", "digest"]).select("k1", "k2", "start", "mask")
-    is_heavy = digest_in(sorted({digest for _, digest in heavy}))
+    is_heavy = digest_in(sorted({digest for _, digest in heavy})) if heavy else F.lit(False)
+    joined = light.where(~is_heavy).join(masks, ["anchor", "digest"]).select("k1", "k2", "start", "mask")
+    return joined.unionByName(light.where(is_heavy), allowMissingColumns=True)
 
-    def looked_up(batch):
-        keys = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-        mask = pa.array([heavy.get(key) for key in keys], pa.int64())
-        rows = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), mask], ["k1", "k2", "start", "mask"])
-        yield rows.filter(mask.is_valid())
 
-    direct = arrow_map(light.where(is_heavy), looked_up, "k1 bigint, k2 bigint, start int, mask bigint")
-    return direct.unionByName(light.where(~is_heavy).join(masks, ["anchor", "digest"]).select("k1", "k2", "start", "mask"))
+def named(hits: list[dict] | None, heavy: dict[tuple[int, int], int]) -> list[dict]:
+    """Hits with the masks of heavy segments."""
+    out = []
+    for hit in hits or []:
+        if hit["mask"] is not None:
+            out.append(hit)
+        elif (mask := heavy.get((hit["anchor"], hit["digest"]))) is not None:
+            out.append({"start": hit["start"], "mask": mask})
+    return out
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, share: int = SHARE) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """For `docs` (id, k1, k2, text): outline of each row; the rows with an anchor that stands elsewhere; and
-    for each key the windows that repeat, as lists of (start, mask of the windows from there).
+def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, share: int = SHARE) -> tuple[DataFrame, DataFrame, DataFrame, dict[tuple[int, int], int]]:
+    """For `docs` (id, k1, k2, text): outline of each row; the rows with an anchor that stands elsewhere; for each
+    key the windows that repeat, as lists of (start, mask of the windows from there); and the masks of heavy segments.
 
     Rows with one key have one text. The segments of one of them stand for all, counted as often as the key comes.
     """
@@ -295,8 +298,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
         cut_up = arrow_map(chosen(lambda s: s["hot"]), lambda b: _windows(b, window), "anchor bigint, digest bigint, n bigint, base bigint, window bigint")
         masks = masks.unionByName(counted(save(cut_up, "windows")))
     masks = save(masks.groupBy("anchor", "digest").agg(F.bit_or("mask").alias("mask")), "masks")
-    hits = placed(known, masks, heavy_masks(folded, masks, share)).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "mask")).alias("hits"))
-    return outline, texts.select("id", "k1", "k2", "text"), hits
+    heavy = heavy_masks(folded, masks, share)
+    hits = placed(known, masks, heavy).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "mask", "anchor", "digest")).alias("hits"))
+    return outline, texts.select("id", "k1", "k2", "text"), hits, heavy
 
 
 def key_of(df: DataFrame, id_col: str, text_col: str) -> list[Column]:
@@ -321,9 +325,9 @@ def deduplicate(df: DataFrame, id_col: str, text_col: str, window: int = WINDOW,
     are not read.
     """
     docs = keyed(df, id_col, text_col)
-    outline, texts, hits = repeats(docs, window, hot=hot, share=share)
+    outline, texts, hits, heavy = repeats(docs, window, hot=hot, share=share)
     schema = f"id {docs.schema['id'].dataType.simpleString()}, n_words bigint, n_removed bigint, kept_sha256 string"
-    done = arrow_map(texts.join(hits, ["k1", "k2"], "left").select("id", "text", "hits"), lambda b: _kept(b, window), schema)
+    done = arrow_map(texts.join(hits, ["k1", "k2"], "left").select("id", "text", "hits"), lambda b: _kept(b, window, heavy), schema)
     rest = outline.join(texts.select("k1", "k2"), ["k1", "k2"], "left_anti").select(
         "id", "n_words", F.lit(0).cast("bigint").alias("n_removed"), F.col("digest").alias("kept_sha256")
     )
@@ -333,7 +337,7 @@ def deduplicate(df: DataFrame, id_col: str, text_col: str, window: int = WINDOW,
 def rewrite(df: DataFrame, id_col: str, text_col: str, window: int = WINDOW, hot: int = HOT) -> DataFrame:
     """`df` with its texts cut as in `deduplicate`: the kept words joined by spaces where words went, else the text as it is."""
     docs = keyed(df, id_col, text_col)
-    _, _, hits = repeats(docs, window, hot=hot)
+    _, _, hits, heavy = repeats(docs, window, hot=hot)
     names, place = df.columns, df.columns.index(text_col)
     whole = df.select(F.struct(*df.columns).alias("row"), *key_of(df, id_col, text_col))
 
@@ -341,7 +345,8 @@ def rewrite(df: DataFrame, id_col: str, text_col: str, window: int = WINDOW, hot
         row = batch.column(0)
         texts = []
         for text, hit in zip(row.field(place).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            texts.append(without(split(text), hit, window)[0].decode() if hit else text)
+            found = named(hit, heavy)
+            texts.append(without(split(text), found, window)[0].decode() if found else text)
         columns = [pa.array(texts, pa.string()) if i == place else row.field(i) for i in range(len(names))]
         yield pa.RecordBatch.from_arrays(columns, names)
 
