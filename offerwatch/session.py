@@ -30,8 +30,13 @@ def local_session(cores: str | int = 8, app: str = "offerwatch", partitions: int
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder every executor can reach.
 
-    It lies under the shared folder named by spark.checkpoint.dir; where that is
-    unset, under the warehouse, which a cluster shares as well.
+    It lies under the shared folder named by spark.checkpoint.dir. Where that is
+    unset, a local session takes the warehouse; on a cluster that may be a folder
+    of the driver alone, so there the setting is asked for.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        shared = spark.conf.get("spark.sql.warehouse.dir")
     return f"{shared.rstrip('/')}/offerwatch/{name}-{uuid.uuid4().hex}"
