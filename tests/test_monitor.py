@@ -64,7 +64,7 @@ def stored(spark):
     assert [r.url for r in monitor.edit_watchlist(store, edits).collect()] == ["https://main/detail"]
     refused = []
     for _ in range(2):  # the second time there is nothing new
-        streaming.stream_runs(store, pages, f"{root}/landed", f"{root}/_landed", on_incomplete=refused.append).awaitTermination()
+        streaming.stream_runs(store, pages, f"{root}/landed", f"{root}/_landed", patience=1, on_incomplete=refused.append).awaitTermination()
     return store, refused
 
 
@@ -249,6 +249,30 @@ def test_strict_runs_do_not_take_a_failed_portal_for_removals(spark):
     assert {(r.run_seq, r.kind, r.listing_key) for r in again.collect()} == {(3, "removed", "bez-1"), (3, "removed", "bez-2"), (4, "new", "bez-1")}
 
 
+def test_open_runs_are_tested_again_in_order_and_given_up_in_the_end(spark):
+    root = work_dir(spark, "queue")
+    store, told = Store(spark, f"{root}/store"), []
+    price = [20000, 20500, 21000, 21500, 22000]
+
+    def call(land, incomplete):
+        if land:
+            spark.createDataFrame([(f"landing-{n}", None, at(n)) for n in land], schemas.RUNS).write.mode("append").parquet(f"{root}/landed")
+        rows = [row for n in range(5) for row in run_pages(n, [(1, price[n])], complete=n not in incomplete)]
+        pages = spark.createDataFrame(rows, schemas.RAW_PAGES)
+        streaming.stream_runs(store, pages, f"{root}/landed", f"{root}/_landed", patience=2, on_incomplete=told.append)
+        return {r.run_id[-1]: (r.state, r.tries) for r in streaming.run_queue(store).collect()}
+
+    first = call([0, 1, 2], incomplete=[1])
+    assert first == {"0": ("committed", 1), "1": ("incomplete", 1), "2": ("landed", 0)}  # 2 waits for 1
+    assert call([], incomplete=[]) == {"0": ("committed", 1), "1": ("committed", 2), "2": ("committed", 1)}  # completed late
+    assert call([3, 4], incomplete=[3])["3"] == ("incomplete", 1)
+    last = call([], incomplete=[3])
+    assert last["3"] == ("given_up", 2) and last["4"] == ("committed", 1) and told == ["landing-1", "landing-3", "landing-3"]
+    assert {r.run_seq: r.run_id for r in store.runs().collect()} == {1: "landing-0", 2: "landing-1", 3: "landing-2", 4: "landing-4"}
+    moved = store.committed("changes", schemas.CHANGES).where("kind = 'price_change'").select("run_seq", "old_price_czk", "new_price_czk")
+    assert {tuple(r) for r in moved.collect()} == {(2, 20000, 20500), (3, 20500, 21000), (4, 21000, 22000)}
+
+
 def test_run_name_is_utc():
     assert run_name(datetime(2024, 5, 1, 10, 0, tzinfo=timezone(timedelta(hours=2)))) == "20240501T080000Z"
 
