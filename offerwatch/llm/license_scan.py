@@ -31,6 +31,8 @@ class Notice:
     phrase: str
     label: str
     edits: int = 0
+    #: Words that tell the notice from others like it; they have to stand as they are, edits may fall elsewhere only.
+    telling: tuple[str, ...] = ()
 
 
 # The notices that are searched for.
@@ -40,17 +42,17 @@ BASE = (
     Notice("cc by nc", "cc-by-nc"),
 )
 FUZZY = (
-    Notice("released under the mit license", "mit", 3),
+    Notice("released under the mit license", "mit", 3, ("mit",)),
     Notice("permission is hereby granted free of charge to any person", "mit", 5),
-    Notice("licensed under the apache license version 2 0", "apache-2", 4),
-    Notice("gnu general public license version 3", "gpl-3", 3),
-    Notice("gnu general public license version 2", "gpl-2", 3),
-    Notice("gnu lesser general public license", "lgpl", 3),
-    Notice("gnu affero general public license", "agpl", 3),
-    Notice("mozilla public license version 2 0", "mpl-2", 3),
+    Notice("licensed under the apache license version 2 0", "apache-2", 4, ("apache", "2")),
+    Notice("gnu general public license version 3", "gpl-3", 3, ("3",)),
+    Notice("gnu general public license version 2", "gpl-2", 3, ("2",)),
+    Notice("gnu lesser general public license", "lgpl", 3, ("lesser",)),
+    Notice("gnu affero general public license", "agpl", 3, ("affero",)),
+    Notice("mozilla public license version 2 0", "mpl-2", 3, ("mozilla", "2")),
     Notice("redistribution and use in source and binary forms", "bsd", 4),
-    Notice("licensed under cc by nc 4 0", "cc-by-nc", 2),
-    Notice("licensed under cc by sa 4 0", "cc-by-sa", 2),
+    Notice("licensed under cc by nc 4 0", "cc-by-nc", 2, ("nc",)),
+    Notice("licensed under cc by sa 4 0", "cc-by-sa", 2, ("sa",)),
     Notice("creative commons attribution noncommercial", "cc-by-nc", 4),
     Notice("all rights reserved", "all-rights-reserved", 1),
 )
@@ -120,6 +122,9 @@ class Scanner:
         for number, spans in self.candidates(plain).items():
             notice = self.fuzzy[number]
             for edits, start, end in separate(m for begin, stop in spans for m in self.matches(number, plain, begin, stop)):
+                around = plain[plain.rfind(" ", 0, start + 1) + 1 : plain.find(" ", end - 1)].split()
+                if any(word not in around for word in notice.telling):
+                    continue
                 first = max(0, plain.count(" ", 0, start + 1) - 1)
                 fuzzy.add((first, max(1, len(plain[start:end].split())), notice.label, edits, round(1 - edits / len(notice.phrase), 6)))
         return len(found), exact, best_of(exact, fuzzy)

@@ -130,6 +130,22 @@ def test_pseudonyms_in_very_long_words(spark):
     assert got[3]["text"][:600_016] == long[3][:600_016]  # more than 64 characters before the sign are no mail
 
 
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("released under the bsd license", set()), ("released under the mpl license", set()), ("releasd under the mit licence", {"mit"}),
+        ("gnu general public license version 1", set()), ("gnu generl public licence version 3", {"gpl-3"}), ("gnu general public license version 2 or later", {"gpl-2"}),
+        ("licensed under cc by nd 4 0", set()), ("licenced under cc by nc 4 0", {"cc-by-nc"}), ("licensed under cc by sa 4.0", {"cc-by-sa"}),
+        ("licensed under the apache license version 1 1", set()), ("licenced under the apache licence, version 2.0", {"apache-2"}),
+        ("gnu lesser general public licence", {"lgpl"}), ("gnu affero generl public license", {"agpl"}), ("mozilla public licence version 1 1", set()),
+    ],
+)
+def test_telling_words_of_a_notice_are_exact(text, labels):
+    own = license_scan.Scanner(license_scan.BASE, license_scan.FUZZY)
+    assert {find[2] for find in own.scan(text)[2]} == labels
+    assert {find[2] for find in own.scan(f"Words before, {text} and words behind.")[2]} == labels
+
+
 def test_hilbert_curve_steps_to_neighbours():
     points = np.stack(np.meshgrid(*[np.arange(8)] * 3), -1).reshape(-1, 3)
     keys = curve_packing.hilbert_keys(points, 3)
