@@ -3,8 +3,11 @@
 Texts with the same set of n-grams are one class, which has a signature of
 TREES labels of DEPTH minima each. A tree of the forest is the sorted list of
 one label of all classes; classes that share a prefix are neighbours in it. The
-prefix starts at full depth and is shortened, one minimum at a time, until
-pairs at the threshold share one in some tree with the target recall. Under a
+prefix starts at full depth and is shortened, one minimum at a time, until the
+target recall is reached: by a sample of classes that is compared with all
+others, and by the chance of a pair right at the threshold, of which a sample
+may hold few. The comparison notes the deepest common prefix of each pair found,
+so one pass over the signatures tells the recall of every depth. Under a
 shared prefix the whole signatures are compared, and classes that look alike
 become a group. All pairs of a group are then counted exactly on their n-grams.
 
@@ -30,7 +33,9 @@ GRAM = 5
 THRESHOLD = 0.8
 TREES = 16
 DEPTH = 8
-RECALL = 0.9995  # of pairs at the threshold, more above it
+RECALL = 0.9995  # of the audited pairs, and of pairs right at the threshold
+AUDIT = 256  # classes compared with all others
+SHORTEST = 2  # minima of a prefix that audited classes share with another class
 BLOCK = 512  # classes; a task compares two blocks at once
 #: Signatures may fall this much short of the threshold before a pair is given up: five deviations of 128 minima.
 SLACK = 5 * (THRESHOLD * (1 - THRESHOLD) / (TREES * DEPTH)) ** 0.5
@@ -39,9 +44,20 @@ SLACK = 5 * (THRESHOLD * (1 - THRESHOLD) / (TREES * DEPTH)) ** 0.5
 WORD = bytes(b if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def prefix_depth(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """The longest prefix at which a pair at the threshold meets in some tree with the recall asked for."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
+def expected(depth: int, threshold: float, trees: int = TREES) -> float:
+    """The chance that a pair at the threshold shares a prefix of `depth` minima in some tree."""
+    return 1 - (1 - threshold**depth) ** trees
+
+
+def prefix_depth(found: list[int], threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    """The longest prefix with the recall asked for.
+
+    found[d]: audited pairs whose deepest common prefix has d minima. The walk
+    ends at a prefix of one minimum at the latest; without audited pairs the
+    chance at the threshold alone decides.
+    """
+    depth, all_ = len(found) - 1, sum(found)
+    while depth > 1 and (sum(found[depth:]) < recall * all_ or expected(depth, threshold) < recall):
         depth -= 1
     return depth
 
@@ -109,6 +125,55 @@ def alike(signs: np.ndarray) -> np.ndarray:
     return same / signs.shape[1]
 
 
+def _deepest(signs: np.ndarray, sample: np.ndarray, threshold: float) -> np.ndarray:
+    """Of pairs of a row and a sampled one that look alike at the threshold: how many have each depth as their deepest common prefix."""
+    found = np.zeros(DEPTH + 1, np.int64)
+    for at in range(0, len(signs), 1024):
+        part = signs[at : at + 1024]
+        same = np.zeros((len(part), len(sample)), np.uint8)
+        for k in range(TREES * DEPTH):
+            same += part[:, k, None] == sample[None, :, k]
+        rows, columns = np.nonzero(same >= threshold * TREES * DEPTH)
+        for first in range(0, len(rows), 65536):
+            r, c = rows[first : first + 65536], columns[first : first + 65536]
+            equal = (part[r] == sample[c]).reshape(len(r), TREES, DEPTH)
+            deepest = np.logical_and.accumulate(equal, 2).sum(2).max(1)
+            found += np.bincount(deepest, minlength=DEPTH + 1)
+    return found
+
+
+def prefixes(depth: int):
+    """One number for each tree's prefix of a signature."""
+    return F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.substring(F.col("sign"), t * (4 * DEPTH) + 1, F.lit(4 * depth))))
+
+
+def audit(classes: DataFrame, threshold: float = THRESHOLD, most: int = AUDIT) -> list[int]:
+    """Links of a sample of classes to all others by their signatures: how many have each depth as their deepest common prefix.
+
+    classes: class, sign. Sampled are at most `most` classes that are the first
+    under a prefix of SHORTEST minima which other classes share, so that a large
+    group counts little more than a small one. All zeros where no class shares one.
+    """
+    shared_by = classes.select("class", F.explode(prefixes(SHORTEST)).alias("bucket")).groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("size"), F.min("class").alias("class")
+    )
+    chosen = shared_by.where("size > 1").select("class").distinct().orderBy(F.xxhash64("class"), "class").limit(most)
+    rows = classes.join(F.broadcast(chosen), "class").select("sign").collect()  # at most `most` signatures
+    if not rows:
+        return [0] * (DEPTH + 1)
+    sample = np.frombuffer(b"".join(bytes(r["sign"]) for r in rows), "<u4").reshape(len(rows), -1)
+
+    def compared(batch):
+        signs = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4").reshape(batch.num_rows, -1)
+        found = _deepest(signs, sample, threshold)
+        yield pa.RecordBatch.from_arrays([pa.array(range(DEPTH + 1), pa.int32()), pa.array(found, pa.int64())], ["depth", "n"])
+
+    counts = arrow_map(classes.select("sign"), compared, "depth int, n bigint").groupBy("depth").agg(F.sum("n").alias("n")).collect()
+    found = {r["depth"]: r["n"] for r in counts}
+    found[DEPTH] -= len(rows)  # each with itself
+    return [found.get(d, 0) for d in range(DEPTH + 1)]
+
+
 def _meet(batches, least: float):
     """Under each prefix, links between classes whose signatures are alike."""
     for table in grouped(batches, ["bucket", "i", "j"], 4096):
@@ -225,12 +290,11 @@ def join(df: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD
         F.count(F.lit(1)).alias("copies"), F.min("k2").alias("k2"), F.min_by("k1", "k2").alias("k1"), F.first("sign").alias("sign")
     )
     classes = save(classes, "classes")
-    depth = prefix_depth(threshold, TREES, DEPTH, recall)
-    prefix = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.substring(F.col("sign"), t * (4 * DEPTH) + 1, F.lit(4 * depth))))
-    trees = classes.select("class", F.explode(prefix).alias("bucket"))
+    depth = prefix_depth(audit(classes, threshold), threshold, recall)
+    trees = classes.select("class", F.explode(prefixes(depth)).alias("bucket"))
     busy = trees.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = blocks(trees.join(busy, "bucket").join(classes.select("class", "sign"), "class"), "bucket", "size", "class")
-    dealt = members.select("bucket", "i", "j", "class", "sign").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "class")
+    dealt = members.select("bucket", "i", "j", "class", "sign").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "sign", "class")
     likely = stream_map(dealt, lambda b: _meet(b, threshold - SLACK), "a binary, b binary")
     groups = components(likely, "likely").select(F.col("node").alias("class"), F.col("root").alias("group"))
     sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("size"))

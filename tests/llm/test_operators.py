@@ -317,6 +317,39 @@ def test_near_duplicates(docs, rows, empty):
     assert ngram_join.join(empty, "doc_id", "text").count() == 0
 
 
+def test_a_forest_is_as_deep_as_the_audit_allows(spark):
+    at_threshold = ngram_join.prefix_depth([0] * 9)
+    assert ngram_join.expected(at_threshold, 0.8) >= ngram_join.RECALL > ngram_join.expected(at_threshold + 1, 0.8)
+    assert ngram_join.prefix_depth([0] * 8 + [500]) == at_threshold  # pairs that agree in all say nothing about those at the threshold
+    assert ngram_join.prefix_depth([0, 0, 3, 0, 0, 0, 0, 0, 500]) == 2  # audited pairs that only a shorter prefix finds
+    assert ngram_join.prefix_depth([0] * 8 + [500], threshold=0.95) > at_threshold
+
+    generator = random.Random(4)
+    texts = []
+    for _ in range(40):
+        words = [str(generator.random()) for _ in range(60)]
+        texts += [" ".join(words[:n] + [str(generator.random())]) for n in (60, 59, 58, 55)]
+    signs = [ngram_join.signature(ngram_join.grams(t)) for t in texts]
+    classes = spark.createDataFrame([(bytes([n]), s) for n, s in enumerate(signs)], "class binary, sign binary")
+    found = ngram_join.audit(classes, 0.8, most=1000)
+
+    rows = np.frombuffer(b"".join(signs), "<u4").reshape(len(texts), ngram_join.TREES, ngram_join.DEPTH)
+    want = [0] * (ngram_join.DEPTH + 1)
+    first_of = {}
+    for n, row in enumerate(rows):
+        for t in range(ngram_join.TREES):
+            first_of.setdefault((t, row[t, : ngram_join.SHORTEST].tobytes()), []).append(n)
+    sampled = {min(group) for group in first_of.values() if len(group) > 1}
+    for a in sampled:
+        for b in range(len(texts)):
+            if a != b and (rows[a] == rows[b]).mean() >= 0.8:
+                depths = [next((d for d in range(ngram_join.DEPTH) if rows[a][t][d] != rows[b][t][d]), ngram_join.DEPTH) for t in range(ngram_join.TREES)]
+                want[max(depths)] += 1
+    assert found == want and sum(want) > 100
+    assert 0 < sum(ngram_join.audit(classes, 0.8, most=5)) < sum(want)
+    assert ngram_join.audit(classes.where("false")) == [0] * (ngram_join.DEPTH + 1)
+
+
 def test_blocks_and_patterns_count_all_pairs():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, 40).astype(np.uint64)) for _ in range(30)]
