@@ -171,6 +171,138 @@ SELECT CAST(k AS VARCHAR) AS listing_key,
 FROM t CROSS JOIN m"""
 
 
+# ------------------------------------------------------- watched detail pages
+
+#: Suppliers a part may have here; a table with fewer leaves some parts without one.
+SELLERS = 100
+
+
+def _literals(json: Column) -> Column:
+    """Strings between at-signs become bare JSON: a struct cannot hold values of several types in one field."""
+    return F.regexp_replace(json, '"@([^@]*)@"', "$1")
+
+
+def _watched_pages(spark, sf_dir) -> DataFrame:
+    """A watched page per part, sold by a supplier; some parts were asked for twice, the first time in vain."""
+    supplier = load(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    nation = load(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    seller = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    part = load(spark, sf_dir, "part").join(seller, F.col("s_suppkey") == F.col("p_partkey") % SELLERS + 1, "left")
+    k = F.col("p_partkey")
+    n = F.floor("p_retailprice").cast("string")
+
+    def nth(by: Column, *values) -> Column:
+        """The value whose place is `by`; null behind the last."""
+        return F.get(F.array(*[F.lit(v) for v in values]), by.cast("int"))
+
+    case = F.floor(k / 4) % 6
+    cost = (
+        F.when(case == 0, n).when(case == 1, F.concat(F.lit("@"), n, F.lit("@")))
+        .when(case == 2, F.concat(F.lit("+ poplatky "), n, F.lit(" Kč + el. energie 800 Kč + vratná kauce 20 000 Kč")))
+        .when(case == 3, "dle dohody")
+    )
+    prose = F.when(case == 3, F.concat(F.lit("Hezký byt. Poplatky "), n, F.lit(" Kč měsíčně."))).when(case == 4, F.repeat(F.lit("ž"), 1300)).when(case == 5, "")
+    image_no = F.sequence(F.lit(1), (k % 8).cast("int"))
+    images = F.when(k % 8 > 0, F.transform(image_no, lambda i: F.struct(
+        F.when(i == 2, F.lit("")).otherwise(F.concat(F.lit("//img/"), k.cast("string"), F.lit("-"), i.cast("string"))).alias("url"))))
+    detail = F.struct(
+        F.col("p_name").alias("name"), prose.alias("description"),
+        F.when(k % 17 == 0, None).when(k % 17 == 1, 0).otherwise(half_even(F.col("p_retailprice") * 20)).alias("priceCzk"),
+        F.when(k % 6 < 3, F.lit(333)).alias("priceCzkPerSqM"),
+        F.struct(nth(k % 4, 2, 1, 2, 3).alias("value")).alias("categoryTypeCb"),
+        F.struct(nth(k % 3, "1+kk", "2+kk").alias("name")).alias("categorySubCb"),
+        images.alias("images"),
+        F.struct(F.when(k % 3 == 0, F.col("s_name")).otherwise("").alias("name")).alias("seller"),
+        F.struct(F.when(k % 5 > 0, F.lit("office")).alias("name")).alias("premise"),
+        F.struct(
+            F.when(k % 5 == 0, STREET).when(k % 5 == 1, "").when(k % 5 > 2, F.col("s_name")).alias("street"),
+            F.col("n_name").alias("cityPart"), F.lit("Praha").alias("city"), F.when(k % 2 == 0, F.col("p_brand")).alias("district"),
+            F.when(k % 7 > 0, 50 + (k % 100) / 1000).alias("latitude"), F.when(k % 14 > 0, 14 + (k % 90) / 1000).alias("longitude"),
+        ).alias("locality"),
+        F.struct(
+            cost.alias("costOfLiving"), F.when(k % 9 > 0, F.col("p_size") + 0.5).alias("floorArea"),
+            (k % 9).alias("floorNumber"), F.when(k % 10 > 0, F.lit(9)).alias("floors"),
+            nth(k % 9, "@true@", "@false@", "@0@", "@2@", "", "ano", "@[]@", "@null@").alias("garage"),
+            nth(k % 5, "@null@", "@0@", "@3@", "@[1]@").alias("parkingLots"),
+            nth(k % 3, "@true@", "@{}@").alias("parking"),
+            F.when(k % 4 == 2, half_even(F.col("p_retailprice"))).alias("refundableDeposit"),
+        ).alias("params"),
+    )
+    status = nth(k % 13, 404, 500, None, 403, 200, 200, 429, 200, 200, 200, 200, 200, 200)
+    good = _query_page(C.DETAIL_QUERY, _literals(F.to_json(detail)))
+    body = (
+        F.when(k % 13 == 4, "<html></html>").when(k % 13 == 5, _query_page("advert", F.to_json(detail)))
+        .when(k % 13 == 7, _query_page(C.DETAIL_QUERY, F.lit("null"))).otherwise(good)
+    )
+    url = F.concat(F.lit("https://main.example/"), k.cast("string"))
+    read = _landed(part, C.MAIN_SOURCE, "watched", listing_key=k, url=url, status=status, body=F.when(status == 200, body))
+    early = _landed(
+        part.where(k % 10 < 2), C.MAIN_SOURCE, "watched", listing_key=k, url=url, status=F.lit(500),
+        fetched_at=F.lit("2023-12-31").cast("timestamp"), body=F.lit(None).cast("string"),
+    )
+    return early.unionByName(read)
+
+
+def watched_from_json(spark, sf_dir):
+    reads = main_portal.watched_reads(_watched_pages(spark, sf_dir))
+    whole = ("rent_czk", "fees_czk", "electricity_czk", "total_czk", "price_czk_per_sqm", "floor_number", "floors_total", "photo_count", "refundable_deposit_czk")
+    plain = (
+        "title", "disposition", "transaction_type", "fees_missing", "fees_source", "electricity_estimated", "garage", "parking", "floor_area_sqm",
+        "locality", "city_part", "street", "district", "description", "seller_name", "thumb", "approx_location",
+    )
+    return reads.select(
+        "listing_key", "url", "outcome", "error",
+        *[F.col(f"payload.{c}").cast("bigint").alias(c) for c in whole], *[F.col(f"payload.{c}").alias(c) for c in plain],
+        F.round("payload.lat", 6).alias("lat"), F.round("payload.lon", 6).alias("lon"),
+        F.array_join("payload.images", " ").alias("images"),
+    )
+
+
+WATCHED_FROM_JSON = f"""
+WITH b AS (
+  SELECT p.*, p_partkey AS k, p_partkey % 13 > 7 AS ok, p_partkey % 2 = 0 AS rent, p_partkey // 4 % 6 AS how, s_name, n_name,
+         'https://main.example/' || p_partkey AS url, CAST(floor(p_retailprice) AS BIGINT) AS n,
+         CASE WHEN p_partkey % 17 = 1 THEN 0 WHEN p_partkey % 17 > 1 THEN CAST(round_even(p_retailprice * 20, 0) AS BIGINT) END AS price,
+         CASE WHEN p_partkey % 9 > 0 THEN p_size + CAST(0.5 AS DOUBLE) END AS area,
+         CASE p_partkey % 5 WHEN 0 THEN '{STREET}' WHEN 1 THEN '' WHEN 2 THEN NULL ELSE s_name END AS street
+  FROM part p LEFT JOIN supplier ON s_suppkey = p_partkey % {SELLERS} + 1 LEFT JOIN nation ON n_nationkey = s_nationkey),
+c AS (SELECT *, CASE WHEN how < 4 THEN n END AS fees, CASE WHEN rent THEN CASE WHEN how = 2 THEN 800 ELSE 1500 END END AS power FROM b),
+t AS (
+  SELECT *, price + CASE WHEN rent THEN coalesce(fees, 0) + power ELSE 0 END AS total,
+         list_filter(range(1, 1 + k % 8), lambda i: i <> 2)[1:5] AS shots
+  FROM c)
+SELECT CAST(k AS VARCHAR) AS listing_key, url,
+       CASE WHEN ok THEN 'ok' ELSE ['gone', 'unreadable', 'unreadable', 'fatal', 'unreadable', 'unreadable', 'unreadable', 'unreadable'][k % 13 + 1] END AS outcome,
+       CASE k % 13 WHEN 0 THEN 'HTTP 404' WHEN 1 THEN url || ': HTTP 500' WHEN 2 THEN url || ': no answer' WHEN 3 THEN 'HTTP 403'
+         WHEN 4 THEN 'no __NEXT_DATA__ in page (HTTP 200)' WHEN 5 THEN 'estate query missing from page' WHEN 6 THEN url || ': HTTP 429'
+         WHEN 7 THEN 'estate query missing from page' END AS error,
+       CASE WHEN ok THEN price END AS rent_czk, CASE WHEN ok THEN fees END AS fees_czk, CAST(CASE WHEN ok THEN power END AS BIGINT) AS electricity_czk,
+       CAST(CASE WHEN ok THEN total END AS BIGINT) AS total_czk,
+       CAST(CASE WHEN ok THEN coalesce(CASE WHEN rent AND total <> 0 THEN round_even(total / area, 0) END, CASE WHEN k % 6 < 3 THEN 333 END) END AS BIGINT) AS price_czk_per_sqm,
+       CASE WHEN ok THEN k % 9 END AS floor_number, CAST(CASE WHEN ok AND k % 10 > 0 THEN 9 END AS BIGINT) AS floors_total,
+       CASE WHEN ok THEN k % 8 END AS photo_count,
+       CASE WHEN ok AND k % 4 = 2 THEN CAST(round_even(p_retailprice, 0) AS BIGINT) END AS refundable_deposit_czk,
+       CASE WHEN ok THEN p_name END AS title, CASE WHEN ok THEN ['1+kk', '2+kk', NULL][k % 3 + 1] END AS disposition,
+       CASE WHEN ok THEN CASE WHEN rent THEN 'pronajem' ELSE 'prodej' END END AS transaction_type,
+       CASE WHEN ok THEN fees IS NULL END AS fees_missing,
+       CASE WHEN ok THEN CASE WHEN how < 3 THEN 'field' WHEN how = 3 THEN 'text' END END AS fees_source,
+       CASE WHEN ok THEN rent AND how <> 2 END AS electricity_estimated,
+       CASE WHEN ok THEN [true, false, false, true, false, true, false, NULL, NULL][k % 9 + 1] END AS garage,
+       CASE WHEN ok THEN CASE WHEN k % 5 IN (1, 2, 3) THEN k % 5 > 1 ELSE [true, false, NULL][k % 3 + 1] END END AS parking,
+       CASE WHEN ok THEN area END AS floor_area_sqm,
+       CASE WHEN ok THEN concat_ws(', ', nullif(street, ''), n_name, 'Praha') END AS locality,
+       CASE WHEN ok THEN n_name END AS city_part, CASE WHEN ok THEN street END AS street,
+       CASE WHEN ok AND k % 2 = 0 THEN p_brand END AS district,
+       CASE WHEN ok THEN CASE how WHEN 3 THEN 'Hezký byt. Poplatky ' || n || ' Kč měsíčně.' WHEN 4 THEN repeat('ž', 1200) ELSE '' END END AS description,
+       CASE WHEN ok THEN CASE WHEN k % 3 = 0 AND s_name IS NOT NULL THEN s_name WHEN k % 5 > 0 THEN 'office' END END AS seller_name,
+       CASE WHEN ok AND k % 8 > 0 THEN 'https://img/' || k || '-1{C.THUMB_SUFFIX}' END AS thumb,
+       CASE WHEN ok THEN false END AS approx_location,
+       CASE WHEN ok AND k % 7 > 0 THEN round(50 + (k % 100) / CAST(1000 AS DOUBLE), 6) END AS lat,
+       CASE WHEN ok AND k % 14 > 0 THEN round(14 + (k % 90) / CAST(1000 AS DOUBLE), 6) END AS lon,
+       CASE WHEN ok THEN array_to_string(list_transform(shots, lambda i: 'https://img/' || k || '-' || i || '{C.FULL_SUFFIX}'), ' ') END AS images
+FROM t"""
+
+
 # ---------------------------------------------------------------- second portal
 
 
@@ -371,6 +503,7 @@ FROM ({OFFERS_FROM_CARDS})"""
 
 QUERIES = {
     "offers_from_json": offers_from_json,
+    "watched_from_json": watched_from_json,
     "offers_from_nodes": offers_from_nodes,
     "ref_lookup": ref_lookup,
     "offers_from_cards": offers_from_cards,
@@ -379,6 +512,7 @@ QUERIES = {
 
 ORACLES = {
     "offers_from_json": OFFERS_FROM_JSON,
+    "watched_from_json": WATCHED_FROM_JSON,
     "offers_from_nodes": OFFERS_FROM_NODES,
     "ref_lookup": """
         SELECT s_suppkey, CASE WHEN known THEN CASE WHEN s_nationkey % 3 <> 0 THEN 't-' ELSE 'm-' END || n_name END AS thumb,
