@@ -60,8 +60,8 @@ obs AS (
   WHERE rn = 1),
 bounds AS (SELECT max(run_seq) AS n FROM obs)"""
 
-# Events of the whole history by looking one and two runs back and ahead.
-CHANGES_SQL = f"""{OBS_SQL},
+# Events of the whole history by looking one and two runs back and ahead, given `obs` and `bounds`.
+EVENTS_SQL = """
 sided AS (
   SELECT o.*, n, b1.run_seq AS r1, b2.run_seq AS r2,
          CASE WHEN b1.run_seq IS NOT NULL THEN b1.price_czk ELSE b2.price_czk END AS old_price,
@@ -83,6 +83,8 @@ changes AS (
   SELECT run_seq + 2, 'removed', listing_key, NULL, NULL, NULL, run_seq + 1, run_seq + 2, price_czk
   FROM sided WHERE s1 IS NULL AND s2 IS NULL AND run_seq + 2 <= n)"""
 
+CHANGES_SQL = f"{OBS_SQL},{EVENTS_SQL}"
+
 
 def money_sql(value: str, group: str = "' '") -> str:
     return f"(CASE WHEN {value} IS NULL THEN '—' ELSE replace(format('{{:,}}', CAST({value} AS BIGINT)), ',', {group}) || ' Kč' END)"
