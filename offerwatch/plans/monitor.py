@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +36,9 @@ WATCHED_CHANGES = schemas.struct(
     "run_seq bigint, listing_key string, old_total_czk bigint, new_total_czk bigint, at timestamp"
 )
 
+#: How far back the newest events of a run reach: runs with events, newest first; `whole` if there are no others.
+HISTORY_REACH = schemas.struct("run_seq bigint, whole boolean").add("runs", T.ArrayType(schemas.struct("run_seq bigint, events bigint")))
+
 RUN_KEY = ["run_id", "run_seq", "listing_key"]
 
 
@@ -150,6 +153,7 @@ def run(
     changes = schemas.conform(dated, schemas.CHANGES, {})
     store.write_run("changes", changes, run_seq)
     changes = store.of_run("changes", schemas.CHANGES, run_seq)
+    store.write_run("history_reach", history_reach(store, changes, watched_changes, run_seq, cfg.history_cap), run_seq)
     waiting = diff.pending_strict(store.read_or_empty("listings", schemas.LISTING), store.of_run("source_states", diff.SOURCE_STATE, run_seq)) if cfg.strict else diff.pending(recent, run_seq)
     store.write_run("pending", waiting, run_seq)
 
@@ -195,11 +199,38 @@ def write_marts(store, current, changes, states, watched_changes, reads, run_seq
     store.write_run("mart_history", shown, run_seq)
 
 
+def _cut(runs: Column, cap: int) -> Column:
+    """The newest of `runs` that hold `cap` events together, or all if they hold fewer."""
+    start = F.struct(F.lit(0).cast("bigint").alias("held"), F.slice(runs, 1, 0).alias("kept"))
+
+    def add(so_far, run):
+        kept = F.when(so_far["held"] < cap, F.concat(so_far["kept"], F.array(run))).otherwise(so_far["kept"])
+        return F.struct((so_far["held"] + run["events"]).alias("held"), kept.alias("kept"))
+
+    return F.aggregate(runs, start, add, lambda so_far: so_far["kept"])
+
+
+def history_reach(store: Store, changes: DataFrame, watched_changes: DataFrame, run_seq: int, cap: int) -> DataFrame:
+    """The reach of a run from that of the run before and its own number of events: a row of at most `cap` runs.
+
+    The first run has no events before it. A store whose earlier runs have no
+    reach stored starts with one that is not whole.
+    """
+    own = changes.select("run_seq").unionByName(watched_changes.select("run_seq")).agg(F.count(F.lit(1)).alias("events"))
+    kind = HISTORY_REACH["runs"].dataType
+    here = F.when(F.col("events") > 0, F.array(F.struct(F.lit(run_seq).cast("bigint").alias("run_seq"), "events")))
+    before = store.of_run("history_reach", HISTORY_REACH, run_seq - 1).select("whole", "runs")
+    every = F.concat(F.coalesce(here, F.array()).cast(kind), F.coalesce("runs", F.array().cast(kind)))
+    whole = F.coalesce("whole", F.lit(run_seq == 1)) & (F.size(_cut(every, cap)) == F.size(every))
+    return own.join(before, F.lit(True), "left").select(F.lit(run_seq).cast("bigint").alias("run_seq"), whole.alias("whole"), _cut(every, cap).alias("runs"))
+
+
 def newest_history(store: Store, run_seq: int, cap: int) -> DataFrame:
     """The newest events up to a run, out of all that were ever stored.
 
-    A top-k over narrow columns tells how far back they reach; only those runs are
-    then read with their items.
+    The run's stored reach tells which runs hold them; no older folder is
+    opened. Where it falls short (the cap was raised since, or the run is older
+    than reaches are), a top-k over narrow columns of all runs tells it.
     """
 
     def events(first: int, *columns: str) -> DataFrame:
@@ -208,5 +239,8 @@ def newest_history(store: Store, run_seq: int, cap: int) -> DataFrame:
         found = marts.history_events(changes, watched)
         return marts.newest_events(found.select(*columns) if columns else found, cap)
 
+    reach = store.of_run("history_reach", HISTORY_REACH, run_seq).select("whole", _cut(F.col("runs"), cap).alias("runs")).first()
+    if reach and (reach["whole"] or sum(r["events"] for r in reach["runs"]) >= cap):
+        return events(min((r["run_seq"] for r in reach["runs"]), default=run_seq))
     first = events(1, "run_seq", "kind_order", "ordinal", "listing_key").agg(F.min("run_seq")).first()[0]
     return events(first or run_seq)

@@ -143,6 +143,40 @@ def test_history_has_times_and_what_is_watched_now(stored, spark):
     assert not rows[(4, "bez-1")].is_live and rows[(4, "bez-1")].item is not None
 
 
+def test_newest_events_open_only_the_runs_that_hold_them(stored, spark):
+    store, _ = stored
+    held = {1: (True, []), 2: (True, [(2, 2)]), 3: (True, [(3, 3), (2, 2)]), 4: (True, [(4, 2), (3, 3), (2, 2)])}
+    reach = store.committed("history_reach", monitor.HISTORY_REACH).collect()
+    assert {r.run_seq: (r.whole, [tuple(x) for x in r.runs]) for r in reach} == held
+    every = [(4, "new", "2"), (4, "removed", "bez-1"), (3, "price_change", "1"), (3, "price_change", "5"), (3, "removed", "2"),
+             (2, "price_change", "1"), (2, "new", "3")]
+    for cap, first in ((1, 4), (2, 4), (3, 3), (5, 3), (6, 2), (7, 2), (300, 2)):
+        found = monitor.newest_history(store, 4, cap)
+        assert [(r.run_seq, r.kind, r.listing_key) for r in found.collect()] == every[:cap]
+        plan = found._jdf.queryExecution().toString()
+        assert f"run_seq >= {first})" in plan or f">= {first})" in plan, plan
+    # a run without events takes over what the one before reached
+    nothing = schemas.empty(spark, schemas.CHANGES), schemas.empty(spark, monitor.WATCHED_CHANGES)
+    row = monitor.history_reach(store, *nothing, 5, 4).first()
+    assert (row.whole, [tuple(x) for x in row.runs]) == (False, [(4, 2), (3, 3)])
+
+
+def test_newest_events_with_a_cap_that_was_raised_or_without_a_reach(spark):
+    store = Store(spark, work_dir(spark, "reach"))
+    changed = [(n, "new", f"k{i}") for n in range(1, 6) for i in range(3)]
+    for n in range(1, 6):
+        rows = spark.createDataFrame([c for c in changed if c[0] == n], "run_seq bigint, kind string, listing_key string")
+        changes, watched = schemas.conform(rows, schemas.CHANGES, {}), schemas.empty(spark, monitor.WATCHED_CHANGES)
+        store.write_run("changes", changes, n)
+        if n > 1:  # the first run is older than reaches are
+            store.write_run("history_reach", monitor.history_reach(store, changes, watched, n, 4), n)
+    newest = sorted(changed, key=lambda c: (-c[0], c[2]))
+    for cap in (2, 4, 10, 14, 100):
+        assert [(r.run_seq, r.kind, r.listing_key) for r in monitor.newest_history(store, 5, cap).collect()] == newest[:cap]
+    last = store.of_run("history_reach", monitor.HISTORY_REACH, 5).first()
+    assert (last.whole, [tuple(x) for x in last.runs]) == (False, [(5, 3), (4, 3)])
+
+
 def test_watch_list_drives_the_run(spark):
     """Read, read, no page, gone: the state survives the run without a page."""
     root = work_dir(spark, "list-run")
