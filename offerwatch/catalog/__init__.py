@@ -4,9 +4,9 @@ A query maps a table onto listings, pages or runs and then calls the library; th
 SQL derives the rows from the base tables in its own way.
 """
 
-from offerwatch.catalog import changes, costs, landings, offers, places, texts, watching
+from offerwatch.catalog import changes, costs, landings, offers, places, serving, texts, watching
 
-MODULES = (changes, costs, texts, offers, places, watching, landings)
+MODULES = (changes, costs, texts, offers, places, watching, serving, landings)
 
 
 def queries():
