@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from offerwatch import config as C
 from offerwatch import schemas
 from offerwatch.catalog.tables import CHANGES_SQL, OBS_SQL, load, money_sql, observations
-from offerwatch.operators import diff, stats
+from offerwatch.operators import diff, run_stats, stats
 from offerwatch.operators.dedup import keep_last_in_first_place
 from offerwatch.plans import marts
 from offerwatch.plans.store import Store
@@ -325,6 +325,17 @@ SELECT run_seq, kind, listing_key, old_price_czk, new_price_czk,
 FROM changes"""
 
 
+def price_stats_by_run(spark, sf_dir):
+    """Statistics of every run from the stored changes of values; a third of the listings have no type."""
+    obs = observations(spark, sf_dir)
+    key = F.col("listing_key").cast("bigint")
+    typed = obs.withColumn("transaction_type", F.when(key % 3 == 0, C.RENT).when(key % 3 == 1, C.SALE))
+    last_run = obs.agg(F.max("run_seq")).first()[0] or 0
+    path = f"{work_dir(spark, 'value-changes')}/value_changes"
+    run_stats.value_changes(typed, ["transaction_type"], "price_czk", last_run).write.parquet(path)
+    return run_stats.price_stats_by_run(spark.read.parquet(path), ["transaction_type"], "price_czk", last_run)
+
+
 QUERIES = {
     "snapshot_diff": snapshot_diff,
     "snapshot_diff_pair": snapshot_diff_pair,
@@ -342,6 +353,7 @@ QUERIES = {
     "store_roundtrip": store_roundtrip,
     "snapshot_diff_stream": snapshot_diff_stream,
     "snapshot_diff_strict_stream": snapshot_diff_strict_stream,
+    "price_stats_by_run": price_stats_by_run,
 }
 
 ORACLES = {
@@ -392,4 +404,10 @@ ORACLES = {
                strftime(TIMESTAMP '2024-01-01' + to_hours(CAST(missing_since_seq * 8 AS INTEGER)), '%Y-%m-%d %H') AS missing_since,
                strftime(TIMESTAMP '2024-01-01' + to_hours(CAST(removed_since_seq * 8 AS INTEGER)), '%Y-%m-%d %H') AS removed_since
         FROM ({SNAPSHOT_DIFF_STRICT})""",
+    "price_stats_by_run": f"""
+        WITH {OBS_SQL}
+        SELECT run_seq, CASE CAST(listing_key AS BIGINT) % 3 WHEN 0 THEN '{C.RENT}' WHEN 1 THEN '{C.SALE}' END AS transaction_type,
+               CAST(round_even(median(price_czk), 0) AS BIGINT) AS median_per_sqm,
+               CAST(round_even(avg(price_czk), 0) AS BIGINT) AS avg_per_sqm, count(*) AS n
+        FROM obs WHERE price_czk <> 0 GROUP BY ALL""",
 }
