@@ -71,5 +71,5 @@ def test_search_reads_postings_of_the_rarest_letters(many):
     assert "vyt" not in serving.rarest("žižkov byt") and len(serving.rarest("žižkov byt")) == 3
     assert serving.rarest("qqqq") == []
     plan = serving.search("byt")._jdf.queryExecution().toString()
-    assert "postings" in plan and ("In(gram" in plan or "EqualTo(gram,byt)" in plan)
+    assert "EqualTo(gram,byt)" in plan  # of what a search reads, only postings have letters
     assert "StringStartsWith(gram,a)" in serving.search("a")._jdf.queryExecution().toString()
