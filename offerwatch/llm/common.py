@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import os
 import tempfile
@@ -32,10 +33,12 @@ def _archive() -> str:
 
 
 _tools: dict = {}
+_asked: list = []
 
 
 def tool(key, make: Callable):
     """What a worker keeps from task to task. It keeps one tool at a time, so that the memos of an earlier operator are let go."""
+    _asked[:] = [key]
     if key not in _tools:
         _tools.clear()
         _tools[key] = make()
@@ -71,21 +74,57 @@ def ship(spark: SparkSession) -> None:
         spark.sparkContext.addPyFile(_archive())
 
 
+#: Bytes of a record batch that are worked on at once.
+SLICE = 1 << 22
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about `SLICE` bytes, one row at least."""
+    rows = max(1, batch.num_rows * SLICE // max(batch.nbytes, 1))
+    for start in range(0, batch.num_rows, rows):
+        yield batch.slice(start, rows)
+
+
+def let_go(asked: bool) -> None:
+    """Give back what a worker holds and does not need for its next task; its tool too, if the last one did without."""
+    if not asked:
+        _tools.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """`function` over a partition. Workers stay for later tasks, and several of them share an executor's memory, so
+    each one lets go at the end of a task."""
+
+    def over(batches):
+        _asked.clear()
+        try:
+            yield from function(batches)
+        finally:
+            let_go(bool(_asked))
+
+    return over
+
+
 def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """`function` over each record batch of `df`."""
+    """`function` over runs of rows of each record batch of `df`."""
     ship(df.sparkSession)
 
     def over(batches):
         for batch in batches:
-            yield from function(batch)
+            for some in slices(batch):
+                yield from function(some)
 
-    return df.mapInArrow(over, schema)
+    return df.mapInArrow(lean(over), schema)
 
 
 def stream_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """`function` over the batches of a partition, in their order."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(lean(function), schema)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

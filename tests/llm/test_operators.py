@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from tokenizers import Tokenizer
 from offerwatch.llm import (
     bpe_codec,
     byte_cnn,
+    common,
     curve_packing,
     feistel_pii,
     fm_index,
@@ -119,6 +121,19 @@ def test_stretches_have_the_ids_of_whole_texts():
         assert words.ids(text).tolist() == own.encode(text, add_special_tokens=False).ids, text
 
 
+def test_batches_are_worked_on_in_runs_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(common, "SLICE", 100)
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * 40] * 9 + ["y" * 900])], ["t"])
+    runs = list(common.slices(batch))
+    assert len(runs) == 10 and pa.Table.from_batches(runs).combine_chunks().to_batches()[0].equals(batch)
+    assert list(common.slices(batch.slice(0, 0))) == []
+    common.tool("kept", dict)
+    list(common.lean(lambda batches: (common.tool("kept", dict) and b or b for b in batches))([batch]))
+    assert "kept" in common._tools
+    list(common.lean(iter)([batch]))  # a task without a tool lets it go
+    assert not common._tools
+
+
 def test_pseudonyms_in_very_long_words(spark):
     long = ["a1" * 500_000, "9" * 1_000_000, "a@" * 300_000, "x." * 300_000 + "a1@b.example.com " + "y" * 63 + "1@b.example.com", "1-" * 300_000, "+1 " * 200_000, "@" + "a." * 300_000]
     frame = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string").repartition(7)
