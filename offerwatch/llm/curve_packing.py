@@ -12,19 +12,21 @@ import functools
 import re
 import struct
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from offerwatch.llm.common import arrow_map, save, stream_map, tool
+from offerwatch.llm.common import arrow_map, save, slices, stream_map, tool
 
 LENGTH = 4096
 END = 2
-#: Remembered pieces of text of a worker before it forgets them all, and the longest such piece.
+#: Remembered pieces of text of a worker before it forgets those not asked for lately, and the longest such piece.
 MEMO = 200_000
 MEMO_CHARS = 64
 BUCKETS = 1024
@@ -32,59 +34,105 @@ DIMS = 3
 BITS = 10
 
 
-class Words(dict):
-    """Ids of the stretches between spaces and line ends, as bytes of 32-bit numbers, worked out when first asked for.
+class Recent(dict):
+    """Ids of the pieces asked for lately, as bytes of 32-bit numbers: what was not asked for while `MEMO` / 2 others were is forgotten."""
+
+    def __init__(self, ids: Callable[[str], list[int]]):
+        super().__init__()
+        self.ids, self.old = ids, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.old.get(piece)
+        if found is None:
+            ids = self.ids(piece)
+            found = struct.pack(f"<{len(ids)}I", *ids)
+        if len(piece) <= MEMO_CHARS:
+            if len(self) >= MEMO // 2:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = found
+        return found
+
+
+def gathered(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of pieces one after the other, and how many each has."""
+    return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) >> 2
+
+
+def chosen(pool: np.ndarray, sizes: np.ndarray, picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of `pool` (of `sizes`, one after the other) that `picks` names, one after the other, and how many items are before each and in all."""
+    starts, lengths = np.cumsum(sizes) - sizes, sizes[picks]
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    kind = np.int32 if max(len(pool), ends[-1]) < 1 << 31 else np.int64
+    place = np.repeat((starts[picks] - ends[:-1]).astype(kind), lengths)
+    place += np.arange(len(place), dtype=kind)
+    return pool[place], ends
+
+
+class Words:
+    """Ids of texts by the stretches between spaces and line ends.
 
     The tokenizer drops white space and looks at each such stretch by itself.
     Stretches of Latin letters and ASCII are split here as its pattern does, so
     that its model, asked for a single word, need not make its offsets; all
     others go through the whole tokenizer, and so do those with an added token in
     them, which the tokenizer finds before all else.
+
+    Texts are taken many at a time: each different stretch is split once, and
+    each different part of them looked up once.
     """
 
-    PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-    PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+    PLAIN = r"^[!-~À-ÖØ-öø-ÿ]+$"
+    PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+"
 
     def __init__(self, path: str):
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         if any(any(c.isspace() for c in token) for token in added):
             raise ValueError("an added token reaches over white space, so stretches cannot be encoded by themselves")
-        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
-        self.parts: dict[str, bytes] = {}
+        self.added = "|".join(map(re.escape, added))
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = iter(range(256, 512))
         self.letter = [chr(b) if b in set(printable) else chr(next(others)) for b in range(256)]
-
-    @staticmethod
-    def as_bytes(ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def part(self, word: str) -> bytes:
-        found = self.parts.get(word)
-        if found is None:
-            written = word if word.isascii() else "".join([self.letter[b] for b in word.encode()])
-            found = self.as_bytes([t.id for t in self.tokenizer.model.tokenize(written)])
-            if len(self.parts) >= MEMO:
-                self.parts.clear()
-            self.parts[word] = found
-        return found
-
-    def __missing__(self, stretch: str) -> bytes:
-        if self.PLAIN.fullmatch(stretch) and not self.added.search(stretch):
-            small = stretch.lower()
-            found = self.part(small) if small.isalpha() else b"".join([self.part(p) for p in self.PARTS.findall(small)])
-        else:
-            found = self.as_bytes(self.tokenizer.encode(stretch, add_special_tokens=False).ids)
-        if len(stretch) <= MEMO_CHARS:
-            if len(self) >= MEMO:
-                self.clear()
-            self[stretch] = found
-        return found
+        self.parts, self.others = Recent(self.of_part), Recent(self.of_other)
+
+    def of_part(self, part: str) -> list[int]:
+        written = part if part.isascii() else "".join([self.letter[b] for b in part.encode()])
+        return [t.id for t in self.tokenize(written)]
+
+    def of_other(self, stretch: str) -> list[int]:
+        return self.tokenizer.encode(stretch, add_special_tokens=False).ids
+
+    def of_stretches(self, stretches: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of stretches one after the other, and how many each has."""
+        plain = pc.match_substring_regex(stretches, self.PLAIN)
+        if self.added:
+            plain = pc.and_not(plain, pc.match_substring_regex(stretches, self.added))
+        # a space after each part makes an empty part at the end, which has no ids
+        split = pc.split_pattern(pc.replace_substring_regex(pc.utf8_lower(stretches.filter(plain)), self.PARTS, r"\0 "), " ")
+        parts = split.flatten().dictionary_encode()
+        ids, ends = chosen(*gathered([self.parts[p] for p in parts.dictionary.to_pylist()]), parts.indices.to_numpy())
+        other_ids, other_sizes = gathered([self.others[s] for s in stretches.filter(pc.invert(plain)).to_pylist()])
+        plain = plain.to_numpy(zero_copy_only=False)
+        sizes = np.empty(len(plain), np.int64)
+        sizes[plain] = np.diff(ends[split.offsets.to_numpy()])
+        sizes[~plain] = other_sizes
+        merged = np.empty(len(ids) + len(other_ids), "<u4")
+        of_plain = np.repeat(plain, sizes)
+        merged[of_plain], merged[~of_plain] = ids, other_ids
+        return merged, sizes
 
     def ids(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))), "<u4")
+        return self.of_texts(pa.array([text]))[0]
+
+    def of_texts(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text; a null one has none."""
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        stretches = split.flatten().dictionary_encode()
+        ids, ends = chosen(*self.of_stretches(stretches.dictionary), stretches.indices.to_numpy())
+        bounds = ends[split.offsets.to_numpy()]
+        return [ids[i:j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def words(path: str) -> Words:
@@ -136,11 +184,10 @@ def tokenised(df: DataFrame, id_col: str, text_col: str, path: str, end: int) ->
         own = words(path)
         row = TaskContext.get().partitionId() << 33
         small = own.tokenizer.get_vocab_size() <= 1 << 16
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
+        for batch in (some for batch in batches for some in slices(batch)):
+            texts = batch.column(1)
             points, counts, data = np.zeros((len(texts), DIMS), np.int64), [], []
-            for i, text in enumerate(texts):
-                ids = own.ids(text or "")
+            for i, ids in enumerate(own.of_texts(texts)):
                 points[i] = cell(ids)
                 counts.append(len(ids) + 1)
                 data.append(np.append(ids, np.uint32(end)).astype("<u2" if small else "<u4").tobytes())

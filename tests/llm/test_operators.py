@@ -121,6 +121,17 @@ def test_stretches_have_the_ids_of_whole_texts():
         assert words.ids(text).tolist() == own.encode(text, add_special_tokens=False).ids, text
 
 
+def test_words_of_many_texts_are_looked_up_together(monkeypatch):
+    monkeypatch.setattr(curve_packing, "MEMO", 8)
+    own, words, asked = Tokenizer.from_file(WORDS), curve_packing.Words(WORDS), []
+    part = words.parts.ids
+    words.parts.ids = lambda p: asked.append(p) or part(p)
+    texts = ["Often, rare%s often été's 漢 <|endoftext|>\n" % chr(97 + i) for i in range(20)] + [None, ""]
+    got = words.of_texts(pa.array(texts))
+    assert [g.tolist() for g in got] == [own.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert len(asked) == len(set(asked))  # each part once, though only eight are remembered
+
+
 def test_batches_are_worked_on_in_runs_of_rows(spark, monkeypatch):
     monkeypatch.setattr(common, "SLICE", 100)
     batch = pa.RecordBatch.from_arrays([pa.array(["x" * 40] * 9 + ["y" * 900])], ["t"])
