@@ -189,7 +189,7 @@ def watchlist_run(spark, sf_dir):
         F.lit("add").alias("op"), F.concat(F.lit("https://main/detail/"), "key", F.lit("/")).alias("arg"), F.lit(2).alias("ts")
     )
     landed = _reads(spark, sf_dir)
-    last = landed.agg(F.max("run_seq")).scalar()
+    last = load(spark, sf_dir, "events").agg(F.max(run_number(F.col("ts")))).scalar()
     spans = [(F.lit(1), F.least(F.lit(30), last)), (F.lit(31), F.least(F.lit(60), last)), (F.lit(61), last)]
     listed = None
     for edits, (low, high) in zip([None, leaving, back], spans, strict=True):
@@ -200,7 +200,7 @@ def watchlist_run(spark, sf_dir):
         listed = version if listed is None else listed.unionByName(version)
     listed = listed.withColumn("fetched_at", F.date_format(run_time(F.col("run_seq")), "yyyy-MM-dd HH:mm:ss"))
     reads = watch.reads_of_list(listed, landed)
-    states = watch.carry_forward(reads).join(reads.select("run_seq", "listing_key", "url"), ["run_seq", "listing_key"])
+    states = watch.carry_forward(reads, along=("url",))
     return states.select(*_STATE, "url", F.col("payload.total_czk").alias("total_czk"))
 
 

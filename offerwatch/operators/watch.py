@@ -85,7 +85,7 @@ def reads_of_list(listed: DataFrame, reads: DataFrame) -> DataFrame:
 # --------------------------------------------------------------- carry-forward
 
 
-def carry_forward(reads: DataFrame, block: int = RUNS_PER_BLOCK) -> DataFrame:
+def carry_forward(reads: DataFrame, block: int = RUNS_PER_BLOCK, along: tuple[str, ...] = ()) -> DataFrame:
     """State of every watched listing after every run.
 
     `reads` has one row per run_seq and listing_key: outcome (ok, gone,
@@ -99,6 +99,9 @@ def carry_forward(reads: DataFrame, block: int = RUNS_PER_BLOCK) -> DataFrame:
     in two levels so that no task holds a listing's whole history: rows are
     windowed within blocks of runs, each block sends one summary row on, and a
     window over the summaries brings in what earlier blocks ended with.
+
+    Columns of the reads named in `along` stay with their state, so that nobody
+    has to join the reads to it again.
     """
     home = F.floor(F.col("run_seq") / block)
     # one run of overlap shows the first row of a block whether the run before is there
@@ -125,7 +128,7 @@ def carry_forward(reads: DataFrame, block: int = RUNS_PER_BLOCK) -> DataFrame:
     )
     upto = by_block.rowsBetween(Window.unboundedPreceding, 0)
     local = marked.select(
-        "run_seq", "listing_key", "outcome", "fetched_at", "error", "_block",
+        "run_seq", "listing_key", "outcome", "fetched_at", "error", "_block", *along,
         *[F.last(f"{n}_here", ignorenulls=True).over(upto).alias(f"{n}_in") for n in values],
     ).where(at_home)
     ends = local.groupBy("listing_key", "_block").agg(
@@ -138,7 +141,7 @@ def carry_forward(reads: DataFrame, block: int = RUNS_PER_BLOCK) -> DataFrame:
         *[F.last(F.col(f"_end.{n}_in"), ignorenulls=True).over(earlier).alias(f"{n}_before") for n in values],
     )
     seen = local.join(carried, ["listing_key", "_block"]).select(
-        "run_seq", "listing_key", "outcome", "fetched_at", "error",
+        "run_seq", "listing_key", "outcome", "fetched_at", "error", *along,
         *[F.coalesce(f"{n}_in", f"{n}_before").alias(n) for n in values],
     )
 
@@ -162,6 +165,7 @@ def carry_forward(reads: DataFrame, block: int = RUNS_PER_BLOCK) -> DataFrame:
         F.when(failed, F.col("error")).alias("fetch_error"),
         F.when(failed, F.col("fetched_at")).alias("fetch_error_at"),
         F.col("_ok_now.payload").alias("payload"),
+        *along,
     )
 
 

@@ -130,3 +130,14 @@ def test_watchlist_edits(spark):
     assert got == {("7", "u7"), ("1", "https://x/detail/1"), ("9", "https://x/9")}
     again = watch.apply_edits(spark.createDataFrame(list(got), listed.schema), usable)
     assert {tuple(r) for r in again.collect()} == got
+
+
+def test_columns_along_stay_with_their_state_without_another_join(spark):
+    rows = [(run, key, "ok" if run % 3 else "unreadable", f"{run:02}", None, run if run % 3 else None, f"{key}{run}") for run in (1, 2, 3, 5, 6, 7) for key in "ab"]
+    reads = spark.createDataFrame(rows, "run_seq long, listing_key string, outcome string, fetched_at string, error string, payload long, url string")
+    plain, along = watch.carry_forward(reads, 2), watch.carry_forward(reads, 2, along=("url",))
+    assert along.columns == [*plain.columns, "url"]
+    assert sorted(along.drop("url").collect(), key=str) == sorted(plain.collect(), key=str)
+    assert {(r["run_seq"], r["listing_key"]): r["url"] for r in along.collect()} == {(r[0], r[1]): r[6] for r in rows}
+    exchanges = [d._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for d in (plain, along)]
+    assert exchanges[0] == exchanges[1]
