@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerwatch import config as C
-from offerwatch.catalog.tables import load
+from offerwatch.catalog.tables import dealt, load
 from offerwatch.functions.costs import half_even
 from offerwatch.operators import enrich
 from offerwatch.plans import monitor
@@ -51,8 +51,9 @@ def _landed(df: DataFrame, source: str, kind: str, **columns: Column) -> DataFra
 
 
 def _parts(spark, sf_dir) -> DataFrame:
-    """Parts with a nation as their part of town."""
+    """Parts with a nation as their part of town, those of a page together."""
     part, nation = load(spark, sf_dir, "part"), load(spark, sf_dir, "nation")
+    part = dealt(part.withColumn("_page", F.floor(F.col("p_partkey") / PER_PAGE)), "_page")
     return part.join(nation, part["p_size"] % 25 == nation["n_nationkey"], "left")
 
 
@@ -80,7 +81,7 @@ def _main_pages(spark, sf_dir) -> DataFrame:
         images.alias("images"),
     )
     # at most PER_PAGE results share a page
-    pages = parts.groupBy(tx.alias("tx"), F.floor(k / PER_PAGE).alias("_page")).agg(
+    pages = parts.groupBy(tx.alias("tx"), "_page").agg(
         F.array_sort(F.collect_list(F.struct(k.alias("k"), F.to_json(result).alias("json")))).alias("_results")
     )
     data = F.concat(
@@ -187,7 +188,7 @@ def _watched_pages(spark, sf_dir) -> DataFrame:
     supplier = load(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     nation = load(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     seller = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"), "left")
-    part = load(spark, sf_dir, "part").join(seller, F.col("s_suppkey") == F.col("p_partkey") % SELLERS + 1, "left")
+    part = dealt(load(spark, sf_dir, "part"), "p_partkey").join(seller, F.col("s_suppkey") == F.col("p_partkey") % SELLERS + 1, "left")
     k = F.col("p_partkey")
     n = F.floor("p_retailprice").cast("string")
 

@@ -13,6 +13,19 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a driver table that one task turns into pages.
+ROWS_PER_TASK = 10_000
+
+
+def dealt(df: DataFrame, by: str) -> DataFrame:
+    """Rows dealt out by a column, to as many tasks as there are rows for.
+
+    Pages are a hundred times as wide as the rows they are made from. Whoever
+    reads a small file in one scan task would make and sort all pages there.
+    """
+    return df.repartition(-(-df.count() // ROWS_PER_TASK) or 1, by)
+
+
 def run_number(ts: Column) -> Column:
     """Eight-hour runs, counted from the start of 2024."""
     day = F.date_diff(ts.cast("date"), F.lit("2024-01-01").cast("date"))

@@ -1,5 +1,6 @@
 from offerwatch import config as C
 from offerwatch import schemas
+from offerwatch.catalog import offers, tables
 from offerwatch.functions import html
 from offerwatch.operators import completeness, enrich
 from offerwatch.plans import monitor
@@ -240,3 +241,15 @@ def test_ordinals_of_long_searches_keep_apart(spark):
     df = spark.createDataFrame([("pronajem", 2_000_000, 0), ("pronajem", 1, 3_000_000), ("prodej", 1, 0)], "tx string, page int, pos int")
     got = df.select(result_ordinal(C.MAIN_SOURCE, F.col("tx"), F.col("page"), F.col("pos")).alias("o")).collect()
     assert got[1].o < got[0].o < got[2].o
+
+
+def rows_of_largest_task(pages):
+    return pages.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+
+
+def test_main_pages_are_made_in_as_many_tasks_as_there_are_parts_for(spark, monkeypatch):
+    # one file of parts is one scan task; the details made there were also sorted there
+    monkeypatch.setattr(tables, "ROWS_PER_TASK", 20, raising=False)
+    n = tables.load(spark, "/root/testdata/sf0.001", "part").count()
+    for pages in (offers._main_pages, offers._watched_pages):
+        assert rows_of_largest_task(pages(spark, "/root/testdata/sf0.001").where("kind <> 'search'")) < n / 2
