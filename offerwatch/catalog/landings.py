@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from offerwatch import config as C
 from offerwatch import schemas
 from offerwatch.catalog.offers import PER_PAGE, _landed, _query_page
-from offerwatch.catalog.tables import EVENTS_SQL, load, money_sql
+from offerwatch.catalog.tables import EVENTS_SQL, dealt, load, money_sql
 from offerwatch.functions.costs import half_even
 from offerwatch.plans import monitor
 from offerwatch.plans.store import Store
@@ -38,6 +38,8 @@ def _search_pages(spark, sf_dir) -> DataFrame:
         "tx": F.when(F.col("p_partkey") % 2 == 0, C.RENT).otherwise(C.SALE),
         "_page": (F.floor(F.col("p_partkey") / (2 * PER_PAGE)) + 1).cast("int"),
     })
+    totals = part.groupBy("tx").agg(F.count(F.lit(1)).alias("total"))
+    part = dealt(part, "_page")
     k, n = F.col("p_partkey"), F.col("n")
     code = F.when(k % 3 == 0, 2).when(k % 3 == 1, 4).otherwise(9)
     result = F.struct(
@@ -46,12 +48,11 @@ def _search_pages(spark, sf_dir) -> DataFrame:
         (_base_price() + F.floor((k + n) / 5) * 1000).alias("priceCzk"),
         F.struct(code.alias("value"), F.when(k % 3 == 0, "1+kk").otherwise("2+kk").alias("name")).alias("categorySubCb"),
     )
-    totals = part.groupBy("tx").agg(F.count(F.lit(1)).alias("total"))
     shown = part.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(LANDINGS - 1)))).where(_seen(k, n))
-    # at most PER_PAGE results share a page
+    # at most PER_PAGE results share a page; there are two totals, too few keys to shuffle the pages by
     pages = shown.groupBy("n", "tx", "_page").agg(
         F.array_sort(F.collect_list(F.struct(k.alias("k"), F.to_json(result).alias("json")))).alias("_results")
-    ).join(totals, "tx")
+    ).join(F.broadcast(totals), "tx")
     data = F.concat(
         F.lit('{"pagination":{"total":'), F.col("total").cast("string"), F.lit(',"offset":'),
         ((F.col("_page") - 1) * PER_PAGE).cast("string"), F.lit(f',"limit":{PER_PAGE}}},"results":['),
@@ -78,7 +79,7 @@ def _watched_pages(spark, sf_dir) -> DataFrame:
         F.col("p_name").alias("name"), (_base_price() + n * 2000).alias("priceCzk"), F.struct(F.lit(2).alias("value")).alias("categoryTypeCb"),
     )
     status = F.when((n == 1) & (k % 120 == 0), 500).when((n == 2) & (k % 80 == 0), 404).otherwise(200)
-    rows = _watched(spark, sf_dir).withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(LANDINGS - 1))))
+    rows = dealt(_watched(spark, sf_dir), "p_partkey").withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(LANDINGS - 1))))
     landed = _landed(
         rows, C.MAIN_SOURCE, "watched", run_id=F.concat(F.lit("landing-"), n.cast("string")), listing_key=k, status=status,
         url=F.concat(F.lit(URL), k.cast("string")), body=F.when(status == 200, _query_page(C.DETAIL_QUERY, F.to_json(detail))),
@@ -98,7 +99,7 @@ def monitor_runs(spark, sf_dir):
     root = work_dir(spark, "monitor-runs")
     store = Store(spark, f"{root}/store")
     found = _search_pages(spark, sf_dir).unionByName(_watched_pages(spark, sf_dir))
-    found.write.partitionBy("late").parquet(f"{root}/found")
+    found.write.partitionBy("run_id", "source", "kind", "late").parquet(f"{root}/found")
     found = spark.read.schema(found.schema).parquet(f"{root}/found")
     edits = _watched(spark, sf_dir).select(F.lit("add").alias("op"), F.concat(F.lit(URL), F.col("p_partkey").cast("string")).alias("arg"), F.col("p_partkey").alias("ts"))
     monitor.edit_watchlist(store, edits)

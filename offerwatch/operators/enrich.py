@@ -111,10 +111,11 @@ def centroids(listings: DataFrame, by: list[str], cfg: C.MonitorConfig = C.DEFAU
 def fill_coordinates(listings: DataFrame, by: list[str], cfg: C.MonitorConfig = C.DEFAULTS) -> DataFrame:
     """Give listings lacking either coordinate their group's centroid and mark them.
 
-    The centroid table has one row per group (a run), far below the broadcast
-    threshold in practice; Spark checks its size before choosing the join.
+    The centroid table has one row per group (a run). The hint is needed: Spark
+    takes the table for as large as the listings before it has run, and would
+    send all listings of a run to one task.
     """
-    joined = listings.join(centroids(listings, by, cfg), by, "left")
+    joined = listings.join(F.broadcast(centroids(listings, by, cfg)), by, "left")
     missing = F.col("lat").isNull() | F.col("lon").isNull()
 
     def filled(name: str) -> Column:

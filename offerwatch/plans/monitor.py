@@ -170,7 +170,7 @@ def run(
     )
     store.write_run("mart_counts", per_kind.unionByName(per_source), run_seq)
 
-    write_marts(store, current, changes, states, watched_changes, reads, run_seq, cfg)
+    write_marts(store, current, changes, watched_changes, reads, run_seq, cfg)
     store.commit(run_seq, generated_at, run_id)
     return run_seq
 
@@ -183,13 +183,15 @@ def new_events(store: Store, first: int, last: int, strict: bool) -> DataFrame:
     return diff.diff_new_runs_strict(store.read_or_empty("listings", schemas.LISTING), states, first, last)
 
 
-def write_marts(store, current, changes, states, watched_changes, reads, run_seq, cfg) -> None:
+def write_marts(store, current, changes, watched_changes, reads, run_seq, cfg) -> None:
     listed = marts.mart_listings(current, changes, watched_changes)
     store.write_run("mart_listings", listed, run_seq)
+    listed = store.of_run("mart_listings", listed.schema, run_seq)
     stored = store.of_run("watched", WATCH_STATE, run_seq)
     notes = marts.change_notes(changes, watched_changes)
     watched = marts.watched_items(stored, reads.select("listing_key", "url"), notes, cfg)
     store.write_run("mart_watched", watched, run_seq)
+    watched = store.of_run("mart_watched", watched.schema, run_seq)
     items = marts.watched_then_listed(watched, listed.drop("cost_lines"))
     store.write_run("mart_map", marts.mart_map(items), run_seq)
     newest = newest_history(store, run_seq, cfg.history_cap).withColumn("event_run_seq", F.col("run_seq"))
