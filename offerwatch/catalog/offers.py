@@ -309,8 +309,8 @@ FROM t"""
 
 def _node_pages(spark, sf_dir) -> DataFrame:
     """Twenty customers a page, their images beside them, adverts at changing depth."""
-    customers = load(spark, sf_dir, "customer")
     k = F.col("c_custkey")
+    customers = dealt(load(spark, sf_dir, "customer").withColumn("_page", F.floor(k / PER_PAGE)), "_page")
     enum = F.element_at(F.array(*[F.lit(c) for c in ("DISP_1_KK", "DISP_2_KK", "DISP_3_KK")]), (k % 3 + 1).cast("int"))
 
     def quoted(name, value):
@@ -342,7 +342,7 @@ def _node_pages(spark, sf_dir) -> DataFrame:
     depth = (k % 4).cast("int")
     node = F.concat(F.repeat(F.lit('{"in":['), depth), advert, F.repeat(F.lit("]}"), depth))
     # at most PER_PAGE customers share a page
-    pages = customers.groupBy(F.floor(k / PER_PAGE).alias("_page")).agg(
+    pages = customers.groupBy("_page").agg(
         F.collect_list(F.concat(node, F.lit(","), image)).alias("_nodes")
     )
     state = F.concat(F.lit('{"props":{"store":['), F.array_join("_nodes", ","), F.lit("]}}"))
@@ -424,8 +424,8 @@ def ref_lookup(spark, sf_dir):
 
 
 def _card_pages(spark, sf_dir) -> DataFrame:
-    part = load(spark, sf_dir, "part")
     k = F.col("p_partkey")
+    part = dealt(load(spark, sf_dir, "part").withColumn("_page", F.floor(k / PER_PAGE)), "_page")
     price = half_even(F.col("p_retailprice") * 20)
     title = F.concat(
         F.lit("Byt "), F.when(k % 3 == 0, "1 +  KK").when(k % 3 == 1, "2+kk").otherwise("3+1"), F.lit(" "),
@@ -443,7 +443,7 @@ def _card_pages(spark, sf_dir) -> DataFrame:
         title, F.lit('</a><p class="c-products__info">'), info, F.lit('</p><p class="c-products__price">'), money, F.lit("</p></div>"),
     )
     # at most PER_PAGE parts share a page
-    pages = part.groupBy(F.floor(k / PER_PAGE).alias("_page")).agg(F.collect_list(card).alias("_cards"))
+    pages = part.groupBy("_page").agg(F.collect_list(card).alias("_cards"))
     body = F.concat(F.lit("<main>"), F.array_join("_cards", ""), F.lit("</main>"))
     tx = F.when(F.col("_page") % 2 == 0, C.RENT).otherwise(C.SALE)
     return _landed(pages, C.CARD_SOURCE, "search", tx=tx, page_no=F.col("_page") + 1, body=body)

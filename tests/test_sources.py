@@ -255,6 +255,14 @@ def test_main_pages_are_made_in_as_many_tasks_as_there_are_parts_for(spark, monk
         assert rows_of_largest_task(pages(spark, "/root/testdata/sf0.001").where("kind <> 'search'")) < n / 2
 
 
+def test_node_and_card_pages_are_made_in_as_many_tasks_as_there_are_rows_for(spark, monkeypatch):
+    monkeypatch.setattr(tables, "ROWS_PER_TASK", 20, raising=False)
+    node = offers._node_pages(spark, "/root/testdata/sf0.001").where("kind <> 'search'")
+    assert rows_of_largest_task(node) < node.count() / 2
+    plan = offers._card_pages(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan
+
+
 def test_filled_listings_of_a_run_stay_in_their_tasks(spark):
     # joined by the run they all went to one task
     rows = spark.range(0, 400, 1, 8).select(
