@@ -187,10 +187,12 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 1) -
 def components(edges: DataFrame, name: str) -> DataFrame:
     """Connected components of the links (a, b): one row (node, root), root the smallest node.
 
-    Alternating large and small stars: each round joins every node to the
-    smallest of its neighbours. Minima are folded before they are shuffled, so
-    a node with any number of links costs one row per task; a round's links
-    are written down before the next.
+    Each round hangs a node's other neighbours below its smallest one, and joins
+    every link to the smallest neighbour of the node it leads to, so that paths
+    halve. No link becomes two, and none is sent both ways. Minima are folded
+    before they are shuffled, so a node with any number of links costs one row
+    per task; equal links are folded before they meet at the node they lead to.
+    A round's links are written down before the next.
     """
     spark = edges.sparkSession
     links = save(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
@@ -200,18 +202,11 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         if now == before or now["n"] == 0:
             break
         before = now
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        least = links.groupBy("a").agg(F.min("b").alias("m"))
+        hung = links.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        above = least.select(F.col("a").alias("b"), F.col("m").alias("above"))
         made = saved()[-1]
-        links = save(
-            small.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .unionByName(small.select("a", F.col("m").alias("b")))
-            .where("a != b").distinct(),
-            name,
-        )
+        links = save(hung.distinct().join(above, "b", "left").select("a", F.coalesce("above", "b").alias("b")).distinct(), name)
         drop_saved(spark, [made])
     roots = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -37,6 +37,7 @@ RECALL = 0.9995  # of the audited pairs, and of pairs right at the threshold
 AUDIT = 256  # classes compared with all others
 SHORTEST = 2  # minima of a prefix that audited classes share with another class
 BLOCK = 512  # classes; a task compares two blocks at once
+FOLD = 200_000  # classes; a task folds the links between so many before it gives them on
 #: Signatures may fall this much short of the threshold before a pair is given up: five deviations of 128 minima.
 SLACK = 5 * (THRESHOLD * (1 - THRESHOLD) / (TREES * DEPTH)) ** 0.5
 
@@ -174,6 +175,32 @@ def audit(classes: DataFrame, threshold: float = THRESHOLD, most: int = AUDIT) -
     return [found.get(d, 0) for d in range(DEPTH + 1)]
 
 
+def folded(batches, most: int = FOLD):
+    """Links of a task as stars: each node to the smallest of those that it is connected with here, `most` nodes at a time."""
+    above: dict[bytes, bytes] = {}
+
+    def top(node):
+        while (up := above[node]) != node:
+            above[node] = above[up]  # paths halve on the way
+            node = up
+        return node
+
+    def stars():
+        found = [(node, up) for node in above if (up := top(node)) != node]
+        above.clear()
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([x for _, x in found], pa.binary())], ["a", "b"])
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            above.setdefault(a, a), above.setdefault(b, b)
+            a, b = top(a), top(b)
+            above[max(a, b)] = min(a, b)
+        if len(above) >= most:
+            yield stars()
+    if above:
+        yield stars()
+
+
 def _meet(batches, least: float):
     """Under each prefix, links between classes whose signatures are alike."""
     for table in grouped(batches, ["bucket", "i", "j"], 4096):
@@ -295,7 +322,7 @@ def join(df: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD
     busy = trees.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = blocks(trees.join(busy, "bucket").join(classes.select("class", "sign"), "class"), "bucket", "size", "class")
     dealt = members.select("bucket", "i", "j", "class", "sign").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "sign", "class")
-    likely = stream_map(dealt, lambda b: _meet(b, threshold - SLACK), "a binary, b binary")
+    likely = stream_map(dealt, lambda b: folded(_meet(b, threshold - SLACK)), "a binary, b binary")
     groups = components(likely, "likely").select(F.col("node").alias("class"), F.col("root").alias("group"))
     sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
     wanted = groups.join(sizes, "group").join(classes.select("class", "copies", "k1", "k2"), "class")

@@ -385,6 +385,46 @@ def test_blocks_and_patterns_count_all_pairs():
     assert len(ngram_join.forest(near | near.T)) < 30
 
 
+def smallest_reached(links):
+    """Each linked node and the smallest one of its component."""
+    top = {x: x for link in links for x in link}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            least = min(top[a], top[b])
+            changed |= top[a] != least or top[b] != least
+            top[a] = top[b] = least
+    return top
+
+
+def test_a_round_of_components_shuffles_links_a_few_times(spark, monkeypatch):
+    plans, save = [], common.save
+    monkeypatch.setattr(common, "save", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or save(df, name))
+    rng = random.Random(4)
+    path = rng.sample(range(10_000, 10_100), 100)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(500, x) for x in range(501, 560)] + [(900, x) for x in range(840, 900)]
+    links += [*zip(path, path[1:], strict=False), (7, 7), (501, 500)]
+    found = common.components(spark.createDataFrame(links, "a bigint, b bigint"), "few").collect()
+    assert len(found) == len({r["node"] for r in found})
+    assert {r["node"]: r["root"] for r in found} == smallest_reached([x for x in links if x[0] != x[1]])
+    assert max(plan.count("Exchange") for plan in plans[1:]) <= 6
+    assert common.components(spark.createDataFrame([(1, 1)], "a bigint, b bigint"), "none").count() == 0
+
+
+@pytest.mark.parametrize("most", [1, 50, 1000])
+def test_links_of_a_task_are_folded_to_stars(most):
+    rng = random.Random(5)
+    links = [(b"%d" % rng.randrange(300), b"%d" % rng.randrange(300)) for _ in range(400)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([x[i] for x in links[at : at + 40]], pa.binary()) for i in (0, 1)], ["a", "b"]) for at in range(0, 400, 40)]
+    stars = [(x["a"], x["b"]) for batch in ngram_join.folded(iter(batches), most) for x in batch.to_pylist()]
+    wanted = smallest_reached([x for x in links if x[0] != x[1]])
+    assert smallest_reached(stars) == wanted
+    if most == 1000:
+        assert dict(stars) == {a: b for a, b in wanted.items() if a != b} and len(dict(stars)) == len(stars)
+    assert list(ngram_join.folded(iter([]))) == []
+
+
 def test_embeddings_without_an_id(spark):
     table = [(None, "a", [1.0, 0.0]), (4, "a", [1.0, 0.01]), (4, "a", [1.0, 0.01]), (None, "b", [0.0, 1.0]), (None, "b", [0.0, 1.0]), (6, None, [1.0, 0.0]), (None, "a", None)]
     frame = spark.createDataFrame(table, "vec_id long, label string, embedding array<double>")
