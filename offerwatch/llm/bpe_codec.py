@@ -1,7 +1,7 @@
 """Byte-level BPE without running merges.
 
 All tokens stand in an Aho-Corasick automaton over bytes mapped to Latin-1. A
-piece is covered by longest matches; a token may follow another only if the
+piece is covered by longest matches, looked up only where a token is to start; a token may follow another only if the
 merges would leave the two apart, which is looked up in a memo of adjacent
 tokens, and where no token may follow, the last one is shortened. Tokens that
 are pairwise compatible are what the merges produce, and every position is
@@ -24,6 +24,8 @@ from offerwatch.llm.common import arrow_map, tool
 #: Pieces and pairs remembered by a worker before it forgets them all, and the longest such piece.
 MEMO = 300_000
 MEMO_BYTES = 64
+#: Above every rank.
+NONE = 1 << 60
 
 
 class Codec:
@@ -41,16 +43,21 @@ class Codec:
         self.automaton.make_automaton()
         self.shorter: dict[int, int | None] = {}
         self.apart: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, tuple[list[int], bytes, bytes]] = {}
+        self.pieces = Pieces(self)
 
     def merged(self, data: bytes) -> list[int]:
         """The merges themselves, for two tokens' worth of bytes."""
+        rank = self.rank.get
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.rank.get(parts[i] + parts[i + 1], 1 << 60))
-            if parts[best] + parts[best + 1] not in self.rank:
-                break
+        ranks = [rank(data[i : i + 2], NONE) for i in range(len(data) - 1)]  # of each part with the next; a merge changes two
+        while ranks and (least := min(ranks)) < NONE:
+            best = ranks.index(least)
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
+            del ranks[best]
+            if best:
+                ranks[best - 1] = rank(parts[best - 1] + parts[best], NONE)
+            if best < len(ranks):
+                ranks[best] = rank(parts[best] + parts[best + 1], NONE)
         return [self.rank[part] for part in parts]
 
     def compatible(self, left: int, right: int) -> bool:
@@ -74,47 +81,52 @@ class Codec:
         whole = self.rank.get(data)
         if whole is not None:
             return [whole]
-        longest = [None] * len(data)
-        reach = [0] * len(data)
-        for end, (length, rank) in self.automaton.iter(data.decode("latin-1")):
-            start = end - length + 1
-            if length > reach[start]:
-                reach[start], longest[start] = length, rank
-        open_ = [True] * (len(data) + 1)
+        text, longest, apart = data.decode("latin-1"), self.automaton.iter_long, self.apart
+        shut: set[int] = set()
         out: list[int] = []
         at = 0
-        token = longest[0]
-        while at < len(data):
-            end = at + len(self.token[token])
-            if open_[end] and (not out or self.compatible(out[-1], token)):
+        matches = longest(text)  # the first from a place on is the longest that starts there, as every byte is a token
+        _, (length, token) = next(matches)
+        while True:
+            end = at + length
+            if end not in shut and (not out or (fits := apart.get((out[-1], token))) or (fits is None and self.compatible(out[-1], token))):
                 out.append(token)
                 at = end
-                token = longest[at] if at < len(data) else None
+                if at == len(data):
+                    return out
+                if matches is None:
+                    matches = longest(text, at)
+                _, (length, token) = next(matches)
                 continue
+            matches = None
             token = self.next_shorter(token)
             while token is None:  # nothing may stand here: the token before has to give way
-                open_[at] = False
+                shut.add(at)
                 last = out.pop()
                 at -= len(self.token[last])
                 token = self.next_shorter(last)
-        return out
+            length = len(self.token[token])
 
     def encode(self, text: str) -> list[int]:
-        return [i for match in self.pattern.findall(text) for i in self.known(match)[0]]
+        return [i for match in self.pattern.findall(text) for i in self.pieces[match][0]]
 
     def decode(self, ids) -> bytes:
         return b"".join([self.token[i] for i in ids])
 
-    def known(self, match: str) -> tuple[list[int], bytes, bytes]:
-        """Ids of a match, the same as decimal text, and the bytes that they decode to."""
-        found = self.pieces.get(match)
-        if found is None:
-            ids = self.piece(match.encode())
-            found = ids, " ".join(map(str, ids)).encode(), self.decode(ids)
-            if len(match) <= MEMO_BYTES:
-                if len(self.pieces) >= MEMO:
-                    self.pieces.clear()
-                self.pieces[match] = found
+
+class Pieces(dict):
+    """Of a match: its ids, the same as decimal text, and the bytes that they decode to, worked out when first asked for."""
+
+    def __init__(self, own: Codec):
+        self.own = own
+
+    def __missing__(self, match: str) -> tuple[tuple[int, ...], bytes, bytes]:
+        ids = tuple(self.own.piece(match.encode()))  # nothing in the memo is a container that Python's garbage collector has to follow
+        found = ids, " ".join(map(str, ids)).encode(), self.own.decode(ids)
+        if len(match) <= MEMO_BYTES:
+            if len(self) >= MEMO:
+                self.clear()
+            self[match] = found
         return found
 
 
@@ -159,9 +171,10 @@ def digests(df: DataFrame, id_col: str, text_col: str, path: str, pattern: str)
         own = codec(path, pattern)
         counts, ids, decoded = [], [], []
         for text in batch.column(1).to_pylist():
-            parts = [own.known(match) for match in own.pattern.findall(text or "")]
-            counts.append(sum([len(p[0]) for p in parts]))
-            ids.append(hashlib.sha256(b" ".join([p[1] for p in parts])).hexdigest())
+            parts = list(map(own.pieces.__getitem__, own.pattern.findall(text or "")))
+            joined = b" ".join([p[1] for p in parts])
+            counts.append(joined.count(b" ") + 1 if joined else 0)
+            ids.append(hashlib.sha256(joined).hexdigest())
             decoded.append(hashlib.sha256(b"".join([p[2] for p in parts])).hexdigest())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids), pa.array(decoded)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

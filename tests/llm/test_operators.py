@@ -91,6 +91,36 @@ def test_bpe_equals_the_library(docs, rows, empty):
     assert bpe_codec.digests(empty, *arguments).count() == 0
 
 
+def test_pieces_walk_only_the_longest_matches(monkeypatch):
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
+    own, seen = bpe_codec.Codec(RANKS, r"(?s).+"), [0]
+
+    class Counted:
+        def __init__(self, automaton):
+            self.automaton = automaton
+
+        def __getattr__(self, name):
+            def walk(*arguments):
+                for found in getattr(self.automaton, name)(*arguments):
+                    seen[0] += 1
+                    yield found
+
+            return walk
+
+    own.automaton = Counted(own.automaton)
+    monkeypatch.setattr(bpe_codec, "MEMO", 50)
+    rng, size = random.Random(9), 0
+    bits = ["the", "ing", " an", "tion", "ha", "e", "ou", "é", "漢", "7", "\n", "  ", "zq", "_", "\x00"]
+    for n in range(3000):
+        text = "".join(rng.choice(bits) for _ in range(n % 20 + 1))
+        size += len(text.encode())
+        assert own.encode(text) == own.encode(text) == library.encode_ordinary(text), text
+        assert own.decode(own.encode(text)) == text.encode()
+    assert own.encode("") == []
+    assert seen[0] < size
+
+
 def test_packing_places_every_token_once(docs, rows, empty):
     own = Tokenizer.from_file(WORDS)
     assert any(t and "<|endoftext|>" in t for _, t in rows)  # an added token in a text gets its own id
