@@ -121,6 +121,41 @@ def test_pieces_walk_only_the_longest_matches(monkeypatch):
     assert seen[0] < size
 
 
+def test_unknown_pieces_are_walked_together(monkeypatch):
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    own, begun = bpe_codec.Codec(RANKS, public_tokenizers.PATTERN), [0]
+
+    class Counted:
+        def __init__(self, automaton):
+            self.automaton = automaton
+
+        def iter_long(self, *arguments):
+            begun[0] += 1
+            return self.automaton.iter_long(*arguments)
+
+    own.automaton = Counted(own.automaton)
+    rng = random.Random(11)
+    bits = ["the", "ing", "an", "tion", "ha", "e", "ou", "é", "ción", "漢", "zuß", "re", "ent", "q", "of", "ly", "1", "77", "%%", "!"]
+    texts = [" ".join("".join(rng.choice(bits) for _ in range(rng.randint(1, 9))) for _ in range(1500)) for _ in range(6)]
+    texts += ["", " " * 300 + "a" * 500, "漢" * 70, texts[0], "\x00\U0010ffff \r\n\t ' 's"]
+    different = {m for t in texts for m in own.pattern.findall(t)}
+    for text in texts:
+        assert own.encode(text) == library.encode_ordinary(text)
+        assert own.decode(own.encode(text)) == text.encode()
+    assert begun[0] < len(different) / 4
+    for memo, run, few in ((300, 100, 0), (10**6, 7, 0), (0, 1000, 3)):  # forgetting, many walks, none left to `piece`
+        monkeypatch.setattr(bpe_codec, "MEMO", memo)
+        monkeypatch.setattr(bpe_codec, "RUN", run)
+        monkeypatch.setattr(bpe_codec, "FEW", few)
+        own = bpe_codec.Codec(RANKS, public_tokenizers.PATTERN)
+        for text in texts:
+            assert own.encode(text) == library.encode_ordinary(text)
+        assert [(ids.split(), back) for ids, back in own.parts(texts)] == [
+            ([b"%d" % i for i in library.encode_ordinary(t)], t.encode()) for t in texts
+        ]
+
+
 def test_packing_places_every_token_once(docs, rows, empty):
     own = Tokenizer.from_file(WORDS)
     assert any(t and "<|endoftext|>" in t for _, t in rows)  # an added token in a text gets its own id
